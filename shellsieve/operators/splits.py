@@ -71,7 +71,7 @@ def claim_floor(assigned: DataFrame, unique_key: str = "text", actions: str = "a
     work = (have.select(F.lit(0).alias("kind"), "_p", "n", F.lit(None).cast("string").alias("_h"),
                         F.lit(None).cast(id_type).alias("_id"))
             .unionByName(candidates.select(F.lit(1).alias("kind"), "_p", F.lit(0).cast("bigint").alias("n"), "_h", "_id")))
-    claimed = work.groupBy(F.lit(1)).applyInPandas(claim, f"_id {id_type}").withColumn("_claimed", F.lit(True))
+    claimed = work.groupBy().applyInPandas(claim, f"_id {id_type}").withColumn("_claimed", F.lit(True))
     # at most ``most`` ids
     return (assigned.join(F.broadcast(claimed), F.col(unique_key) == F.col("_id"), "left")
             .withColumn(split, F.when(F.col("_claimed"), "test").otherwise(F.col(split)))

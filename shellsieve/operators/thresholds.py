@@ -92,4 +92,4 @@ def tune(sweep_df: DataFrame, passes: int = 2, start: float = DEFAULT_THRESHOLD)
         out["micro_f1"] = f1(tp, predicted)
         return out
 
-    return sweep_df.groupBy(F.lit(1)).applyInPandas(ascend, "pos int, action string, threshold double, micro_f1 double")
+    return sweep_df.groupBy().applyInPandas(ascend, "pos int, action string, threshold double, micro_f1 double")
