@@ -25,28 +25,28 @@ def decide(df: DataFrame, logits: str = "logits", *, thresholds: dict[str, float
         raise ValueError(f"unknown score space: {score_space}")
     thresholds = thresholds or {}
     nv = len(tax.verdict_ids)
-    raw_v = V.items(F.col(logits), 0, nv)
-    raw_a = V.items(F.col(logits), nv, tax.size)
+    raw_v = V.items(logits, 0, nv)
+    raw_a = V.items(logits, nv, tax.size)
     probs_v = V.rounded(V.softmax(raw_v), verdict_digits)
     probs_a = V.rounded([V.sigmoid(x) for x in raw_a], action_digits)
-    wide = df.withColumns({"verdict_probs": F.array(*probs_v), "action_probs": F.array(*probs_a)})
+    wide = df.withColumns({"verdict_probs": F.expr(V.array(probs_v)), "action_probs": F.expr(V.array(probs_a))})
 
     # later expressions read the arrays just computed instead of repeating them
-    ranked = V.items(F.col("verdict_probs"), 0, nv) if score_space == "probability" else raw_v
-    scored = V.items(F.col("action_probs"), 0, len(tax.action_ids)) if score_space == "probability" else raw_a
-    flags = [s >= F.lit(float(thresholds.get(a, DEFAULT_THRESHOLD))) for a, s in zip(tax.action_ids, scored)]
+    ranked = V.items("verdict_probs", 0, nv) if score_space == "probability" else raw_v
+    scored = V.items("action_probs", 0, len(tax.action_ids)) if score_space == "probability" else raw_a
+    flags = [f"{s} >= {V.lit(thresholds.get(a, DEFAULT_THRESHOLD))}" for a, s in zip(tax.action_ids, scored)]
     return wide.withColumns({
-        "verdict": V.pick(V.argmax_index(ranked), tax.verdict_ids),
-        "action_mask": V.mask_of_flags(flags),
+        "verdict": F.expr(V.pick(V.argmax_index(ranked), tax.verdict_ids)),
+        "action_mask": F.expr(V.mask_of_flags(flags)),
     })
 
 
 def with_attck(df: DataFrame, mask: str = "action_mask", tax: Taxonomy = TAXONOMY) -> DataFrame:
     """Add ``actions`` (taxonomy order) and the sorted ``tactics``/``techniques``."""
     return df.withColumns({
-        "actions": V.actions_of_mask(F.col(mask), tax),
-        "tactics": V.tactics_of_mask(F.col(mask), tax),
-        "techniques": V.techniques_of_mask(F.col(mask), tax),
+        "actions": V.actions_of_mask(mask, tax),
+        "tactics": V.tactics_of_mask(mask, tax),
+        "techniques": V.techniques_of_mask(mask, tax),
     })
 
 
@@ -64,16 +64,16 @@ def annotate(df: DataFrame, logits: str = "logits", thresholds: dict[str, float]
              tax: Taxonomy = TAXONOMY) -> DataFrame:
     """The full red-team record: decision at 6 digits, flags, and the logits
     kept as a map so that thresholds can be moved without scoring again."""
-    ids = F.array(*[F.lit(i) for i in tax.all_ids])
     decided = decide(df, logits, thresholds=thresholds, verdict_digits=6, action_digits=6, tax=tax)
-    kept = F.array(*[F.round(x, 6) for x in V.items(F.col(logits), 0, tax.size)])
-    return with_evasion_flags(with_attck(decided, tax=tax)).withColumn("raw_logits", F.map_from_arrays(ids, kept))
+    kept = V.array(V.rounded(V.items(logits, 0, tax.size), 6))
+    return with_evasion_flags(with_attck(decided, tax=tax)).withColumn(
+        "raw_logits", F.expr(f"map_from_arrays({V.id_array(tax.all_ids)}, {kept})"))
 
 
 def prob_maps(df: DataFrame, tax: Taxonomy = TAXONOMY) -> DataFrame:
     """Turn the probability arrays into label -> probability maps (output edge)."""
     def to_map(ids, column: str) -> Column:
-        return F.map_from_arrays(F.array(*[F.lit(i) for i in ids]), F.col(column))
+        return F.expr(f"map_from_arrays({V.id_array(ids)}, {column})")
     return df.withColumns({
         "verdict_probs": to_map(tax.verdict_ids, "verdict_probs"),
         "action_probs": to_map(tax.action_ids, "action_probs"),

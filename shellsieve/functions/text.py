@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: everything Python's str.split()/strip() counts as whitespace.
-# Java's \s is narrower, so the class is spelled out.
+# Fixed value: everything Python's str.split()/strip() counts as whitespace,
+# the blank itself apart. Java's \\s is narrower, so the set is spelled out.
+OTHER_WS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
+# Without the four separators that only Python counts: Unicode White_Space.
+UNICODE_WS = OTHER_WS.translate(dict.fromkeys(range(0x1C, 0x20)))
+# The first set inside a regex class.
 WS_CLASS = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_CLASS}]"
 
 # The three masking patterns and their replacements, in order.
 MASKS = (
-    (r"(?i)https?://[^\t-\r\x1c-\x1f\x85\s'\"`;|)]+", "http://example.com"),
-    (r"(?U)(?<!\w)(?:\d{1,3}\.){3}\d{1,3}(?!\w)", "1.1.1.1"),
+    (rf"(?iu)https?://[^{WS_CLASS}'\"`;|)]+", "http://example.com"),
+    (r"(?U)(?=\d)(?<!\w)(?:\d{1,3}\.){3}\d{1,3}(?!\w)", "1.1.1.1"),
     (r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/])", "BASE64"),
 )
 
@@ -23,12 +28,16 @@ PUNCT = r"!-/:-@\[-`{-~"
 
 def strip(c: Column) -> Column:
     """Trim both ends of every character Python's ``strip()`` would remove."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(" " + OTHER_WS))
 
 
 def squeeze(c: Column) -> Column:
-    """``" ".join(s.split())``: one blank between words, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    """``" ".join(s.split())``: one blank between words, none at the ends.
+
+    Mapping every whitespace to a blank first leaves a regex that only has to
+    touch runs of blanks, which is about twice as fast as a class of them all.
+    """
+    return F.trim(F.regexp_replace(F.translate(c, OTHER_WS, " " * len(OTHER_WS)), "  +", " "))
 
 
 def python_regex(pattern: str, ignore_case: bool = True) -> str:
@@ -53,8 +62,10 @@ def mask(c: Column) -> Column:
 
 def basic_tokens(c: Column) -> Column:
     """Words and single ASCII punctuation marks; only ASCII letters are lowered."""
-    lowered = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(f"[{PUNCT}]|[^{PUNCT}{WS_CLASS}]+"), F.lit(0))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    plain = F.translate(c, upper + UNICODE_WS, lower + " " * len(UNICODE_WS))
+    spaced = F.regexp_replace(plain, f"([{PUNCT}])", " $1 ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def split_lines(c: Column) -> Column:

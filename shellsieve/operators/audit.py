@@ -9,14 +9,14 @@ from shellsieve.functions import vectors as V
 from shellsieve.taxonomy import BENIGN, MALICIOUS, SUSPICIOUS, TAXONOMY, Taxonomy
 
 
-def row_errors(verdict: Column, verdict_probs: Column, bypass: Column, action_probs: Column, logits: Column,
+def row_errors(verdict: Column, verdict_probs: str, bypass: Column, action_probs: str, logits: str,
                model: Column | None = None, expected_model: str | None = None, tax: Taxonomy = TAXONOMY) -> Column:
     """Array of what is wrong with one annotated record, empty if nothing is.
 
     A record with an unknown verdict reports only that.
     """
     nv, na = len(tax.verdict_ids), len(tax.action_ids)
-    argmax = V.pick(V.argmax_index(V.items(verdict_probs, 0, nv)), tax.verdict_ids)
+    argmax = F.expr(V.pick(V.argmax_index(V.items(verdict_probs, 0, nv)), tax.verdict_ids))
     known = F.coalesce(verdict.isin(*tax.verdict_ids), F.lit(False))
     checks = [
         (~F.coalesce(argmax == verdict, F.lit(False)), "verdict_not_argmax"),

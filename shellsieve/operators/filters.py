@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +39,7 @@ def gate(c: Column, accept: str, reject: str | None = None) -> Column:
     return ok if reject is None else ~X.matches(c, reject) & ok
 
 
-def teacher_gate(soft: Column, action: Column, target: Column, min_pos: float = 0.7, max_neg: float = 0.3,
+def teacher_gate(soft: str, action: str, target: str, min_pos: float = 0.7, max_neg: float = 0.3,
                  tax: Taxonomy = TAXONOMY) -> Column:
     """Keep a candidate by the teacher's probability of its action.
 
@@ -49,13 +47,11 @@ def teacher_gate(soft: Column, action: Column, target: Column, min_pos: float =
     target needs one of the gated actions at ``min_pos``.
     """
     nv = len(tax.verdict_ids)
-    own = F.lit(None).cast("double")
-    for i, a in enumerate(tax.action_ids):
-        own = F.when(action == a, soft.getItem(nv + i)).otherwise(own)
-    gated = [soft.getItem(nv + tax.action_ids.index(a)) >= F.lit(min_pos) for a in GATED_ACTIONS]
-    keep = (F.when(target == "pos", own >= F.lit(min_pos)).when(target == "neg", own <= F.lit(max_neg))
-            .otherwise(reduce(lambda a, b: a | b, gated)))
-    return F.coalesce((F.size(soft) == tax.size) & keep, F.lit(False))
+    scores = dict(zip(tax.action_ids, V.items(soft, nv, tax.size)))
+    own = "(CASE " + action + " " + " ".join(f"WHEN {V.lit(a)} THEN {s}" for a, s in scores.items()) + " END)"
+    gated = " OR ".join(f"{scores[a]} >= {V.lit(min_pos)}" for a in GATED_ACTIONS)
+    keep = f"(CASE {target} WHEN 'pos' THEN {own} >= {V.lit(min_pos)} WHEN 'neg' THEN {own} <= {V.lit(max_neg)} ELSE {gated} END)"
+    return F.expr(f"coalesce(size({soft}) = {tax.size} AND {keep}, false)")
 
 
 def rule_category(c: Column) -> Column:

@@ -74,14 +74,8 @@ def macro_f1(per_label_df: DataFrame) -> DataFrame:
 
 def flat_micro(df: DataFrame, scores: str, targets: str, size: int = TAXONOMY.size, threshold: float = 0.5) -> DataFrame:
     """Element-wise micro metrics over aligned vectors; ``> threshold`` on both."""
-    s, t = F.col(scores), F.col(targets)
-    tp, fp, fn = F.lit(0), F.lit(0), F.lit(0)
-    for i in range(size):
-        p, y = s.getItem(i) > threshold, t.getItem(i) > threshold
-        tp, fp, fn = tp + (p & y).cast("int"), fp + (p & ~y).cast("int"), fn + (~p & y).cast("int")
-    totals = df.select(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
-    return with_prf(totals)
+    above = lambda column: V.mask_of_flags([f"{x} > {V.lit(threshold)}" for x in V.items(column, 0, size)])
+    return micro(df.select(F.expr(above(scores)).alias("_p"), F.expr(above(targets)).alias("_t")), "_t", "_p")
 
 
 def verdict_accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -150,7 +144,7 @@ def source_report(df: DataFrame, source: str = "source", label: str = "label", v
         F.count("*").alias("n"), F.count_if(v == BENIGN).alias("n_benign"),
         F.count_if(v == SUSPICIOUS).alias("n_suspicious"), F.count_if(v == MALICIOUS).alias("n_malicious"),
         F.avg(F.bit_count(F.col(mask))).alias("mean_actions_active"),
-        F.avg(V.overlaps(F.col(mask), with_rule).cast("int")).alias("attck_rule_hit_rate"))
+        F.avg(F.expr(V.overlaps(mask, with_rule)).cast("int")).alias("attck_rule_hit_rate"))
     n, b, s, m = (F.col(c) for c in ("n", "n_benign", "n_suspicious", "n_malicious"))
     bad, good = F.col(label) == "malicious", F.col(label) == "benign"
     return counts.withColumns({

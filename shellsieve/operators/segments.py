@@ -48,14 +48,14 @@ def merge_scores(df: DataFrame, key: list[str], seg: str = "seg", logits: str =
     if verdict_merge not in ("most_malicious", "max_logit"):
         raise ValueError(f"unknown verdict merge: {verdict_merge}")
     nv = len(tax.verdict_ids)
-    best = [F.max(F.col(logits).getItem(i)).alias(f"_m{i}") for i in range(tax.size)]
+    best = [F.expr(f"max(get({logits}, {i}))").alias(f"_m{i}") for i in range(tax.size)]
     if verdict_merge == "max_logit":
         merged = df.groupBy(*key).agg(F.count("*").alias("n_segments"), *best)
-        verdict = [F.col(f"_m{i}") for i in range(nv)]
+        verdict = [f"_m{i}" for i in range(nv)]
     else:
-        p_bad = V.softmax(V.items(F.col(logits), 0, nv))[nv - 1]
+        p_bad = F.expr(V.softmax(V.items(logits, 0, nv))[nv - 1])
         chosen = F.max_by(F.slice(logits, 1, nv), F.struct(p_bad, -F.col(seg))).alias("_v")
         merged = df.groupBy(*key).agg(F.count("*").alias("n_segments"), chosen, *best[nv:])
-        verdict = V.items(F.col("_v"), 0, nv)
-    actions = [F.col(f"_m{i}") for i in range(nv, tax.size)]
-    return merged.select(*key, "n_segments", F.array(*verdict, *actions).alias(logits))
+        verdict = V.items("_v", 0, nv)
+    actions = [f"_m{i}" for i in range(nv, tax.size)]
+    return merged.select(*key, "n_segments", F.expr(V.array(verdict + actions)).alias(logits))

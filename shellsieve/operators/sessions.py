@@ -6,8 +6,6 @@ Action sets are bits of one BIGINT, so a session is folded with ``max`` and
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +14,10 @@ from shellsieve.functions.decide import verdict_rank
 from shellsieve.taxonomy import CHAINS, MALICIOUS, SUSPICIOUS, TAXONOMY, Taxonomy
 
 
-def chain_hits(mask: Column, chains=CHAINS, tax: Taxonomy = TAXONOMY) -> Column:
+def chain_hits(mask: str, chains=CHAINS, tax: Taxonomy = TAXONOMY) -> Column:
     """Names of the chains a set of actions fulfils, in rule order, each once."""
-    hits = []
-    for name, groups in chains:
-        met = reduce(lambda a, b: a & b, [V.overlaps(mask, tax.bits(g)) for g in groups])
-        hits.append(F.when(met, F.lit(name)))
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    hits = [f"IF({' AND '.join(V.overlaps(mask, tax.bits(g)) for g in groups)}, {V.lit(name)}, NULL)" for name, groups in chains]
+    return F.expr(f"array_distinct(array_compact({V.array(hits)}))")
 
 
 def roll_up(df: DataFrame, session: list[str], verdict: str = "verdict", mask: str = "action_mask",
@@ -34,11 +29,11 @@ def roll_up(df: DataFrame, session: list[str], verdict: str = "verdict", mask: s
     """
     folded = df.groupBy(*session).agg(F.count("*").alias("n_commands"), F.max(verdict_rank(F.col(verdict))).alias("max_rank"),
                                       F.bit_or(F.col(mask)).alias("all_mask"))
-    chained = folded.withColumn("hit_chains", chain_hits(F.col("all_mask"), tax=tax))
+    chained = folded.withColumn("hit_chains", chain_hits("all_mask", tax=tax))
     highest = F.element_at(F.array(*[F.lit(v) for v in tax.verdict_ids]), F.col("max_rank") + 1)
     rolled = (F.when(F.col("max_rank") == 2, F.lit(MALICIOUS))
               .when(F.size("hit_chains") > 0, F.lit(SUSPICIOUS)).otherwise(highest))
-    return (chained.withColumns({"verdict": rolled, "all_actions": V.actions_of_mask(F.col("all_mask"), tax)})
+    return (chained.withColumns({"verdict": rolled, "all_actions": V.actions_of_mask("all_mask", tax)})
             .drop("max_rank"))
 
 

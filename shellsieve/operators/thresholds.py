@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shellsieve.functions import vectors as V
 from shellsieve.taxonomy import DEFAULT_THRESHOLD, TAXONOMY, Taxonomy
 
 # Fixed value: the grid 0.30 .. 0.70 in steps of 0.05.
@@ -32,11 +33,10 @@ def sweep(df: DataFrame, scores: str, true_labels: str, grid=GRID, tax: Taxonomy
     which leaves 28 x 10 rows to shuffle whatever the input size.
     """
     cuts = sorted(grid)
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.col(scores).getItem(i).alias("s"),
-                 F.array_contains(true_labels, a).cast("int").alias("y"))
-        for i, a in enumerate(tax.action_ids)])
-    reached = sum(((F.col("e.s") >= F.lit(t)).cast("int") for t in cuts[1:]), (F.col("e.s") >= F.lit(cuts[0])).cast("int"))
+    entries = F.expr(V.array([
+        f"struct({i} AS pos, get({scores}, {i}) AS s, cast(array_contains({true_labels}, {V.lit(a)}) AS int) AS y)"
+        for i, a in enumerate(tax.action_ids)]))
+    reached = F.expr(" + ".join(f"cast(e.s >= {V.lit(t)} AS int)" for t in cuts))
     cells = (df.select(F.explode(entries).alias("e")).groupBy(F.col("e.pos").alias("pos"), reached.alias("cell"))
              .agg(F.count("*").alias("n"), F.sum("e.y").alias("y")))
     levels = F.array(*[F.struct(F.lit(k + 1).alias("cell"), F.lit(t).alias("threshold")) for k, t in enumerate(cuts)])

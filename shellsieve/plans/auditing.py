@@ -54,7 +54,7 @@ DAMAGED = """$DECIDED$, x AS (SELECT vec_id, vec_id % 10 AS i, verdict AS good,
 
 def _with_errors(spark, folder):
     return damaged(spark, folder).withColumn("errors", audit.row_errors(
-        F.col("verdict"), F.col("verdict_probs"), F.col("verdict_bypass"), F.col("action_probs"), F.col("logits"), F.col("model_dir"), "model"))
+        F.col("verdict"), "verdict_probs", F.col("verdict_bypass"), "action_probs", "logits", F.col("model_dir"), "model"))
 
 
 @query("WITH " + DAMAGED + " SELECT error, count(*) AS n FROM (SELECT unnest(errors) AS error FROM er) GROUP BY error")

@@ -199,9 +199,8 @@ def union_with_holdout(spark, folder):
 @query("""WITH $DECIDED$ SELECT vec_id, verdict AS hard_verdict, array_to_string(list_transform(act, lambda i: ($ACTIONS$)[i]), ',') AS hard_actions FROM v""")
 def hard_labels_from_soft(spark, folder):
     rows = score_vectors(spark, folder)
-    probs = F.array(*V.softmax(V.items(F.col("logits"), 0, 3)), *[V.sigmoid(x) for x in V.items(F.col("logits"), 3, 31)])
-    soft = rows.withColumn("soft", probs)
-    labels = soft.withColumn("labels", V.hard_labels(F.col("soft")))
+    soft = rows.withColumn("soft", F.expr(V.probabilities("logits")))
+    labels = soft.withColumn("labels", V.hard_labels("soft"))
     return labels.select("vec_id", F.col("labels")[0].alias("hard_verdict"), csv(F.slice("labels", 2, 28)).alias("hard_actions"))
 
 
@@ -212,10 +211,9 @@ def teacher_probability_gate(spark, folder):
     """Candidates kept by the teacher's probability of their own action (bounds
     0.55/0.45 fit the narrow scores of the test vectors)."""
     rows = score_vectors(spark, folder)
-    probs = F.array(*V.softmax(V.items(F.col("logits"), 0, 3)), *[V.sigmoid(x) for x in V.items(F.col("logits"), 3, 31)])
     target = F.when(F.col("label") % 3 == 0, "pos").when(F.col("label") % 3 == 1, "neg").otherwise("other")
-    marked = rows.select(probs.alias("soft"), V.pick(F.col("label").cast("int") % 28, TAXONOMY.action_ids).alias("action"), target.alias("target"))
-    keep = filters.teacher_gate(F.col("soft"), F.col("action"), F.col("target"), min_pos=0.55, max_neg=0.45)
+    marked = rows.select(F.expr(V.probabilities("logits")).alias("soft"), F.expr(V.pick("label % 28", TAXONOMY.action_ids)).alias("action"), target.alias("target"))
+    keep = filters.teacher_gate("soft", "action", "target", min_pos=0.55, max_neg=0.45)
     return marked.groupBy("target").agg(F.count("*").alias("n"), F.count_if(keep).alias("n_kept"))
 
 

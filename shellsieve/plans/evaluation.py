@@ -14,7 +14,7 @@ from shellsieve.taxonomy import TAXONOMY
 def evaluated(spark, folder):
     """Score vectors with decision and true actions."""
     decided = D.with_attck(D.decide(score_vectors(spark, folder)))
-    return decided.withColumn("true_mask", V.mask_of_names(F.col("true_actions")))
+    return decided.withColumn("true_mask", V.mask_of_names("true_actions"))
 
 
 def judged(spark, folder):
@@ -74,7 +74,7 @@ def macro_f1(spark, folder):
        "count(*) FILTER (WHERE ap[i] > 0.5 AND NOT tv[i] > 0.1) AS fp, count(*) FILTER (WHERE NOT ap[i] > 0.5 AND tv[i] > 0.1) AS fn FROM x) SELECT tp, fp, fn, " + PRF + " FROM t")
 def flat_micro(spark, folder):
     """Element-wise micro metrics over the flattened vectors."""
-    rows = evaluated(spark, folder).withColumn("targets", F.array(*[F.array_contains("true_actions", a).cast("double") for a in TAXONOMY.action_ids]))
+    rows = evaluated(spark, folder).withColumn("targets", F.expr(V.array([f"cast(array_contains(true_actions, {V.lit(a)}) AS double)" for a in TAXONOMY.action_ids])))
     return rounded(metrics.flat_micro(rows, "action_probs", "targets", size=28))
 
 
@@ -308,7 +308,7 @@ def soft_targets_and_weights(spark, folder):
     vectors = score_vectors(spark, folder).select(F.col("vec_id").alias("doc_id"), "logits", "true_actions")
     rows = truth_verdicts(spark, folder).join(vectors, "doc_id", "left").withColumn(
         "true_labels", F.concat(F.array("verdict"), F.coalesce("true_actions", F.array().cast("array<string>"))))
-    long = rows.select(F.col("logits").isNotNull().alias("soft"), F.explode(V.soft_targets(F.col("logits"), F.col("true_labels"))).alias("label", "target"))
+    long = rows.select(F.col("logits").isNotNull().alias("soft"), F.explode(V.soft_targets("logits", "true_labels")).alias("label", "target"))
     out = long.groupBy("label").agg(F.count("*").alias("n"), F.count_if("soft").alias("n_soft"), F.sum("target").alias("target_sum"),
                                     F.sum(D.malicious_weight(F.col("label"), F.col("target"))).alias("weight_sum"))
     return rounded(out)

@@ -256,7 +256,7 @@ SELECT user_id, day, n_commands, hit_chains, CASE WHEN r = 2 THEN 'verdict.malic
  array_to_string(list_filter($ACTIONS$, lambda a: list_contains(acts, a)), ',') AS all_actions FROM c""")
 def session_rollup(spark, folder):
     """Sessions of one user and day."""
-    c = event_commands(spark, folder).withColumn("action_mask", V.mask_of_name(F.col("action")))
+    c = event_commands(spark, folder).withColumn("action_mask", V.mask_of_name("action"))
     out = sessions.roll_up(c, ["user_id", "day"])
     return out.select("user_id", "day", "n_commands", csv("hit_chains").alias("hit_chains"), "verdict", csv("all_actions").alias("all_actions"))
 
@@ -271,8 +271,8 @@ r(pos, name, needed) AS (VALUES (0, 'download_execute', [['action.download'], ['
 SELECT DISTINCT user_id, name AS chain FROM s, r WHERE len(list_filter(needed, lambda g: len(list_filter(g, lambda x: list_contains(a, x))) > 0)) = len(needed)""")
 def chain_rules(spark, folder):
     """Which chains the whole history of a user fulfils."""
-    masks = event_commands(spark, folder).groupBy("user_id").agg(F.bit_or(V.mask_of_name(F.col("action"))).alias("m"))
-    return masks.select("user_id", F.explode(sessions.chain_hits(F.col("m"))).alias("chain"))
+    masks = event_commands(spark, folder).groupBy("user_id").agg(F.bit_or(V.mask_of_name("action")).alias("m"))
+    return masks.select("user_id", F.explode(sessions.chain_hits("m")).alias("chain"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN length(text) >= 600 THEN 'verdict.malicious' WHEN length(text) >= 300 THEN 'verdict.suspicious' ELSE 'verdict.benign' END AS verdict FROM conversations""")
@@ -327,7 +327,8 @@ def teacher_decode(spark, folder):
     verdict = F.to_json(F.struct(probs.alias("probabilities")))
     keylog = F.when(F.col("k") % 2 == 0, F.to_json(F.struct(F.col("value").alias("noul")))).otherwise(F.lit("{}"))
     text = F.concat(F.lit('{"__verdict__":'), verdict, F.lit(',"action.keylog":'), keylog, F.lit("}"))
-    soft = c.select("event_id", V.soft_of_answers(F.from_json(text, schemas.ANSWERS)).alias("soft"))
+    answers = c.select("event_id", F.from_json(text, schemas.ANSWERS).alias("answers"))
+    soft = answers.select("event_id", V.soft_of_answers("answers").alias("soft"))
     at = lambda label: F.col("soft")[TAXONOMY.all_ids.index(label)]
     return soft.select("event_id", at("verdict.malicious").alias("p_malicious"), at("action.keylog").alias("noul_keylog"), F.size("soft").cast("bigint").alias("n"))
 
