@@ -39,13 +39,17 @@ def by_stripped_text(df: DataFrame, order: list[Column | str], text: str = "text
 
 
 def by_squeezed_text(df: DataFrame, order: list[Column | str], text: str = "text") -> DataFrame:
-    """Texts that differ only in whitespace are the same; the first keeps its spelling."""
-    return first_wins(df, X.squeeze(F.col(text)), order)
+    """Texts that differ only in whitespace are the same; the first keeps its spelling.
+
+    The key is the digest of the squeezed text, so that long texts are neither
+    sorted on nor shuffled twice.
+    """
+    return first_wins(df, F.unhex(X.sha256(X.squeeze(F.col(text)))), order)
 
 
 def by_text_hash(df: DataFrame, order: list[Column | str], text: str = "text") -> DataFrame:
     """One row per sha256 of the text; ``order`` says which producer keeps it."""
-    return first_wins(df, X.sha256(F.col(text)), order)
+    return first_wins(df, F.unhex(X.sha256(F.col(text))), order)
 
 
 def key_set(*frames: DataFrame, key: str = "key") -> DataFrame:

@@ -24,9 +24,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def assign_by_hash_rank(df: DataFrame, *, unique_key: str, strata: list[str], cuts: list[Column],
                         labels: list[str], seed: int | str = 42, out: str = "split",
-                        prefix: int = 4, few_strata: bool = False) -> DataFrame:
+                        prefix: int = 4, few_strata: bool = False, hashed: str | None = None) -> DataFrame:
     """Cut each stratum, ordered by the hash of ``unique_key``, at exact ranks.
 
+    ``hashed`` names a column that already holds that hash.
+
     ``cuts[i]`` is an expression over ``n`` (rows of the stratum): rows of rank
     up to it get ``labels[i]``, the rest ``labels[-1]``.
 
@@ -37,7 +39,7 @@ def assign_by_hash_rank(df: DataFrame, *, unique_key: str, strata: list[str], cu
     ``few_strata`` states that the strata come from a fixed domain (such as the
     three verdicts); only then is the table of cut values broadcast.
     """
-    marked = df.withColumn("_h", hash_order(F.col(unique_key), seed))
+    marked = df.withColumn("_h", F.col(hashed) if hashed else hash_order(F.col(unique_key), seed))
     bucket = F.substring("_h", 1, prefix).alias("_b")
     counts = marked.groupBy(*strata, bucket).agg(F.count("*").alias("_c"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shellsieve.functions import text as X
+from shellsieve.session import is_small
 from shellsieve.taxonomy import TAXONOMY, Taxonomy
 
 
@@ -44,37 +45,51 @@ def rule_logits(c: Column, rules: list[tuple[str, str, float]], base: float = -4
     return F.array(*vector)
 
 
-def word_ngrams(c: Column, n_min: int, n_max: int) -> Column:
-    """Character n-grams of blank-padded words; a word no longer than ``n``
-    gives itself once and ends its list."""
-    words = F.filter(F.split(X.squeeze(c), " "), lambda w: F.length(w) > 0)
+# Stands for "this record has been seen": no word contains two blanks.
+NO_NGRAM = "  "
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.char_length(padded)
-        longest = F.least(F.lit(n_max), size)
-        sizes = F.when(longest >= n_min, F.sequence(F.lit(n_min), longest)).otherwise(F.array(F.lit(n_min)))
-        return F.flatten(F.transform(sizes, lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.substring(padded, i, n))))
 
-    return F.flatten(F.transform(words, grams))
+def explode_ngrams(df: DataFrame, key: list[str], text: str, n_min: int, n_max: int, mark_records: bool = False) -> DataFrame:
+    """(key, ngram) rows: character n-grams of blank-padded words.
+
+    A word no longer than ``n`` gives itself once and ends its list. Words,
+    sizes and offsets are exploded one after the other, which Spark turns into
+    nested loops of generated code. ``mark_records`` adds one ``NO_NGRAM`` row
+    per record, so that records without words stay visible.
+    """
+    split = F.array_remove(F.split(X.squeeze(F.col(text)), " "), "")
+    words = df.select(*key, F.explode(F.array_append(split, F.lit("")) if mark_records else split).alias("_w"))
+    padded = words.select(*key, F.concat(F.lit(" "), "_w", F.lit(" ")).alias("_p"), (F.char_length("_w") + 2).alias("_l"))
+    sizes = F.expr(f"sequence({n_min}, greatest({n_min}, least({n_max}, _l)))")
+    sized = padded.select(*key, "_p", "_l", F.explode(sizes).alias("_n"))
+    placed = sized.select(*key, "_p", "_n", F.explode(F.expr("sequence(1, greatest(1, _l - _n + 1))")).alias("_i"))
+    return placed.select(*key, F.substring("_p", F.col("_i"), F.col("_n")).alias("ngram"))
 
 
 def ngram_linear_score(df: DataFrame, weights: DataFrame, key: list[str], text: str = "text", n_min: int = 3,
                        n_max: int = 5, intercept: float = 0.0, masked: bool = True) -> DataFrame:
-    """TF-IDF (L2) dot product of the text's n-grams plus an intercept.
+    """``key, score``: TF-IDF (L2) dot product of the text's n-grams plus an intercept.
+
+    ``weights``: ``ngram, coef_idf, idf``, one row per n-gram. A text without a
+    known n-gram scores the intercept alone.
 
-    ``weights``: ``ngram, coef_idf, idf``. A text without a known n-gram scores
-    the intercept alone. Unknown n-grams leave at the weight join, before
-    anything is grouped; whether that join broadcasts is left to Spark, which
-    knows the size of the weight table.
+    Texts are distributed by their key once; explode, weight lookup and both
+    aggregations then run without another shuffle, because n-grams take many
+    times the room of the text they come from. That needs the weights on every
+    node, so their number is checked; a larger table is joined after the
+    n-grams of a record are counted.
     """
-    body = F.lower(X.mask(F.col(text)) if masked else F.col(text))
-    grams = df.select(*key, F.explode(word_ngrams(body, n_min, n_max)).alias("ngram"))
-    per_gram = (grams.join(weights.select("ngram", "coef_idf", "idf"), "ngram")
-                .groupBy(*key, "ngram").agg(F.count("*").alias("c"), F.first("coef_idf").alias("w"), F.first("idf").alias("idf")))
-    sums = per_gram.groupBy(*key).agg(F.sum(F.col("c") * F.col("w")).alias("_dot"),
-                                      F.sum((F.col("c") * F.col("idf")) * (F.col("c") * F.col("idf"))).alias("_sq"))
-    score = F.when(F.coalesce(F.col("_sq"), F.lit(0.0)) == 0.0, F.lit(intercept)).otherwise(
-        F.col("_dot") / F.sqrt("_sq") + F.lit(intercept))
-    return df.join(sums, key, "left").withColumn("score", score).drop("_dot", "_sq")
+    # a stated number, as a small text shuffle must not be coalesced before it is blown up
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    body = df.select(*key, F.lower(X.mask(F.col(text)) if masked else F.col(text)).alias("_text")).repartition(parts, *key)
+    grams = explode_ngrams(body, key, "_text", n_min, n_max, mark_records=True)
+    zero = df.sparkSession.range(1).select(F.lit(NO_NGRAM).alias("ngram"), F.lit(0.0).alias("coef_idf"), F.lit(0.0).alias("idf"))
+    table = weights.select("ngram", F.col("coef_idf").cast("double").alias("coef_idf"), F.col("idf").cast("double").alias("idf")).unionByName(zero)
+    if is_small(weights):
+        known = grams.join(F.broadcast(table), "ngram").groupBy(*key, "ngram", "coef_idf", "idf").agg(F.count("*").alias("c"))
+    else:
+        known = grams.groupBy(*key, "ngram").agg(F.count("*").alias("c")).join(table, "ngram")
+    weighted = F.col("c") * F.col("idf")
+    sums = known.groupBy(*key).agg(F.sum(F.col("c") * F.col("coef_idf")).alias("_dot"), F.sum(weighted * weighted).alias("_sq"))
+    score = F.when(F.col("_sq") == 0.0, F.lit(intercept)).otherwise(F.col("_dot") / F.sqrt("_sq") + F.lit(intercept))
+    return sums.select(*key, score.alias("score"))

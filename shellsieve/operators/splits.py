@@ -15,11 +15,14 @@ def share(ratio: float) -> Column:
 
 
 def stratified(df: DataFrame, unique_key: str = "text", stratum: str = "verdict", val_ratio: float = 0.08,
-               test_ratio: float = 0.08, seed: int = 42) -> DataFrame:
-    """Per verdict: test first, then validation, the rest is train."""
+               test_ratio: float = 0.08, seed: int = 42, hashed: str | None = None) -> DataFrame:
+    """Per verdict: test first, then validation, the rest is train.
+
+    The frame is scanned three times; if it is costly, materialise it first.
+    """
     test = share(test_ratio)
     return assign_by_hash_rank(df, unique_key=unique_key, strata=[stratum], cuts=[test, test + share(val_ratio)],
-                               labels=["test", "val", "train"], seed=seed, few_strata=True)
+                               labels=["test", "val", "train"], seed=seed, few_strata=True, hashed=hashed)
 
 
 def holdout(df: DataFrame, unique_key: str = "text", val_ratio: float = 0.1, seed: int = 42) -> DataFrame:
@@ -29,7 +32,7 @@ def holdout(df: DataFrame, unique_key: str = "text", val_ratio: float = 0.1, see
 
 
 def claim_floor(assigned: DataFrame, unique_key: str = "text", actions: str = "actions", split: str = "split",
-                min_test: int = 20, seed: int = 42, tax: Taxonomy = TAXONOMY) -> DataFrame:
+                min_test: int = 20, seed: int = 42, hashed: str | None = None, tax: Taxonomy = TAXONOMY) -> DataFrame:
     """Move train rows to test until every action has ``min_test`` test rows.
 
     Actions take turns in taxonomy order and claim the earliest unclaimed train
@@ -37,17 +40,19 @@ def claim_floor(assigned: DataFrame, unique_key: str = "text", actions: str = "a
     set before any claim. All actions together claim at most
     ``len(actions) * min_test`` rows, so only that many first train rows of an
     action can matter: the claiming step sees a table of constant size.
+
+    The frame is scanned three times; if it is costly, materialise it first.
     """
     ids = tax.action_ids
     most = len(ids) * min_test
     pos = F.element_at(F.create_map(*[x for i, a in enumerate(ids) for x in (F.lit(a), F.lit(i))]), F.col("_a"))
     # an action listed twice in a row counts twice in test, but is one candidate
-    listed = (assigned.select(F.col(unique_key).alias("_id"), F.col(split).alias("_s"), F.explode(actions).alias("_a"))
+    order = F.col(hashed) if hashed else hash_order(F.col(unique_key), seed)
+    listed = (assigned.select(F.col(unique_key).alias("_id"), order.alias("_h"), F.col(split).alias("_s"), F.explode(actions).alias("_a"))
               .filter(F.col("_a").isin(*ids)).withColumn("_p", pos))
     have = listed.filter(F.col("_s") == "test").groupBy("_p").agg(F.count("*").alias("n"))
     candidates = first_per_group(
-        listed.filter(F.col("_s") == "train").select("_id", "_p").distinct()
-        .withColumn("_h", hash_order(F.col("_id"), seed)), ["_p"], ["_h", "_id"], most)
+        listed.filter(F.col("_s") == "train").select("_id", "_h", "_p").distinct(), ["_p"], ["_h", "_id"], most)
 
     id_type = assigned.schema[unique_key].dataType.simpleString()
     n_actions = len(ids)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shellsieve.functions import decide as D
 from shellsieve.functions import text as X
-from shellsieve.functions import vectors as V
-from shellsieve.operators import audit, dedup, lookups, metrics
-from shellsieve.plans.catalogue import csv, event_commands, query, score_vectors, table, truth_verdicts
+from shellsieve.operators import audit, dedup, lookups, metrics, splits
+from shellsieve.plans.catalogue import event_commands, query, score_vectors, table
 from shellsieve.plans.corpus import CORPUS_SQL, labelled_corpus
 from shellsieve.session import scratch_path
 from shellsieve.sources import scans, sinks
-from shellsieve.operators import splits
-from shellsieve.taxonomy import TAXONOMY
 
 
 @query("""WITH l AS (SELECT doc_id AS key, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT vec_id + 100 AS key, count(*) AS n FROM embeddings GROUP BY 1)
@@ -135,7 +133,7 @@ def latest_run(spark, folder):
 
 @query("WITH " + CORPUS_SQL + " SELECT split, count(*) AS n, count(*) FILTER (WHERE len(acts) > 0) AS n_soft FROM assigned GROUP BY split")
 def split_sizes(spark, folder):
-    assigned = splits.stratified(labelled_corpus(spark, folder))
+    assigned = splits.stratified(labelled_corpus(spark, folder), "doc_id", hashed="h")
     return metrics.split_sizes(assigned.withColumn("soft_v2", F.when(F.size("actions") > 0, F.col("actions"))))
 
 
@@ -153,20 +151,20 @@ def annotated_fan_out(spark, folder):
     return out
 
 
-@query("""SELECT doc_id, i AS line, length(ls[i])::BIGINT AS n_chars FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
-WHERE length(regexp_replace(ls[i], '\\s+', '', 'g')) > 0 AND doc_id IN (SELECT doc_id FROM documents)""")
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+n AS (SELECT doc_id, ls[i] AS value, row_number() OVER (ORDER BY doc_id, i) AS line FROM l)
+SELECT line, length(value)::BIGINT AS n_chars, md5(value) AS value_md5 FROM n WHERE length(regexp_replace(value, '\\s+', '', 'g')) > 0""")
 def line_provenance(spark, folder):
-    """1-based line numbers, blank lines counted, from files of plain text:
-    documents written one line per row and numbered by the scan."""
+    """Document lines written as text files in order, then numbered by the scan:
+    1-based, blank lines counted; files are chained by their line totals."""
     path = scratch_path(spark, "lines")
     docs = table(spark, folder, "documents")
-    # a header line per document tells where it starts; numbers are differences
-    rows = docs.select("doc_id", F.posexplode(F.concat(F.array(F.concat(F.lit("\u0001"), F.col("doc_id").cast("string"))), X.split_lines(F.col("text")))).alias("i", "value"))
-    rows.orderBy("doc_id", "i").select("value").write.text(path)
-    lines = scans.numbered_lines(spark, path, "*.txt")
-    heads = lines.filter(F.col("value").startswith("\u0001")).select(F.expr("cast(substring(value, 2) as bigint)").alias("doc_id"), "_source_file", F.col("_source_line").alias("_start"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("_source_file").orderBy("_start")
-    spans = heads.withColumn("_end", F.lead("_start").over(w))
-    inside = (lines.join(spans, "_source_file").filter((F.col("_source_line") > F.col("_start")) & (F.col("_end").isNull() | (F.col("_source_line") < F.col("_end")))))
-    return inside.filter(F.length(X.strip(F.col("value"))) > 0).select("doc_id", (F.col("_source_line") - F.col("_start")).alias("line"), F.char_length("value").cast("bigint").alias("n_chars"))
+    lines = docs.select("doc_id", F.posexplode(X.split_lines(F.col("text"))).alias("i", "value"))
+    lines.orderBy("doc_id", "i").select("value").write.text(path)
+    numbered = scans.numbered_lines(spark, path, "*.txt")
+    earlier = Window.orderBy("_source_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = (numbered.groupBy("_source_file").agg(F.max("_source_line").alias("_n"))
+              .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    return (numbered.filter(F.length(X.strip(F.col("value"))) > 0).join(starts, "_source_file")
+            .select((F.col("_start") + F.col("_source_line")).alias("line"), F.char_length("value").cast("bigint").alias("n_chars"),
+                    F.md5(F.col("value").cast("binary")).alias("value_md5")))

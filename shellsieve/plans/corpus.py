@@ -10,7 +10,7 @@ from shellsieve.functions import vectors as V
 from shellsieve.operators import dedup, filters, generate, lookups, metrics, ranking, splits
 from shellsieve.plans.catalogue import (csv, document_lines, event_commands, query, r6, score_vectors, table,
                                         truth_verdicts)
-from shellsieve.session import scratch_path
+from shellsieve.session import materialise, scratch_path
 from shellsieve.sources import scans, sinks
 from shellsieve.taxonomy import TAXONOMY
 
@@ -34,7 +34,7 @@ def corpus_dedup_stripped_priority(spark, folder):
 @query("""SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY doc_id) AS rn
 FROM documents) WHERE rn = 1""")
 def corpus_dedup_normalized(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "n_chars", "text")
+    docs = scans.spread(table(spark, folder, "documents").select("doc_id", "n_chars", "text"), "doc_id")
     return dedup.by_squeezed_text(docs, ["doc_id"]).select("doc_id", "n_chars")
 
 
@@ -110,12 +110,18 @@ def verdict_from_labels(spark, folder):
 
 
 def labelled_corpus(spark, folder):
-    """Labelled documents, each text once, with the actions of their vector."""
+    """Labelled documents, each text once, with the actions of their vector.
+
+    Splits look at it several times and need only the hash of the text, so that
+    is what is kept, and written once.
+    """
     vectors = score_vectors(spark, folder).select(F.col("vec_id").alias("doc_id"), "true_actions")
     rows = (table(spark, folder, "documents").select("doc_id", "text")
             .join(truth_verdicts(spark, folder).select("doc_id", "verdict"), "doc_id"))
     kept = dedup.by_exact_text(filters.valid_rows(rows), ["doc_id"])
-    return kept.join(vectors, "doc_id", "left").withColumn("actions", F.coalesce("true_actions", F.array().cast("array<string>"))).drop("true_actions")
+    joined = kept.join(vectors, "doc_id", "left")
+    return materialise(joined.select("doc_id", "verdict", ranking.hash_order(F.col("text")).alias("h"),
+                                     F.coalesce("true_actions", F.array().cast("array<string>")).alias("actions")), "corpus")
 
 
 CORPUS_SQL = """$TRUTH$, $DECIDED$,
@@ -129,7 +135,7 @@ CORPUS_SQL = """$TRUTH$, $DECIDED$,
 
 @query("WITH " + CORPUS_SQL + " SELECT doc_id, verdict, split FROM assigned")
 def stratified_split(spark, folder):
-    return splits.stratified(labelled_corpus(spark, folder)).select("doc_id", "verdict", "split")
+    return splits.stratified(labelled_corpus(spark, folder), "doc_id", hashed="h").select("doc_id", "verdict", "split")
 
 
 def _floor_sql(n_actions: int, floor: int) -> str:
@@ -146,8 +152,8 @@ def _floor_sql(n_actions: int, floor: int) -> str:
 SELECT doc_id, verdict, CASE WHEN doc_id IN (SELECT doc_id FROM c28) THEN 'test' ELSE split END AS split FROM assigned""")
 def split_action_floor(spark, folder):
     """The stratified split with at least 20 test rows per action."""
-    assigned = splits.stratified(labelled_corpus(spark, folder))
-    return splits.claim_floor(assigned).select("doc_id", "verdict", "split")
+    assigned = materialise(splits.stratified(labelled_corpus(spark, folder), "doc_id", hashed="h"), "assigned")
+    return splits.claim_floor(assigned, "doc_id", hashed="h").select("doc_id", "verdict", "split")
 
 
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '#42')) AS rn, count(*) OVER () AS n FROM documents)

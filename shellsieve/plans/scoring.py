@@ -11,7 +11,7 @@ from shellsieve.functions import vectors as V
 from shellsieve.operators import dedup, lookups, metrics, scoring, segments, sessions
 from shellsieve.plans.catalogue import csv, event_commands, query, r6, score_vectors, table
 from shellsieve.session import scratch_path
-from shellsieve.sources import extract, schemas
+from shellsieve.sources import extract, scans, schemas
 from shellsieve.streaming import score as stream
 from shellsieve.taxonomy import TAXONOMY
 
@@ -63,7 +63,7 @@ REDTEAM_SQL = """$DECIDED$, n AS (SELECT doc_id, lang, source, text, row_number(
 
 def redteam(spark, folder):
     """Whitespace-deduplicated documents with their score vectors, annotated."""
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    docs = scans.spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
     unique = dedup.by_squeezed_text(docs, ["doc_id"])
     vectors = score_vectors(spark, folder).select(F.col("vec_id").alias("doc_id"), "logits", "true_actions")
     return D.annotate(unique.join(vectors, "doc_id"))
@@ -116,8 +116,8 @@ def verdict_counts_by_file(spark, folder):
 s AS (SELECT doc_id, n, CASE WHEN n <= 120 THEN 1 ELSE 1 + CAST(ceil((n - 120) / 90.0) AS BIGINT) END AS k FROM t)
 SELECT doc_id, i AS seg, i * 90 AS start, CASE WHEN n <= 120 THEN n ELSE least(120, n - i * 90) END AS seg_tokens FROM (SELECT *, unnest(range(k)) AS i FROM s)""")
 def token_windows(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", X.basic_tokens(F.col("text")).alias("tokens"))
-    out = segments.windows(docs)
+    docs = scans.spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    out = segments.windows(docs.select("doc_id", X.basic_tokens(F.col("text")).alias("tokens")))
     return out.select("doc_id", F.col("seg").cast("bigint").alias("seg"), F.col("start").cast("bigint").alias("start"),
                       F.size("seg_tokens").cast("bigint").alias("seg_tokens"))
 
@@ -126,8 +126,8 @@ def token_windows(spark, folder):
  '[!-/:-@\\[-`{-~]|[^!-/:-@\\[-`{-~\\s]+') AS tok FROM documents)
 SELECT doc_id, len(tok)::BIGINT AS n_tokens, least(len(tok), 256)::BIGINT AS n_256, md5(array_to_string(tok[1:320], ' ')) AS head_320 FROM t""")
 def token_truncate(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", X.basic_tokens(F.col("text")).alias("tok"))
-    return docs.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"), F.size(segments.truncate(F.col("tok"), 256)).cast("bigint").alias("n_256"),
+    docs = scans.spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", X.basic_tokens(F.col("text")).alias("tok")).select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"), F.size(segments.truncate(F.col("tok"), 256)).cast("bigint").alias("n_256"),
                        F.md5(F.concat_ws(" ", segments.truncate(F.col("tok"), 320)).cast("binary")).alias("head_320"))
 
 
@@ -220,8 +220,8 @@ SELECT conv.doc_id, round(coalesce(dot / sqrt(sq), 0) + {INTERCEPT}, 6) AS score
 
 def ngram_weights(spark, folder):
     """A weight table that grows with its source: n-grams of the benchmark."""
-    words = X.squeeze(F.lower(F.col("text")))
-    grams = table(spark, folder, "benchmark").select(F.explode(scoring.word_ngrams(words, NGRAM_MIN, NGRAM_MIN)).alias("ngram"))
+    texts = table(spark, folder, "benchmark").select(F.lower("text").alias("text"))
+    grams = scoring.explode_ngrams(texts, [], "text", NGRAM_MIN, NGRAM_MIN)
     n = F.col("n")
     return (grams.groupBy("ngram").agg(F.count("*").alias("n"))
             .select("ngram", ((F.char_length("ngram") + n % 7 - 5) / F.lit(8.0)).alias("coef_idf"), (1 + (n % 5) / F.lit(4.0)).alias("idf")))
@@ -241,7 +241,7 @@ def mask_patterns(spark, folder):
     patterns look around, which the SQL engine's regex cannot)."""
     docs = table(spark, folder, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = table(spark, folder, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    masked = docs.unionByName(pages).withColumn("masked", X.mask(F.col("text")))
+    masked = scans.spread(docs.unionByName(pages), "id").withColumn("masked", X.mask(F.col("text")))
     return masked.select("kind", "id", F.md5(F.col("masked").cast("binary")).alias("masked_md5"), F.char_length("masked").cast("bigint").alias("n_chars"),
                          (F.col("masked") != F.col("text")).alias("changed"))
 

@@ -50,10 +50,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint (survives lost executors)."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write once to the shared folder and read back.
+
+    Cuts the lineage of a frame that several branches of a plan need; unlike a
+    cache it survives lost executors, and later scans still prune columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Rows up to which a narrow table is copied to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows; reads no more than needed to tell."""
+    return df.limit(rows + 1).count() <= rows

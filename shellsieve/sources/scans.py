@@ -11,6 +11,16 @@ from shellsieve.functions import text as X
 from shellsieve.sources import schemas
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-distribute a scan that has fewer splits than there are cores.
+
+    A lone small file is one task however wide the cluster is. Scans of real
+    size have splits enough and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def _fields(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
