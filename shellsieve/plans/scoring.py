@@ -10,7 +10,7 @@ from shellsieve.functions import text as X
 from shellsieve.functions import vectors as V
 from shellsieve.operators import dedup, lookups, metrics, scoring, segments, sessions
 from shellsieve.plans.catalogue import csv, event_commands, query, r6, score_vectors, table
-from shellsieve.session import scratch_path
+from shellsieve.session import materialise, scratch_path
 from shellsieve.sources import extract, scans, schemas
 from shellsieve.streaming import score as stream
 from shellsieve.taxonomy import TAXONOMY
@@ -231,7 +231,8 @@ def ngram_weights(spark, folder):
 def ngram_linear_score(spark, folder):
     """Every conversation turn against the n-gram weight table."""
     turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    out = scoring.ngram_linear_score(turns, ngram_weights(spark, folder), ["doc_id"], n_min=NGRAM_MIN, n_max=NGRAM_MAX, intercept=INTERCEPT, masked=False)
+    weights = materialise(ngram_weights(spark, folder), "weights")
+    out = scoring.ngram_linear_score(turns, weights, ["doc_id"], n_min=NGRAM_MIN, n_max=NGRAM_MAX, intercept=INTERCEPT, masked=False)
     return out.select("doc_id", r6("score").alias("score"))
 
 
