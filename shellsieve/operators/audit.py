@@ -21,9 +21,9 @@ def row_errors(verdict: Column, verdict_probs: str, bypass: Column, action_probs
     checks = [
         (~F.coalesce(argmax == verdict, F.lit(False)), "verdict_not_argmax"),
         (~F.coalesce(bypass == (verdict != MALICIOUS), F.lit(False)), "bypass_flag"),
-        (F.coalesce(F.size(verdict_probs), F.lit(0)) != nv, "verdict_probs_size"),
-        (F.coalesce(F.size(action_probs), F.lit(0)) != na, "action_probs_size"),
-        (F.coalesce(F.size(logits), F.lit(0)) != nv + na, "logits_size"),
+        (F.expr(f"coalesce(size({verdict_probs}), 0)") != nv, "verdict_probs_size"),
+        (F.expr(f"coalesce(size({action_probs}), 0)") != na, "action_probs_size"),
+        (F.expr(f"coalesce(size({logits}), 0)") != nv + na, "logits_size"),
     ]
     if expected_model is not None:
         checks.append((~F.coalesce(model == expected_model, F.lit(False)), "model_mismatch"))

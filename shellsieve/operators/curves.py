@@ -9,9 +9,11 @@ do not depend on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shellsieve.operators.ranking import boundaries, range_of
+
 
 def score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
     y = F.col(truth) == 1
@@ -19,24 +21,6 @@ def score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
             .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
 
 
-def boundaries(df: DataFrame, score: str, ranges: int = 256) -> list[float]:
-    """At most ``ranges - 1`` increasing cut points. Where they fall only
-    balances the work, any list gives the same result."""
-    qs = df.select(F.col(score).cast("double").alias("s")).approxQuantile(
-        "s", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))
-    return sorted(set(qs))
-
-
-def range_of(score: Column, cuts: list[float]) -> Column:
-    """Index of the range a score falls in, by bisection: log2(cuts) comparisons."""
-    def bisect(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(score < F.lit(cuts[mid]), bisect(lo, mid)).otherwise(bisect(mid + 1, hi))
-    return bisect(0, len(cuts))
-
-
 def running_counts(counts: DataFrame, cuts: list[float], descending: bool = True) -> DataFrame:
     """Add ``tp``/``fp``: counts of this score and all that come before it."""
     ranged = counts.withColumn("range", range_of(F.col("score"), cuts))

@@ -90,6 +90,40 @@ def first_per_group(df: DataFrame, group: list[str], order: list[Column | str],
     return out if rank else out.drop(name)
 
 
+def boundaries(df: DataFrame, column: str, ranges: int = 256) -> list[float]:
+    """At most ``ranges - 1`` increasing cut points. Where they fall only
+    balances the work, any list gives the same result."""
+    qs = df.select(F.col(column).cast("double").alias("s")).approxQuantile(
+        "s", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))
+    return sorted(set(qs))
+
+
+def range_of(value: Column, cuts: list[float]) -> Column:
+    """Index of the range a value falls in, by bisection: log2(cuts) comparisons."""
+    def bisect(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(cuts[mid]), bisect(lo, mid)).otherwise(bisect(mid + 1, hi))
+    return bisect(0, len(cuts))
+
+
+def rank_in_group(df: DataFrame, group: list[str], order: str, out: str = "rank", cuts: list[float] | None = None) -> DataFrame:
+    """``row_number`` by a unique number, for groups of any size.
+
+    A group is ranked range by range; each range is then offset by the counts of
+    the ranges before it.
+    """
+    cuts = boundaries(df, order) if cuts is None else cuts
+    ranged = df.withColumn("_range", range_of(F.col(order).cast("double"), cuts))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(*group, "_range").agg(F.count("*").alias("_c"))
+               .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c"))
+    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order)))
+    return (null_safe_join(local, offsets, [*group, "_range"])
+            .withColumn(out, F.col("_before") + F.col("_rn")).drop("_range", "_rn", "_before"))
+
+
 def group_slice(df: DataFrame, group: list[str], order: list[Column | str], offset: int, count: int) -> DataFrame:
     """Rows ``offset+1 .. offset+count`` of each group."""
     ranked = first_per_group(df, group, order, offset + count, rank="_pos")

@@ -42,9 +42,14 @@ def command_verdicts(df: DataFrame, session: list[str], position: str, verdict:
     return df.select(*session, position, verdict)
 
 
-def verdict_sequence(df: DataFrame, session: list[str], position: str, verdict: str = "verdict") -> DataFrame:
-    """The ordered verdicts as one list per session, for sessions known to be short."""
-    return (df.groupBy(*session).agg(F.sort_array(F.collect_list(F.struct(position, verdict))).alias("_s"))
+def verdict_sequence(df: DataFrame, session: list[str], position: str, verdict: str = "verdict", chunk: int = 10_000) -> DataFrame:
+    """The ordered verdicts as lists, one per session and ``part``.
+
+    Positions count from 0; a part holds ``chunk`` of them, so a session of any
+    length is never gathered in one place. Short sessions are one part.
+    """
+    part = F.floor(F.col(position) / chunk).alias("part")
+    return (df.groupBy(*session, part).agg(F.sort_array(F.collect_list(F.struct(position, verdict))).alias("_s"))
             .withColumn("per_command_verdicts", F.col(f"_s.{verdict}")).drop("_s"))
 
 

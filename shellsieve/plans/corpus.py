@@ -233,27 +233,23 @@ def regex_gates(spark, folder):
 
 
 @query("""WITH t(tool, template, pos) AS (VALUES ('alpha', 'alpha --run {sh} region', 0), ('alpha', 'alpha -x {sh}' || chr(10) || 'done', 1), ('beta', ' beta {sh} ', 2)),
-k AS (SELECT n_name AS token, n_nationkey AS token_pos FROM nation UNION ALL SELECT lower(r_name), 100 + r_regionkey FROM region),
+k AS (SELECT s_name AS token, s_suppkey AS token_pos FROM supplier),
 x AS (SELECT tool, pos, token_pos, trim(replace(replace(template, '{sh}', token), chr(10), '; ')) AS text FROM t CROSS JOIN k)
 SELECT text, tool, CASE WHEN tool = 'beta' THEN 'action.execute_local,action.network_scan' ELSE 'action.execute_local' END AS actions
 FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY pos, token_pos) AS rn FROM x) WHERE rn = 1""")
 def template_cross(spark, folder):
-    """Inert templates with every nation and region name."""
-    templates = spark.createDataFrame([("alpha", "alpha --run {sh} region", 0), ("alpha", "alpha -x {sh}\ndone", 1), ("beta", " beta {sh} ", 2)],
-                                      "tool string, template string, pos int")
-    tokens = (table(spark, folder, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").cast("bigint").alias("token_pos"))
-              .unionByName(table(spark, folder, "region").select(F.lower("r_name").alias("token"), (F.col("r_regionkey") + 100).cast("bigint").alias("token_pos"))))
+    """Inert templates with every supplier name."""
+    templates = [("alpha", "alpha --run {sh} region", 0), ("alpha", "alpha -x {sh}\ndone", 1), ("beta", " beta {sh} ", 2)]
+    tokens = table(spark, folder, "supplier").select(F.col("s_name").alias("token"), F.col("s_suppkey").alias("token_pos"))
     out = generate.expand_templates(templates, tokens, extra={"beta": "action.network_scan"})
     return out.select("text", "tool", csv("actions").alias("actions"))
 
 
-@query("""SELECT format('{}-{:03d}', lower(r_name), row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1) AS id, n_name AS text
-FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("""SELECT format('{}-{:03d}', lower(c_mktsegment), row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) AS id, c_name AS text FROM customer""")
 def seed_table_ids(spark, folder):
-    """Generated ids ``prefix-000`` per seed list (here: nations of a region)."""
-    seeds = (table(spark, folder, "nation").join(F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-             .select(F.lower("r_name").alias("risk"), F.col("n_name").alias("text"), "n_nationkey"))
-    return generate.seed_ids(seeds, "risk", "n_nationkey").select("id", "text")
+    """Generated ids ``prefix-000`` per seed list (here: customers of a segment)."""
+    seeds = table(spark, folder, "customer").select(F.lower("c_mktsegment").alias("risk"), F.col("c_name").alias("text"), "c_custkey")
+    return generate.seed_ids(seeds, "risk", "c_custkey").select("id", "text")
 
 
 LABELLED_TURNS = """t AS (SELECT conv_id, turn, role, text, list_filter(['verdict.malicious', CASE WHEN length(text) > 300 THEN 'action.reverse_shell' END,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shellsieve.functions import text as X
+from shellsieve.session import is_small, materialise
 from shellsieve.sources import schemas
 
 
@@ -39,15 +40,17 @@ def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> Dat
 
     Files stay splittable: a task numbers the lines of its own blocks, and each
     block is offset by the line counts of the earlier blocks of the same file.
-    Only one row per block is shuffled.
+    Those are counted by a first scan and written as one row per block; up to a
+    checked number of blocks (128 TB of default blocks) they are sent to every
+    node, so the lines themselves are not shuffled.
     """
     lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
              .select("value", F.col("_metadata.file_path").alias("_source_file"),
                      F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid")))
     blocks = lines.groupBy("_source_file", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("_source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    return (lines.join(offsets, ["_source_file", "_block"])
+    offsets = materialise(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), "blocks")
+    return (lines.join(F.broadcast(offsets) if is_small(offsets) else offsets, ["_source_file", "_block"])
             .select("_source_file", (F.col("_before") + F.col("_mid") - F.col("_first") + 1).alias("_source_line"), "value"))
 
 
