@@ -10,7 +10,7 @@ from shellsieve.functions import text as X
 from shellsieve.operators import audit, dedup, lookups, metrics, splits
 from shellsieve.plans.catalogue import event_commands, query, score_vectors, table
 from shellsieve.plans.corpus import CORPUS_SQL, labelled_corpus
-from shellsieve.session import scratch_path
+from shellsieve.session import materialise, scratch_path
 from shellsieve.sources import scans, sinks
 
 
@@ -35,13 +35,18 @@ def key_difference(spark, folder):
 
 
 def damaged(spark, folder):
-    """Annotated records with defects of every kind planted by rule."""
+    """Annotated records with defects of every kind planted by rule.
+
+    As in a real run they are a written table: checks look at every column many
+    times, and should not have the whole decision folded into each look.
+    """
     a = D.with_evasion_flags(D.decide(score_vectors(spark, folder)))
     i = F.col("vec_id") % 10
-    return (a.withColumn("model_dir", F.when(i == 5, "other").otherwise("model"))
-            .withColumn("verdict", F.when(i == 1, "verdict.none").when(i == 2, F.lit("verdict.benign")).otherwise(F.col("verdict")))
-            .withColumn("verdict_bypass", F.when(i == 3, ~F.col("verdict_bypass")).otherwise(F.col("verdict_bypass")))
-            .withColumn("logits", F.when(i == 4, F.slice("logits", 1, 30)).otherwise(F.col("logits"))))
+    bad = (a.withColumn("model_dir", F.when(i == 5, "other").otherwise("model"))
+           .withColumn("verdict", F.when(i == 1, "verdict.none").when(i == 2, F.lit("verdict.benign")).otherwise(F.col("verdict")))
+           .withColumn("verdict_bypass", F.when(i == 3, ~F.col("verdict_bypass")).otherwise(F.col("verdict_bypass")))
+           .withColumn("logits", F.when(i == 4, F.slice("logits", 1, 30)).otherwise(F.col("logits"))))
+    return materialise(bad.select("vec_id", "verdict", "verdict_probs", "verdict_bypass", "action_probs", "logits", "model_dir"), "annotated")
 
 
 DAMAGED = """$DECIDED$, x AS (SELECT vec_id, vec_id % 10 AS i, verdict AS good, CASE vec_id % 10 WHEN 1 THEN 'verdict.none' WHEN 2 THEN 'verdict.benign' ELSE verdict END AS verdict,

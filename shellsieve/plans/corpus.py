@@ -228,7 +228,7 @@ def teacher_probability_gate(spark, folder):
  count(*) FILTER (WHERE regexp_matches(html, '(?i)(ssh |scp |rsync |xargs .*ssh|for h in|while read)')) AS n_spread FROM pages""")
 def regex_gates(spark, folder):
     html = F.col("html")
-    return table(spark, folder, "pages").agg(F.count("*").alias("n"), F.count_if(filters.gate(html, R.WEB_ACCEPT, R.WEB_REJECT)).alias("n_web"),
+    return scans.spread(table(spark, folder, "pages").select("page_id", "html"), "page_id").agg(F.count("*").alias("n"), F.count_if(filters.gate(html, R.WEB_ACCEPT, R.WEB_REJECT)).alias("n_web"),
                                              F.count_if(filters.gate(html, R.SPREAD_ACCEPT)).alias("n_spread"))
 
 

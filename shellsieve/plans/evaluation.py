@@ -8,6 +8,8 @@ from shellsieve.functions import decide as D
 from shellsieve.functions import vectors as V
 from shellsieve.operators import curves, filters, lookups, metrics, thresholds
 from shellsieve.plans.catalogue import query, r6, score_vectors, table, truth_verdicts
+from shellsieve.session import materialise
+from shellsieve.sources import scans
 from shellsieve.taxonomy import TAXONOMY
 
 
@@ -151,7 +153,7 @@ def source_report(spark, folder):
  WHEN regexp_matches(html, '(?i)system\\(|exec\\s+/bin/sh|/bin/sh\\s*</dev|/bin/sh\\s*1>&|!sh\\b|!/bin/sh|-e\\s*[''"]system|rsh-command') THEN 'shell_escape' ELSE 'dual_use' END AS category,
  count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1""")
 def categorize_rules(spark, folder):
-    pages = table(spark, folder, "pages").withColumn("category", filters.rule_category(F.col("html")))
+    pages = scans.spread(table(spark, folder, "pages").select("page_id", "html"), "page_id").withColumn("category", filters.rule_category(F.col("html")))
     return pages.groupBy("category").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
@@ -251,7 +253,8 @@ def threshold_defaults(spark, folder):
 def redteam_selections(spark, folder):
     """Hard negatives, disagreements and doubly confirmed rows per truth."""
     rows = judged(spark, folder).withColumns({"gt": filters.bare(F.col("truth")), "arb_verdict": F.when(F.col("quality") == 0, "malicious").otherwise("benign")})
-    rows = rows.select("doc_id", "truth", "gt", "verdict", "arb_verdict")
+    # several selections of one decided table: written once, so that no filter repeats the decision
+    rows = materialise(rows.select("doc_id", "truth", "gt", "verdict", "arb_verdict"), "judged")
     counted = lambda df, name: df.groupBy("truth").agg(F.count("*").alias(name))
     out = counted(rows, "n")
     for name, part in (("n_hard", filters.hard_negatives(rows)), ("n_disagree", filters.disagreements(rows)), ("n_double", filters.double_confirmed(rows))):
@@ -261,8 +264,8 @@ def redteam_selections(spark, folder):
 
 @query("WITH " + JUDGED + """ SELECT doc_id, verdict, round(p2, 6) AS p_malicious, source FROM j WHERE truth = 'verdict.malicious' AND verdict <> 'verdict.malicious'""")
 def hard_negative_rows(spark, folder):
-    rows = judged(spark, folder).withColumn("gt", filters.bare(F.col("truth")))
-    return filters.hard_negatives(rows).select("doc_id", "verdict", r6(F.col("verdict_probs")[2]).alias("p_malicious"), "source")
+    rows = judged(spark, folder).withColumns({"gt": filters.bare(F.col("truth")), "p_malicious": r6(F.col("verdict_probs")[2])})
+    return filters.hard_negatives(materialise(rows.select("doc_id", "gt", "verdict", "p_malicious", "source"), "judged")).drop("gt")
 
 
 @query("WITH " + JUDGED + """, o AS (SELECT text, max_by(CASE WHEN n_chars >= 1500 THEN 'malicious' ELSE 'benign' END, doc_id) AS opinion FROM documents WHERE lang = 'en' GROUP BY text)
@@ -271,6 +274,7 @@ WHERE truth <> verdict GROUP BY 1, 2, 3""")
 def arbiter_agreement(spark, folder):
     """How an arbiter table decides the disagreements; texts it lacks are unknown."""
     rows = judged(spark, folder).withColumn("gt", filters.bare(F.col("truth"))).select("doc_id", "text", "gt", "verdict")
+    rows = materialise(rows, "judged")
     docs = table(spark, folder, "documents").filter("lang = 'en'")
     opinions = lookups.last_per_key(docs.select("text", "doc_id", F.when(F.col("n_chars") >= 1500, "malicious").otherwise("benign").alias("arb_verdict")), "text", ["doc_id"])
     return lookups.arbiter_counts(filters.disagreements(rows), opinions)

@@ -198,7 +198,7 @@ def _rule_case(label: str, base: float = -4.0) -> str:
 @query(f"""SELECT page_id, {_rule_case('verdict.malicious')} AS logit_malicious, {_rule_case('verdict.suspicious')} AS logit_suspicious,
  {_rule_case('action.download')} AS logit_download, {_rule_case('action.execute_local')} AS logit_execute, {_rule_case('action.keylog')} AS logit_keylog FROM pages""")
 def rule_table_score(spark, folder):
-    pages = table(spark, folder, "pages").withColumn("logits", scoring.rule_logits(F.col("html"), RULES))
+    pages = scans.spread(table(spark, folder, "pages").select("page_id", "html"), "page_id").withColumn("logits", scoring.rule_logits(F.col("html"), RULES))
     at = lambda label: F.col("logits")[TAXONOMY.all_ids.index(label)]
     return pages.select("page_id", at("verdict.malicious").alias("logit_malicious"), at("verdict.suspicious").alias("logit_suspicious"),
                         at("action.download").alias("logit_download"), at("action.execute_local").alias("logit_execute"), at("action.keylog").alias("logit_keylog"))
