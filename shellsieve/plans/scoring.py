@@ -8,8 +8,8 @@ from shellsieve.functions import decide as D
 from shellsieve.functions import patterns as R
 from shellsieve.functions import text as X
 from shellsieve.functions import vectors as V
-from shellsieve.operators import dedup, lookups, metrics, scoring, segments, sessions
-from shellsieve.plans.catalogue import csv, event_commands, query, r6, score_vectors, table
+from shellsieve.operators import dedup, fit, lookups, metrics, scoring, segments, sessions
+from shellsieve.plans.catalogue import csv, event_commands, query, r6, score_vectors, table, truth_verdicts
 from shellsieve.session import materialise, scratch_path
 from shellsieve.sources import extract, scans, schemas
 from shellsieve.streaming import score as stream
@@ -247,6 +247,20 @@ def mask_patterns(spark, folder):
                          (F.col("masked") != F.col("text")).alias("changed"))
 
 
+@query()
+def fitted_label_scorers(spark, folder):
+    """Linear scorers for two verdicts fitted on the labelled documents and
+    applied to all documents (an iterative fit has no SQL form)."""
+    docs = fit.features(scans.spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")).drop("text")
+    docs = materialise(docs, "features")
+    wanted = ("verdict.suspicious", "verdict.malicious")
+    targets = F.create_map(*[x for v in wanted for x in (F.lit(v), (F.col("verdict") == v).cast("double"))])
+    labelled = docs.join(truth_verdicts(spark, folder), "doc_id").select("features", targets.alias("targets"))
+    models = fit.fit_scorers(labelled, wanted, max_iter=5)
+    out = fit.apply_scorers(docs, models)
+    return out.select("doc_id", F.round("logit_suspicious", 3).alias("logit_suspicious"), F.round("logit_malicious", 3).alias("logit_malicious"))
+
+
 @query("""WITH $EVENTS$, s AS (SELECT user_id, day, count(*) AS n_commands, max(CASE verdict WHEN 'verdict.malicious' THEN 2 WHEN 'verdict.suspicious' THEN 1 ELSE 0 END) AS r,
  list_distinct(list(action)) AS acts FROM cmds GROUP BY user_id, day),
 c AS (SELECT *, array_to_string(list_filter([

@@ -112,3 +112,21 @@ def test_reports(spark):
     cmds = spark.createDataFrame([(0, "bad x", 1), (1, "good x", 0), (2, "zz", 1)], "id int, command string, y int")
     got = {r.rule: (r.tp, r.fp, r.fn, r.tn) for r in jobs.risk_bench_report(cmds, w, 3, 5, 0.1).collect()}
     assert got == {"thr=0.00": (2, 0, 0, 1), "thr=0.40": (1, 0, 1, 1)}
+
+
+def test_fitted_scorers(spark):
+    from shellsieve.functions import vectors as V
+    from shellsieve.operators import fit
+    rows = [(f"fetch thing {i}" if i % 2 else f"list other {i}", ["verdict.malicious"] if i % 2 else ["verdict.benign"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "text string, true_labels array<string>").withColumn("soft", F.lit(None).cast("array<double>"))
+    ready = fit.features(df).withColumn("targets", V.soft_targets("soft", "true_labels"))
+    weights = fit.weighted_rows(ready, "verdict.malicious").groupBy("y").agg(F.sum("w").alias("w"))
+    assert {r.y: round(r.w, 6) for r in weights.collect()} == {0.0: 30.0, 1.0: 39.0}
+    half = fit.weighted_rows(ready.withColumn("targets", F.create_map(F.lit("verdict.malicious"), F.lit(0.25))), "verdict.malicious")
+    assert {r.y: round(r.w, 6) for r in half.groupBy("y").agg(F.sum("w").alias("w")).collect()} == {0.0: 45.0, 1.0: 15.0}
+    models = fit.fit_scorers(ready, ["verdict.malicious"], max_iter=10)
+    scored = fit.apply_scorers(fit.features(spark.createDataFrame([("fetch it",), ("list it",), ("",)], "text string")), models)
+    got = {r.text: r.logit_malicious for r in scored.collect()}
+    assert got["fetch it"] > 0 > got["list it"] and len(got) == 3
+    grams = spark.createDataFrame([("Ab cde",), ("",), ("a",)], "t string").select(fit.word_ngrams(F.col("t"), 3)).collect()
+    assert [r[0] for r in grams] == [[" ab", "ab ", " cd", "cde", "de "], [], [" a "]]
