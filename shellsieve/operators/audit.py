@@ -43,22 +43,25 @@ def first_errors(df: DataFrame, key: str, errors: str = "errors", n: int = 100)
 def gates(annotated: DataFrame, candidates: DataFrame, key: str, verdict: str = "verdict", at_least: int = 1000) -> DataFrame:
     """One row of cross-table counts and yes/no requirements.
 
-    Key coverage is decided on per-key counts of both sides, so no key is
-    gathered in one place.
+    Both sides are counted per key with a map-side part, then summed up: one
+    shuffle, and no key is gathered in one place.
     """
     v = F.col(verdict)
-    counts = annotated.agg(F.count("*").alias("n_annotated"), F.count_if(v != MALICIOUS).alias("bypasses"),
-                           F.count_if(v == BENIGN).alias("benign_bypasses"), F.count_if(v == SUSPICIOUS).alias("suspicious_evasions"),
-                           F.count_if(v == MALICIOUS).alias("detected_malicious"))
-    a = annotated.select(F.col(key).alias("_k"), F.lit(1).alias("_a"), F.lit(0).alias("_c"))
-    c = candidates.select(F.col(key).alias("_k"), F.lit(0).alias("_a"), F.lit(1).alias("_c"))
-    per_key = a.unionByName(c).groupBy("_k").agg(F.max("_a").alias("_a"), F.max("_c").alias("_c"))
-    cover = per_key.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("unique_candidates"),
-                        F.coalesce(F.sum("_a"), F.lit(0)).alias("unique_annotated"),
-                        F.count_if((F.col("_c") == 1) & (F.col("_a") == 0)).alias("missing"),
-                        F.count_if((F.col("_c") == 0) & (F.col("_a") == 1)).alias("extra"))
-    both = counts.crossJoin(F.broadcast(cover))  # one row each
-    return both.withColumns({
+    one, none = F.lit(1), F.lit(0)
+    a = annotated.select(F.col(key).alias("_k"), one.alias("_a"), none.alias("_c"), v.alias("_v"))
+    c = candidates.select(F.col(key).alias("_k"), none.alias("_a"), one.alias("_c"), F.lit(None).cast("string").alias("_v"))
+    per_key = a.unionByName(c).groupBy("_k").agg(
+        F.sum("_a").alias("_a"), F.max("_c").alias("_c"), F.count_if(F.col("_v") == BENIGN).alias("_b"),
+        F.count_if(F.col("_v") == SUSPICIOUS).alias("_s"), F.count_if(F.col("_v") == MALICIOUS).alias("_m"),
+        F.count_if(F.col("_v") != MALICIOUS).alias("_n"))
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+    report = per_key.agg(
+        total("_a").alias("n_annotated"), total("_n").alias("bypasses"), total("_b").alias("benign_bypasses"),
+        total("_s").alias("suspicious_evasions"), total("_m").alias("detected_malicious"),
+        total("_c").alias("unique_candidates"), F.count_if(F.col("_a") > 0).alias("unique_annotated"),
+        F.count_if((F.col("_c") == 1) & (F.col("_a") == 0)).alias("missing"),
+        F.count_if((F.col("_c") == 0) & (F.col("_a") > 0)).alias("extra"))
+    return report.withColumns({
         "split_sum_ok": F.col("bypasses") == F.col("benign_bypasses") + F.col("suspicious_evasions"),
         "candidates_gate": F.col("unique_candidates") >= at_least,
         "bypass_gate": F.col("bypasses") >= at_least,

@@ -46,8 +46,7 @@ def arbiter_counts(ambiguous: DataFrame, arbiter: DataFrame, key: str = "text",
 
 def latest_run(df: DataFrame, run: str = "run_id") -> DataFrame:
     """Rows of the run whose name sorts last."""
-    newest = df.agg(F.max(run).alias("_latest"))
-    return df.join(F.broadcast(newest), F.col(run) == F.col("_latest")).drop("_latest")
+    return df.filter(F.col(run) == df.agg(F.max(run)).scalar())
 
 
 def attck_by_join(df: DataFrame, key: list[str], actions: str, rules: DataFrame) -> DataFrame:

@@ -64,11 +64,14 @@ def assign_by_hash_rank(df: DataFrame, *, unique_key: str, strata: list[str], cu
               .groupBy(*strata)
               .agg(*[F.max(F.when(F.col("_i") == i, F.col("_h"))).alias(f"_cut{i}") for i in range(len(cuts))]))
 
+    if strata:
+        joined = null_safe_join(marked, hint(values), strata, "left")
+        limits = [F.col(f"_cut{i}") for i in range(len(cuts))]
+    else:  # one row of values: scalar subqueries, no join
+        joined, limits = marked, [values.select(f"_cut{i}").scalar() for i in range(len(cuts))]
     label = F.lit(labels[-1])
-    for i in range(len(cuts) - 1, -1, -1):
-        label = F.when(F.col("_h") <= F.col(f"_cut{i}"), F.lit(labels[i])).otherwise(label)
-    # without strata ``values`` is one row
-    joined = null_safe_join(marked, hint(values), strata, "left") if strata else marked.crossJoin(F.broadcast(values))
+    for name, limit in reversed(list(zip(labels, limits))):
+        label = F.when(F.col("_h") <= limit, F.lit(name)).otherwise(label)
     return joined.withColumn(out, label).drop("_h", *[f"_cut{i}" for i in range(len(cuts))])
 
 

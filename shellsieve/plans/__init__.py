@@ -1,9 +1,4 @@
 def load_catalogue():
     """(queries, oracles); importing the query modules registers them."""
-    from shellsieve.plans import catalogue, corpus  # noqa: F401
-    for name in ("scoring", "evaluation", "auditing"):
-        try:
-            __import__(f"shellsieve.plans.{name}")
-        except ModuleNotFoundError:
-            pass
+    from shellsieve.plans import auditing, catalogue, corpus, evaluation, scoring  # noqa: F401
     return catalogue.QUERIES, catalogue.ORACLES

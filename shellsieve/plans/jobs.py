@@ -89,7 +89,7 @@ def verify_run(spark: SparkSession, raw: str, out: str, model: str, at_least: in
     errors = audit.row_errors(F.col("verdict"), "verdict_probs", F.col("verdict_bypass"), "action_probs", "map_values(raw_logits)", F.col("model_dir"), model)
     bad = annotated.agg(F.coalesce(F.sum(F.size(errors)), F.lit(0)).alias("row_errors"))
     report = audit.gates(annotated, scans.redteam_candidates(spark, raw), "_command_sha256", at_least=at_least)
-    both = report.crossJoin(F.broadcast(bad))  # one row each
+    both = report.withColumn("row_errors", bad.scalar())
     ok = (F.col("row_errors") == 0) & F.col("all_detected") & F.col("split_sum_ok")
     return both.withColumn("status", F.when(ok, "verified").otherwise("failed"))
 

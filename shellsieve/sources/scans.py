@@ -74,9 +74,8 @@ def strict_jsonl(spark: SparkSession, path: str, schema: str | T.StructType = sc
     """Like ``parsed_lines`` but the first bad line fails the job with path:line."""
     rows = parsed_lines(numbered_lines(spark, path, glob), schema, required)
     where = F.concat(F.col("_reject"), F.lit(" at "), F.col("_source_file"), F.lit(":"), F.col("_source_line").cast("string"))
-    first = _fields(schema).fieldNames()[0]
     checked = F.when(F.col("_reject").isNotNull(), F.raise_error(where).cast("bigint")).otherwise(F.col("_source_line"))
-    return rows.withColumn("_source_line", checked).filter(F.col("_source_line") > 0).drop("value", "_reject").withColumn(first, F.col(first))
+    return rows.withColumn("_source_line", checked).filter(F.col("_source_line") > 0).drop("value", "_reject")
 
 
 def redteam_candidates(spark: SparkSession, path: str) -> DataFrame:
