@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from shellsieve.functions import text as X
 
 
-def first_wins(df: DataFrame, key: Column | str, order: list[Column | str]) -> DataFrame:
+def first_wins(df: DataFrame, key: Column | str, order: list[Column | str], keep: list[str] | None = None) -> DataFrame:
     """Keep, per key, the row that comes first in ``order`` (a total order).
 
     Filters that decide which rows may claim a key belong before this call.
+    ``keep`` names the columns wanted afterwards; leaving out long texts that
+    only serve as key keeps them out of the shuffle.
     """
-    columns = df.columns
+    columns = keep or df.columns
     key_col = F.col(key) if isinstance(key, str) else key
     carried = [c for c in columns if not (isinstance(key, str) and c == key)]
     picked = (df.groupBy(key_col.alias("_key"))
@@ -38,18 +40,18 @@ def by_stripped_text(df: DataFrame, order: list[Column | str], text: str = "text
     return first_wins(cleaned, text, order)
 
 
-def by_squeezed_text(df: DataFrame, order: list[Column | str], text: str = "text") -> DataFrame:
+def by_squeezed_text(df: DataFrame, order: list[Column | str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Texts that differ only in whitespace are the same; the first keeps its spelling.
 
     The key is the digest of the squeezed text, so that long texts are neither
     sorted on nor shuffled twice.
     """
-    return first_wins(df, F.unhex(X.sha256(X.squeeze(F.col(text)))), order)
+    return first_wins(df, F.unhex(X.sha256(X.squeeze(F.col(text)))), order, keep)
 
 
-def by_text_hash(df: DataFrame, order: list[Column | str], text: str = "text") -> DataFrame:
+def by_text_hash(df: DataFrame, order: list[Column | str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per sha256 of the text; ``order`` says which producer keeps it."""
-    return first_wins(df, F.unhex(X.sha256(F.col(text))), order)
+    return first_wins(df, F.unhex(X.sha256(F.col(text))), order, keep)
 
 
 def key_set(*frames: DataFrame, key: str = "key") -> DataFrame:

@@ -18,7 +18,7 @@ from shellsieve.taxonomy import TAXONOMY
 @query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def corpus_dedup_first_wins(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
-    return dedup.by_exact_text(docs, ["doc_id"]).select("doc_id", "source", "lang")
+    return dedup.by_text_hash(docs, ["doc_id"], keep=["doc_id", "source", "lang"])
 
 
 @query("""WITH s AS (SELECT doc_id, source, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)
@@ -35,7 +35,7 @@ def corpus_dedup_stripped_priority(spark, folder):
 FROM documents) WHERE rn = 1""")
 def corpus_dedup_normalized(spark, folder):
     docs = scans.spread(table(spark, folder, "documents").select("doc_id", "n_chars", "text"), "doc_id")
-    return dedup.by_squeezed_text(docs, ["doc_id"]).select("doc_id", "n_chars")
+    return dedup.by_squeezed_text(docs, ["doc_id"], keep=["doc_id", "n_chars"])
 
 
 @query("""WITH $LINES$
@@ -43,8 +43,9 @@ SELECT lang, count(*) AS n_kept, sum(length(text))::BIGINT AS chars FROM (SELECT
 FROM lines) WHERE rn = 1 GROUP BY lang""")
 def dedup_by_hash_across_groups(spark, folder):
     """The first group (language) to produce a line keeps it."""
-    kept = dedup.by_text_hash(document_lines(spark, folder), ["lang", "doc_id", "line"])
-    return kept.groupBy("lang").agg(F.count("*").alias("n_kept"), F.sum(F.char_length("text")).alias("chars"))
+    lines = document_lines(spark, folder).withColumn("n", F.char_length("text").cast("bigint"))
+    kept = dedup.by_text_hash(lines, ["lang", "doc_id", "line"], keep=["lang", "n"])
+    return kept.groupBy("lang").agg(F.count("*").alias("n_kept"), F.sum("n").alias("chars"))
 
 
 @query("""WITH $LINES$,
@@ -118,9 +119,10 @@ def labelled_corpus(spark, folder):
     vectors = score_vectors(spark, folder).select(F.col("vec_id").alias("doc_id"), "true_actions")
     rows = (table(spark, folder, "documents").select("doc_id", "text")
             .join(truth_verdicts(spark, folder).select("doc_id", "verdict"), "doc_id"))
-    kept = dedup.by_exact_text(filters.valid_rows(rows), ["doc_id"])
+    hashed = filters.valid_rows(rows).withColumn("h", ranking.hash_order(F.col("text")))
+    kept = dedup.by_text_hash(hashed, ["doc_id"], keep=["doc_id", "verdict", "h"])
     joined = kept.join(vectors, "doc_id", "left")
-    return materialise(joined.select("doc_id", "verdict", ranking.hash_order(F.col("text")).alias("h"),
+    return materialise(joined.select("doc_id", "verdict", "h",
                                      F.coalesce("true_actions", F.array().cast("array<string>")).alias("actions")), "corpus")
 
 

@@ -61,10 +61,13 @@ REDTEAM_SQL = """$DECIDED$, n AS (SELECT doc_id, lang, source, text, row_number(
  rt AS (SELECT n.doc_id, n.lang, n.source, n.text, v.* FROM n JOIN v ON v.vec_id = n.doc_id WHERE rn = 1)"""
 
 
-def redteam(spark, folder):
-    """Whitespace-deduplicated documents with their score vectors, annotated."""
+def redteam(spark, folder, keep_text=False):
+    """Whitespace-deduplicated documents with their score vectors, annotated.
+
+    Reports need the text only as the dedup key, so it is not carried along.
+    """
     docs = scans.spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
-    unique = dedup.by_squeezed_text(docs, ["doc_id"])
+    unique = dedup.by_squeezed_text(docs, ["doc_id"], keep=None if keep_text else ["doc_id", "lang", "source"])
     vectors = score_vectors(spark, folder).select(F.col("vec_id").alias("doc_id"), "logits", "true_actions")
     return D.annotate(unique.join(vectors, "doc_id"))
 
@@ -73,7 +76,7 @@ def redteam(spark, folder):
  CASE WHEN verdict <> 'verdict.malicious' THEN 'verdict_not_malicious' ELSE 'detected_malicious' END AS bypass_type, verdict = 'verdict.benign' AS strict_bypass,
  verdict = 'verdict.suspicious' AS partial_evasion, round(lg[3], 6) AS logit_malicious, len(lg)::BIGINT AS n_logits FROM rt""")
 def redteam_annotate(spark, folder):
-    out = redteam(spark, folder)
+    out = redteam(spark, folder, keep_text=True)
     return out.select("doc_id", X.sha256(F.col("text")).alias("command_sha256"), "verdict", "verdict_bypass", "bypass_type", "strict_bypass",
                       "partial_evasion", F.col("raw_logits")["verdict.malicious"].alias("logit_malicious"),
                       F.size("raw_logits").cast("bigint").alias("n_logits"))
