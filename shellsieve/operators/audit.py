@@ -87,8 +87,11 @@ def label_conformance(df: DataFrame, key: str, verdict: str = "verdict", actions
     return df.select(key, F.explode(issues).alias("x")).select(key, "x.issue", "x.value")
 
 
-def taxonomy_errors(table: DataFrame, groups=("verdict", "action")) -> DataFrame:
-    """Structural errors of a taxonomy table itself: (id, error) rows."""
+def taxonomy_errors(table: DataFrame, groups=("verdict", "action"), declared: dict[str, int] | None = None) -> DataFrame:
+    """Structural errors of a taxonomy table itself: (id, error) rows.
+
+    ``declared`` gives the number of labels a group is said to have.
+    """
     rules = F.coalesce(F.size("tactics"), F.lit(0)) * F.coalesce(F.size("techniques"), F.lit(0))
     name = F.coalesce(F.col("id"), F.lit("<missing-id>"))
     found = F.array_compact(F.array(
@@ -100,6 +103,8 @@ def taxonomy_errors(table: DataFrame, groups=("verdict", "action")) -> DataFrame
     repeated = (table.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
                 .select("id", F.lit("duplicate id").alias("error")))
     present = table.agg(*[F.count_if(F.col("grp") == g).alias(g) for g in groups])
-    empty = present.select(F.explode(F.array_compact(F.array(*[F.when(F.col(g) == 0, F.lit(g)) for g in groups]))).alias("id"),
-                           F.lit("missing or empty group").alias("error"))
-    return per_row.unionByName(repeated).unionByName(empty)
+    found = [F.when(F.col(g) == 0, F.struct(F.lit(g).alias("id"), F.lit("missing or empty group").alias("error"))) for g in groups]
+    found += [F.when(F.col(g) != n, F.struct(F.lit(g).alias("id"), F.lit("count differs from declared").alias("error")))
+              for g, n in (declared or {}).items()]
+    per_group = present.select(F.inline(F.array_compact(F.array(*found))))
+    return per_row.unionByName(repeated).unionByName(per_group)

@@ -133,6 +133,8 @@ def test_sinks(spark, tmp_path):
     assert [d["label"] for d in desc] == list(TAXONOMY.all_ids)
     sinks.write_summary(spark.range(1).select(F.struct(F.lit(2).alias("n")).alias("counts"), F.create_map(F.lit("é"), F.lit(1)).alias("m")), str(tmp_path / "j"))
     assert [json.loads(p.read_text()) for p in (tmp_path / "j").glob("*.json")] == [{"counts": {"n": 2}, "m": {"é": 1}}]
+    sinks.write_predictions(spark.createDataFrame([("a", "s1"), ("b", "s2")], "text string, source string"), str(tmp_path / "p"))
+    assert {p.name for p in (tmp_path / "p").iterdir() if p.is_dir()} == {"source=s1", "source=s2"}
     sums = {r.file: r.sha256 for r in scans.checksums(spark, str(tmp_path / "j"), "*.json").collect()}
     import hashlib
     assert list(sums.values()) == [hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "j").glob("*.json")]

@@ -178,3 +178,18 @@ def test_taxonomy_is_clean_and_errors_are_found(spark):
     got = sorted((r.id, r.error) for r in audit.taxonomy_errors(bad).collect())
     assert got == [("keylog", "missing description"), ("keylog", "missing tactics/techniques"), ("keylog", "wrong prefix"), ("verdict.benign", "duplicate id")]
     assert [r.id for r in audit.taxonomy_errors(table.filter("grp = 'action'")).collect()] == ["verdict"]
+    assert [(r.id, r.error) for r in audit.taxonomy_errors(table, declared={"verdict": 3, "action": 29}).collect()] == [("action", "count differs from declared")]
+
+
+def test_conformance_of_labelled_rows(spark):
+    rows = [(1, "verdict.benign", ["action.keylog"], [0.0] * 31), (2, None, ["x", "x"], [0.0] * 30), (3, "verdict.odd", None, None)]
+    df = spark.createDataFrame(rows, "i int, verdict string, actions array<string>, soft array<double>")
+    got = sorted((r.i, r.issue, r.value) for r in audit.label_conformance(df, "i", soft="soft").na.fill("-").collect())
+    assert got == [(2, "action_outside_taxonomy", "x"), (2, "action_outside_taxonomy", "x"), (2, "action_repeated", "x"), (2, "soft_size", "30"),
+                   (2, "verdict_outside_taxonomy", "-"), (3, "verdict_outside_taxonomy", "verdict.odd")]
+
+
+def test_long_session_comes_in_parts(spark):
+    df = spark.range(25).select(F.lit("s").alias("id"), F.col("id").alias("pos"), F.concat(F.lit("v"), F.col("id")).alias("verdict")).repartition(5)
+    parts = {r.part: r.per_command_verdicts for r in sessions.verdict_sequence(df, ["id"], "pos", chunk=10).collect()}
+    assert sum((parts[p] for p in sorted(parts)), []) == [f"v{i}" for i in range(25)] and len(parts) == 3

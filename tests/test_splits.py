@@ -69,6 +69,15 @@ def test_first_per_group_small_and_salted_agree(spark):
         assert got == {(g, i) for g, members in groups.items() for i in members[:n]}
 
 
+def test_rank_in_group_is_row_number(spark):
+    df = spark.range(2000).select((F.col("id") * 7919 % 10007).alias("o"), F.when(F.col("id") % 3 > 0, "hot").alias("g")).repartition(6)
+    got = {r.o: (r.g, r["rank"]) for r in ranking.rank_in_group(df, ["g"], "o", cuts=[1000.0, 1000.5, 5000.0]).collect()}
+    for g in ("hot", None):
+        members = sorted(o for o, (h, _) in got.items() if h == g)
+        assert [got[o][1] for o in members] == list(range(1, len(members) + 1))
+    assert len(got) == 2000
+
+
 def test_sample_is_a_stable_subset(spark):
     df = spark.range(1000).select("id", (F.col("id") % 4).alias("g"))
     small = {r.id for r in ranking.sample_per_group(df, ["g"], "id", 10).collect()}
