@@ -189,13 +189,14 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER,
-           quantile: float = 0.995, out: str = "quality", model_rows: int = MODEL_ROWS) -> DataFrame:
+           quantile: float = 0.995, prior: int = 100, out: str = "quality", model_rows: int = MODEL_ROWS) -> DataFrame:
     """``docs`` with a struct (n_symbols, perplexity, threshold, accepted) that clashes with no column.
 
     Counts are of all trusted texts but one fold of five, thresholds of that fold:
     the ``quantile`` of its perplexities in the row's language (null is a language
     of its own), of all languages where a language has none, and no limit without
-    any trusted row. Null and empty texts have null perplexity and are not
+    any trusted row. ``prior`` symbols at the mean rate of the held-out texts are
+    added to every text, since a few odd letters say little. Null and empty texts have null perplexity and are not
     accepted. Repeated rows are judged alike.
     """
     name = free_name(docs, out)
@@ -206,17 +207,23 @@ def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
               .groupBy("gram").agg(F.sum("n").alias("c")))
     probabilities = model(materialise(counts, "grams"), order)
     scored = log_likelihood(docs, materialise(probabilities, "model"), text=text, order=order, out=name, model_rows=model_rows)
-    perplexity = F.when(F.col(f"{name}.n") > 0, F.exp(-F.col(f"{name}.logp") / F.col(f"{name}.n")))
-    narrow = materialise(scored.select(F.col(key).alias("_id"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"), perplexity.alias("_ppl"))
-                         .join(trust.filter("_fold = 0").select("_id"), "_id"), "held_out")
-    limits = narrow.groupBy("_lang").agg(F.percentile_approx("_ppl", quantile, 10_000).alias("_own"))
-    overall = narrow.agg(F.percentile_approx("_ppl", quantile, 10_000).alias("v")).first()["v"]
-    limits = materialise(limits, "limits")
+    logp, n = F.col(f"{name}.logp"), F.col(f"{name}.n")
+    narrow = materialise(scored.select(F.col(key).alias("_id"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"), logp.alias("_logp"), n.alias("_n"))
+                         .filter("_n > 0").join(trust.filter("_fold = 0").select("_id"), "_id"), "held_out")
+    mean = narrow.agg((F.sum("_logp") / F.sum("_n")).alias("v")).first()["v"] or 0.0
+
+    def smoothed(total: Column, size: Column) -> Column:
+        return F.exp(-(total + F.lit(prior * mean)) / (size + prior))
+
+    limit_of = F.percentile_approx(smoothed(F.col("_logp"), F.col("_n")), quantile, 10_000)
+    limits = materialise(narrow.groupBy("_lang").agg(limit_of.alias("_own")), "limits")
+    overall = narrow.agg(limit_of.alias("v")).first()["v"]
     limits = F.broadcast(limits) if is_small(limits, LANGUAGES) else limits
     language, limit = free_name(scored, "_lang_of"), free_name(scored, "_limit_of")
     limits = limits.select(F.col("_lang").alias(language), F.col("_own").alias(limit))
     threshold = F.coalesce(F.col(limit), F.lit(overall).cast("double"), F.lit(float("inf")))
-    verdict = F.struct(F.col(f"{name}.n").alias("n_symbols"), perplexity.alias("perplexity"), threshold.alias("threshold"),
+    perplexity = F.when(n > 0, smoothed(logp, n))
+    verdict = F.struct(n.alias("n_symbols"), perplexity.alias("perplexity"), threshold.alias("threshold"),
                        F.coalesce(perplexity <= threshold, F.lit(False)).alias("accepted"))
     return (scored.join(limits, F.coalesce(F.col(lang), F.lit("")) == F.col(language), "left")
             .withColumn(name, verdict).drop(language, limit))

@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed words. The score is the logistic of
+A text is the set of its hashed terms: its words and their first four, five and six
+letters, so inflected forms share a term. The score is the logistic of
 ``w0 + sum w_i + 1/2 * sum_f((sum v_if)^2 - sum v_if^2)``: the linear weights see
 single terms, the factors see pairs. Training reads a bounded sample of labelled
 rows; scoring reads every whole text and needs no shuffle.
@@ -17,71 +18,98 @@ from pyspark.sql import functions as F
 from shellsieve.llm.common import CACHE_ENTRIES, fold_of, free_name, words
 
 #: At most about so many labelled rows are fitted (chosen by the hash of the id).
-SAMPLE_ROWS = 20_000
-BITS = 18
+SAMPLE_ROWS = 12_000
+BITS = 26
+PREFIXES = (4, 5, 6)
+
+
+def terms_of(word: bytes) -> list[bytes]:
+    """The word itself and its marked prefixes."""
+    letters = word.decode("utf-8", "ignore")
+    return [word, *(b"^" + letters[:n].encode("utf-8") for n in PREFIXES if len(letters) >= n)]
 
 
 class Buckets:
-    """Distinct hashed terms of a text, sorted; hashes of words are remembered."""
+    """Distinct hashed terms of a text, sorted; the hashes of a word are remembered.
+
+    With ``keep`` (a sorted array) only these hashes count, and their positions in it are told.
+    """
 
-    def __init__(self, bits: int) -> None:
+    def __init__(self, bits: int, keep: np.ndarray | None = None) -> None:
         import xxhash
         self.hash, self.mask, self.known = xxhash.xxh3_64_intdigest, (1 << bits) - 1, {}
+        self.keep = None if keep is None else {int(t): i for i, t in enumerate(keep)}
+
+    def learn(self, word: bytes) -> tuple:
+        found = (self.hash(t) & self.mask for t in terms_of(word))
+        self.known[word] = out = tuple(found if self.keep is None else (self.keep[t] for t in found if t in self.keep))
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
         known, out = self.known, set()
         if len(known) > CACHE_ENTRIES:
             known.clear()
         for w in set(words(text)):
-            b = known.get(w)
-            if b is None:
-                b = known[w] = self.hash(w) & self.mask
-            out.add(b)
+            found = known.get(w)
+            if found is None:
+                found = self.learn(w)
+            if found:
+                out.update(found)
         return np.sort(np.fromiter(out, dtype=np.int32, count=len(out)))
 
 
 @dataclass
 class Machine:
-    """Weights by term; terms that were not learned have zeros."""
+    """Weights of the learned terms (hashes, rising); all other terms weigh nothing."""
     bias: float
+    terms: np.ndarray
     linear: np.ndarray
     factors: np.ndarray
     bits: int
 
-    def margin(self, terms: np.ndarray) -> float:
-        v = self.factors[terms]
+    def margin(self, at: np.ndarray) -> float:
+        v = self.factors[at]
         s = v.sum(axis=0)
-        return float(self.bias + self.linear[terms].sum() + 0.5 * (s @ s - (v * v).sum()))
+        return float(self.bias + self.linear[at].sum() + 0.5 * (s @ s - (v * v).sum()))
+
+    def score(self, at: np.ndarray) -> float:
+        """Score of a text by the positions of its terms."""
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.margin(at), -500, 500))))
 
-    def score(self, terms: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.margin(terms), -500, 500))))
+    def buckets(self) -> Buckets:
+        return Buckets(self.bits, self.terms)
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, rank: int = 4, epochs: int = 12,
-             rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-5, min_rows: int = 5, batch: int = 256,
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, rank: int = 4, epochs: int = 30,
+             rate: float = 0.2, l1: float = 1e-5, l2: float = 1e-5, min_rows: int = 4, min_chi2: float = 12.0, batch: int = 256,
              seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss, with a soft threshold on the linear weights.
 
-    Terms in fewer than ``min_rows`` rows stay at zero: a term seen in one or two
-    rows tells nothing about the label. Without rows of both labels the machine
+    Only terms in ``min_rows`` rows or more whose chi-square against the label is at
+    least ``min_chi2`` are learned; the thousands of others would be fitted to chance. Without rows of both labels the machine
     is the constant rate of label 1 (0.5 without rows).
     """
-    size, rng = 1 << bits, np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
     y = np.asarray(labels, dtype=np.float64)
     rate_of_ones = (y.sum() + 0.5) / (len(y) + 1.0)
-    machine = Machine(float(np.log(rate_of_ones / (1 - rate_of_ones))), np.zeros(size, np.float32),
-                      np.zeros((size, rank), np.float32), bits)
+    bias = float(np.log(rate_of_ones / (1 - rate_of_ones)))
     if not len(y) or y.min() == y.max():
-        return machine
-    terms = np.concatenate(rows)
-    seen = np.bincount(terms, minlength=size)
-    used = np.flatnonzero(seen >= min_rows)
-    index = np.full(size, -1, dtype=np.int64)
-    index[used] = np.arange(len(used))
-    kept = [index[r][index[r] >= 0] for r in rows]
+        return Machine(bias, np.empty(0, np.int64), np.empty(0, np.float32), np.empty((0, rank), np.float32), bits)
+    seen, n = np.unique(np.concatenate(rows), return_counts=True)
+    hits = np.zeros(len(seen))
+    for r, label in zip(rows, y):
+        if label:
+            hits[np.searchsorted(seen, r)] += 1
+    expected, total = n * y.mean(), len(y)
+    chi2 = (hits - expected) ** 2 / (expected * (1 - y.mean()) * np.maximum(1e-9, 1 - n / total))
+    used = seen[(n >= min_rows) & (chi2 >= min_chi2)].astype(np.int64)
+    kept = []
+    for r in rows:
+        at = np.minimum(np.searchsorted(used, r), max(0, len(used) - 1))
+        kept.append(at[used[at] == r] if len(used) else np.empty(0, np.int64))
     w, gw = np.zeros(len(used)), np.full(len(used), 1e-8)
     v, gv = rng.normal(0, 0.05, (len(used), rank)), np.full((len(used), rank), 1e-8)
-    b, gb = machine.bias, 1e-8
+    b, gb = bias, 1e-8
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
@@ -107,10 +135,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, ra
             w[touched] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
             v[touched] -= rate / np.sqrt(gv[touched]) * dv
             b -= rate / np.sqrt(gb) * g.sum()
-    machine.bias = float(b)
-    machine.linear[used] = w
-    machine.factors[used] = v
-    return machine
+    return Machine(float(b), used, w.astype(np.float32), v.astype(np.float32), bits)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -141,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def scorer(spark, machine: Machine):
-    """Column function: text -> score from 0 to 1. The broadcast is 2^bits * (1 + rank) floats, whatever the data.
+    """Column function: text -> score from 0 to 1. The broadcast holds terms of the bounded sample only.
 
     Null and empty texts have no terms and score the bias alone.
     """
@@ -150,7 +175,7 @@ def scorer(spark, machine: Machine):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        buckets = Buckets(model.bits)
+        buckets = model.buckets()
         for series in batches:
             yield pd.Series([model.score(buckets(t)) for t in series], dtype="float64")
 
