@@ -6,11 +6,14 @@
 2. A representative has ``bands * rows`` MinHash samples. The samples are folded
    into a bitmap by flipping one bit each (an odd sketch): samples that two texts
    share cancel out in the XOR, so its population count tells their similarity.
-3. Representatives that share a band are candidates. A bucket never emits all its
-   pairs at once: in every round one member of each bucket is compared with the
-   members that are not yet in its component, which costs its size. Buckets whose
-   members are all connected are done; what is left over when rounds no longer
-   help is compared in full, so no link is lost.
+3. Representatives that share a band are candidates. One that has too many shingles
+   which no other candidate has cannot reach the threshold with any and is left
+   out; of a family of edited copies only the close ones remain. A bucket never
+   emits all its pairs at once: in every round one member of each bucket, the one
+   with most company first, is compared with the members that are not yet in its
+   component, which costs its size. Buckets whose members are all connected are
+   done; what is left over when rounds no longer help is compared in full, so no
+   link is lost.
 4. Pairs that pass the sketch are verified on the full sets.
 5. Components are the smallest reachable id, by alternating star contraction.
 """
@@ -167,41 +170,65 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
+def too_lonely(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Ids whose own shingles, found in no other of the ``texts`` (id, text, n), outnumber what any link allows.
+
+    If u of n shingles are nowhere else, an intersection has n - u at most and a
+    union n at least, so 100 * (n - u) < percent * n rules every link out.
+    """
+    @F.pandas_udf("array<bigint>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = WordIds()
+        for series in batches:
+            yield pd.Series([shingle_hashes(ids(spaced_words(t)), size).view(np.int64) for t in series], dtype="object")
+
+    alone = (texts.select("id", F.explode(shingles("text")).alias("s")).groupBy("s")
+             .agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("u")))
+    return texts.select("id", "n").join(alone, "id").filter(100 * (F.col("n") - F.col("u")) < percent * F.col("n")).select("id")
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(_band, id, company) of the buckets that hold several ids."""
+    sizes = members.groupBy("_band").agg(F.count("*").alias("company")).filter("company > 1")
+    return members.join(sizes, "_band").select("_band", "id", "company")
+
+
 def link_buckets(members: DataFrame, texts: DataFrame, *, samples: int, size: int, percent: int, rounds: int = 3) -> DataFrame:
-    """All links needed for the components of ``members`` (_band, id), verified on full sets.
+    """All links needed for the components of ``members`` (_band, id, company), verified on full sets.
 
     ``texts`` has (id, text, sk): the sketch as longs. A round compares, in every
-    bucket that still holds several components, the member with the smallest hash
-    of its band and round with all members outside its component. After the rounds
-    the pairs of different components that are left in a bucket are compared in full.
+    bucket that still holds several components, one member with all members outside
+    its component: in the first round the one whose buckets are largest, later one
+    by hash. After the rounds the pairs of different components that are left in a
+    bucket are compared in full.
     """
     most = most_flips(samples, percent / 100)
-    ids = materialise(members.select("id").distinct(), "ids")
+    company = members.groupBy("id").agg(F.sum("company").alias("company"))
+    ids = materialise(company, "ids")
     comps, links = ids.select("id", F.col("id").alias("comp")), None
-    current = materialise(members.join(texts.select("id", "sk"), "id"), "members")
+    current = materialise(members.select("_band", "id").join(texts.select("id", "sk").join(ids, "id"), "id"), "members")
     for turn in range(rounds + 1):
         now = current.join(comps, "id")
+        first = -F.col("company") if turn == 0 else F.xxhash64("id", F.lit(turn))
         alive = now.groupBy("_band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
-                                         F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp", "sk")).alias("_one"))
+                                         F.min(F.struct(first.alias("h"), "id", "comp", "sk")).alias("_one"))
         alive = alive.filter("_lo < _hi")
         if turn < rounds:
             found = (now.join(alive.select("_band", "_one"), "_band").filter(F.col("comp") != F.col("_one.comp"))
                      .select("id", F.col("_one.id").alias("other"), "sk", F.col("_one.sk").alias("other_sk")))
             found = found.filter(flips("sk", "other_sk") <= most)
         else:
-            rest = now.join(alive.select("_band"), "_band")
+            rest = now.join(alive.select("_band"), "_band").select("_band", "id", "comp", "sk")
             found = (rest.alias("x").join(rest.select("_band", F.col("id").alias("other"), F.col("comp").alias("other_comp"),
                                                       F.col("sk").alias("other_sk")).alias("y"),
                                           (F.col("x._band") == F.col("y._band")) & (F.col("id") < F.col("other"))
                                           & (F.col("comp") != F.col("other_comp")) & (flips("sk", "other_sk") <= most)))
         pairs = materialise(found.select(F.greatest("id", "other").alias("b"), F.least("id", "other").alias("a")).distinct(), "pairs")
         if pairs.isEmpty():
-            if turn == rounds:
-                break
             continue
         new = materialise(verified(pairs, texts, size, percent), "links")
         links = new if links is None else links.unionByName(new)
-        comps = materialise(components(ids, links), "components")
+        comps = materialise(components(ids.select("id"), links), "components")
     return comps
 
 
@@ -217,21 +244,21 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     signed = materialise(signatures(docs, key=key, text=text, size=size, bands=bands, rows=rows), "signatures")
     known = signed.filter(F.col("_class").isNotNull() & F.col("_key").isNotNull())
-    classes = materialise(known.groupBy("_class").agg(F.min("_key").alias("id"), F.min_by(F.struct("_bands", "_sketch"), "_key").alias("_b"))
-                          .select("_class", "id", "_b._bands", "_b._sketch"), "classes")
+    classes = materialise(known.groupBy("_class").agg(F.min("_key").alias("id"), F.min_by(F.struct("n_shingles", "_bands", "_sketch"), "_key").alias("_b"))
+                          .select("_class", "id", F.col("_b.n_shingles").alias("n"), "_b._bands", "_b._sketch"), "classes")
     banded = classes.select("id", F.explode("_bands").alias("_band"))
-    shared = banded.groupBy("_band").agg(F.count("*").alias("_n")).filter("_n > 1").select("_band")
-    members = materialise(banded.join(shared, "_band").select("_band", "id"), "buckets")
-    involved = members.select("id").distinct()
-    sketches = classes.select("id", as_longs("_sketch").alias("sk"))
+    members = materialise(shared_buckets(banded), "buckets")
+    sketches = classes.select("id", "n", as_longs("_sketch").alias("sk"))
     own_text = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    texts = materialise(own_text.join(involved, "id").dropDuplicates(["id"]).join(sketches, "id"), "texts")
-    comps = link_buckets(members, texts, samples=bands * rows, size=size, percent=percent)
+    texts = materialise(own_text.join(members.select("id").distinct(), "id").dropDuplicates(["id"]).join(sketches, "id"), "texts")
+    lonely = materialise(too_lonely(texts, size, percent), "lonely")
+    close = materialise(shared_buckets(members.select("_band", "id").join(lonely, "id", "left_anti")), "close")
+    comps = link_buckets(close, texts, samples=bands * rows, size=size, percent=percent)
     of_class = (classes.select("_class", "id").join(comps, "id", "left")
                 .select("_class", F.coalesce("comp", "id").alias("_comp")))
     # a hot class meets one row of the other side; Spark may split it
     return (signed.select("_key", "n_shingles", "_class").join(of_class, "_class", "left")
-            .select(F.col("_key").alias(key), "n_shingles", F.coalesce("_comp", "_key").alias("component_id"))
+            .select(F.col("_key").alias(key), "n_shingles", F.when(F.col("_key").isNotNull(), F.coalesce("_comp", "_key")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False))))
 
 
