@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.llm.common import CACHE_ENTRIES, fold_of, free_name, words
+from shellsieve.session import materialise
 
 #: At most about so many labelled rows are fitted (chosen by the hash of the id).
 SAMPLE_ROWS = 12_000
@@ -139,12 +140,12 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, ra
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
-        sample_rows: int = SAMPLE_ROWS, bits: int = BITS, **options) -> Machine:
+        sample_rows: int = SAMPLE_ROWS, bits: int = BITS, min_rows: int = 4, min_chi2: float = 12.0, **options) -> Machine:
     """Fit on the labelled rows, or on about ``sample_rows`` of them by the hash of their id.
 
     Rows with null id or label teach nothing; an id labelled twice counts as toxic
-    if one label says so. Only ids of the sample are broadcast, and only their
-    hashed terms come to the driver.
+    if one label says so. Only ids of the sample are broadcast. Terms are screened
+    in Spark, and only screened terms of the sample come to the driver.
     """
     known = (labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
              .groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_y")))
@@ -159,10 +160,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         for series in batches:
             yield pd.Series([buckets(t) for t in series], dtype="object")
 
-    rows = (docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-            .join(F.broadcast(known), "_key").select("_key", "_y", terms("_text").alias("_terms")).toPandas())
-    rows = rows.sort_values("_key", kind="stable")
-    return fit_rows([np.asarray(t, dtype=np.int64) for t in rows["_terms"]], rows["_y"].to_numpy(), bits=bits, **options)
+    rows = materialise(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+                       .join(F.broadcast(known), "_key").select("_key", "_y", terms("_text").alias("_terms")), "sample")
+    all_rows = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("_y"), F.lit(0.0)).alias("rate")).first()
+    seen = rows.select("_y", F.explode("_terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("_y").alias("hits"))
+    expected = F.col("n") * all_rows["rate"]
+    spread = expected * (1 - all_rows["rate"]) * F.greatest(F.lit(1e-9), 1 - F.col("n") / max(1, all_rows["n"]))
+    wanted = seen.filter((F.col("n") >= min_rows) & ((F.col("hits") - expected) ** 2 >= min_chi2 * spread)).select("t").toPandas()["t"]
+    kept = np.sort(wanted.to_numpy(np.int32))
+
+    @F.pandas_udf("array<int>")
+    def screened(series: pd.Series) -> pd.Series:
+        return pd.Series([np.intersect1d(np.asarray(t, np.int32), kept, assume_unique=True) for t in series], dtype="object")
+
+    sample = rows.select("_key", "_y", screened("_terms").alias("_terms")).toPandas().sort_values("_key", kind="stable")
+    return fit_rows([np.asarray(t, dtype=np.int64) for t in sample["_terms"]], sample["_y"].to_numpy(), bits=bits,
+                    min_rows=min_rows, min_chi2=min_chi2, **options)
 
 
 def scorer(spark, machine: Machine):
