@@ -68,10 +68,20 @@ def basic_tokens(c: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def token_chunks(c: Column) -> Column:
+    """The original text cut at the starts of its basic tokens: each part is a token with the blanks after it."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?:[{PUNCT}]|[^{PUNCT} {UNICODE_WS}]+)[ {UNICODE_WS}]*"), F.lit(0))
+
+
 def split_lines(c: Column) -> Column:
     return F.split(c, "\n")
 
 
+def all_lines(c: Column) -> Column:
+    """Lines ended by any line end that Unicode knows, as ``str.splitlines`` cuts them."""
+    return F.split(c, "\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]")
+
+
 def json_object_text(c: Column) -> Column:
     """The outermost ``{...}`` of a chatty or fenced answer, null without one.
 

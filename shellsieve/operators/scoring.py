@@ -1,15 +1,15 @@
 """Scorers: a pluggable batch scorer, a rule table and a linear n-gram model."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shellsieve.functions import text as X
-from shellsieve.session import is_small
+from shellsieve.session import is_small, materialise
 from shellsieve.taxonomy import TAXONOMY, Taxonomy
 
 
@@ -18,19 +18,20 @@ def batch_score(df: DataFrame, load: Callable[[], Callable], text: str = "text",
     """Add a score vector by calling a user's model on Arrow batches.
 
     ``load`` runs once per task and returns ``score(list_of_texts) -> [n, size]``.
-    The batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    The batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``. Null texts
+    are scored as empty.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(logits, T.ArrayType(T.DoubleType()), False)])
-
-    def run(batches):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = load()
-        for pdf in batches:
-            rows = [[float(x) for x in row] for row in score(pdf[text].tolist())]
-            if len(rows) != len(pdf) or any(len(r) != size for r in rows):
+        for texts in batches:
+            rows = np.asarray(score(texts.fillna("").tolist()), dtype=np.float64)
+            if len(texts) and rows.shape != (len(texts), size):
                 raise ValueError("the scorer must return one vector of the agreed size per text")
-            yield pdf.assign(**{logits: rows})
+            yield pd.Series(list(rows), dtype="object")
 
-    return df.mapInPandas(run, schema)
+    # only the text column passes through Python
+    return df.withColumn(logits, run(F.col(text)))
 
 
 def rule_logits(c: Column, rules: list[tuple[str, str, float]], base: float = -4.0, tax: Taxonomy = TAXONOMY) -> Column:
@@ -70,7 +71,7 @@ def ngram_linear_score(df: DataFrame, weights: DataFrame, key: list[str], text:
                        n_max: int = 5, intercept: float = 0.0, masked: bool = True) -> DataFrame:
     """``key, score``: TF-IDF (L2) dot product of the text's n-grams plus an intercept.
 
-    ``weights``: ``ngram, coef_idf, idf``, one row per n-gram. A text without a
+    ``weights``: ``ngram, coef_idf, idf``; of several rows of an n-gram the largest counts. A text without a
     known n-gram scores the intercept alone.
 
     Texts are distributed by their key once; explode, weight lookup and both
@@ -80,12 +81,15 @@ def ngram_linear_score(df: DataFrame, weights: DataFrame, key: list[str], text:
     n-grams of a record are counted.
     """
     # a stated number, as a small text shuffle must not be coalesced before it is blown up
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stated = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = int(stated) if stated.isdigit() else df.sparkSession.sparkContext.defaultParallelism
     body = df.select(*key, F.lower(X.mask(F.col(text)) if masked else F.col(text)).alias("_text")).repartition(parts, *key)
     grams = explode_ngrams(body, key, "_text", n_min, n_max, mark_records=True)
     zero = df.sparkSession.range(1).select(F.lit(NO_NGRAM).alias("ngram"), F.lit(0.0).alias("coef_idf"), F.lit(0.0).alias("idf"))
-    table = weights.select("ngram", F.col("coef_idf").cast("double").alias("coef_idf"), F.col("idf").cast("double").alias("idf")).unionByName(zero)
-    if is_small(weights):
+    weights = weights.select("ngram", F.struct(F.col("coef_idf").cast("double").alias("coef_idf"), F.col("idf").cast("double").alias("idf")).alias("_w"))
+    unique = materialise(weights.groupBy("ngram").agg(F.max("_w").alias("_w")).select("ngram", "_w.*"), "weights")
+    table = unique.unionByName(zero)
+    if is_small(unique):
         known = grams.join(F.broadcast(table), "ngram").groupBy(*key, "ngram", "coef_idf", "idf").agg(F.count("*").alias("c"))
     else:
         known = grams.groupBy(*key, "ngram").agg(F.count("*").alias("c")).join(table, "ngram")

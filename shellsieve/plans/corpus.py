@@ -345,3 +345,21 @@ def cache_hit_split(spark, folder):
     hits, todo = lookups.cache_split(wanted, cache, "text")
     both = hits.select(F.lit(1).alias("hit")).unionByName(todo.select(F.lit(0).alias("hit")))
     return both.agg(F.count("*").alias("n_wanted"), F.count_if(F.col("hit") == 1).alias("n_hits"), F.count_if(F.col("hit") == 0).alias("n_todo"))
+
+
+@query("""WITH f AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'verdict.benign' ELSE 'verdict.suspicious' END AS label FROM f WHERE length(text) > 0""")
+def corpus_build(spark, folder):
+    """Labelled JSON lines in which every text occurs twice with other verdicts and every fifth
+    has a mistyped vector: the first line of a text stays, whatever the vector."""
+    path = scratch_path(spark, "labelled")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    even = F.col("doc_id") % 2 == 0
+    first, second = F.when(even, "verdict.benign").otherwise("verdict.suspicious"), F.lit("verdict.malicious")
+    twice = docs.withColumn("verdict", first).withColumn("turn", F.lit(0)).unionByName(docs.withColumn("verdict", second).withColumn("turn", F.lit(1)))
+    line = F.to_json(F.struct("text", "verdict", F.col("doc_id").cast("string").alias("model")))
+    spoiled = F.when(F.col("doc_id") % 5 == 0, F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit(',"soft":"none"}'))).otherwise(line)
+    twice.orderBy("doc_id", "turn").select(spoiled.alias("value")).write.text(path)
+    rows = filters.valid_rows(scans.numbered_jsonl(spark, path, glob="*.txt"))
+    kept = filters.to_split_rows(dedup.by_exact_text(rows, ["_source_file", "_source_line"]))
+    return kept.select(F.col("model").cast("bigint").alias("doc_id"), F.get("true_labels", F.lit(0)).alias("label"))

@@ -253,13 +253,14 @@ def threshold_defaults(spark, folder):
 def redteam_selections(spark, folder):
     """Hard negatives, disagreements and doubly confirmed rows per truth."""
     rows = judged(spark, folder).withColumns({"gt": filters.bare(F.col("truth")), "arb_verdict": F.when(F.col("quality") == 0, "malicious").otherwise("benign")})
-    # several selections of one decided table: written once, so that no filter repeats the decision
+    # the selections are tagged and counted in one aggregation of the decided table
     rows = materialise(rows.select("doc_id", "truth", "gt", "verdict", "arb_verdict"), "judged")
-    counted = lambda df, name: df.groupBy("truth").agg(F.count("*").alias(name))
-    out = counted(rows, "n")
-    for name, part in (("n_hard", filters.hard_negatives(rows)), ("n_disagree", filters.disagreements(rows)), ("n_double", filters.double_confirmed(rows))):
-        out = out.join(counted(part, name), "truth", "left")
-    return out.na.fill(0)
+    parts = {"n": rows, "n_hard": filters.hard_negatives(rows), "n_disagree": filters.disagreements(rows), "n_double": filters.double_confirmed(rows)}
+    tagged = None
+    for name, part in parts.items():
+        own = part.select("truth", F.lit(name).alias("_part"))
+        tagged = own if tagged is None else tagged.unionByName(own)
+    return tagged.groupBy("truth").agg(*[F.count_if(F.col("_part") == name).alias(name) for name in parts])
 
 
 @query("WITH " + JUDGED + """ SELECT doc_id, verdict, round(p2, 6) AS p_malicious, source FROM j WHERE truth = 'verdict.malicious' AND verdict <> 'verdict.malicious'""")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellsieve.functions import decide as D
@@ -24,12 +24,10 @@ from shellsieve.taxonomy import TAXONOMY
 def build_splits(spark: SparkSession, corpus: str, out: str, min_test: int = 20, seed: int = 42) -> DataFrame:
     """Labelled JSONL folder -> validated, deduplicated, stratified splits on disk.
 
-    Without line numbers the order inside a file is that of the row digests; the
-    file order decides between files, as with the sorted scan.
+    Of rows with the same text the first line of the first file stays.
     """
-    rows = filters.valid_rows(scans.jsonl(spark, corpus))
-    digest = F.xxhash64("verdict", "actions", "soft", "model")
-    unique = dedup.by_exact_text(rows.withColumn("_d", digest), ["_source_file", "_d"]).drop("_d")
+    rows = filters.valid_rows(scans.numbered_jsonl(spark, corpus))
+    unique = dedup.by_exact_text(rows, ["_source_file", "_source_line"])
     ready = filters.to_split_rows(unique).withColumn("_hash", ranking.hash_order(F.col("text"), seed))
     kept = materialise(ready.select("text", "verdict", "actions", "true_labels", "soft_v2", "_hash"), "corpus")
     assigned = materialise(splits.stratified(kept, seed=seed, hashed="_hash"), "assigned")
@@ -43,10 +41,18 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def score_records(df: DataFrame, key: list[str], text: str, load: Callable[[], Callable], limit: int = segments.BATCH_LIMIT,
-                  verdict_merge: str = "most_malicious") -> DataFrame:
-    """Records -> ``key, n_segments, logits``: tokens, windows, batches, merge."""
-    tokens = df.select(*key, X.basic_tokens(F.col(text)).alias("tokens"))
-    pieces = segments.windows(tokens, limit=limit).withColumn("_piece", F.concat_ws(" ", "seg_tokens")).drop("seg_tokens", "start")
+                  verdict_merge: str = "most_malicious", chunks: Callable[[Column], Column] = X.token_chunks) -> DataFrame:
+    """Records -> ``key, n_segments, logits``: windows, batches, merge.
+
+    ``chunks`` cuts a text into an array of parts, one per token, that join to the
+    text again; give the model's own tokens where they differ. A text of at most
+    ``limit`` tokens reaches the scorer as it is, a longer one in windows of its
+    own characters. Null texts are scored as empty.
+    """
+    parts = df.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_whole"), chunks(F.col(text)).alias("tokens"))
+    fits = F.size("tokens") <= limit
+    placed = segments.windows(parts.withColumn("_whole", F.when(fits, F.col("_whole"))), limit=limit)
+    pieces = placed.withColumn("_piece", F.coalesce("_whole", F.array_join("seg_tokens", ""))).drop("seg_tokens", "start", "_whole")
     scored = scoring.batch_score(pieces, load, text="_piece")
     return segments.merge_scores(scored, key, verdict_merge=verdict_merge)
 
@@ -100,7 +106,7 @@ def merge_candidates(base: DataFrame, candidates: DataFrame, within_batch: list[
     The anti-join against all three splits comes last, so no test text can enter
     train whatever its source. Candidates: ``text, true_labels`` (+ ``soft_v2``).
     """
-    order = within_batch or [c for c in ("source", "true_labels") if c in candidates.columns]
+    order = within_batch or [c for c in ("source", "true_labels", "text") if c in candidates.columns]
     fresh = dedup.without_leakage(candidates, base.select("text"), X.fingerprint(F.col("text")), within_batch=order)
     fresh = materialise(fresh, "additions")
     return splits.merge_additions(base, fresh, val_ratio=val_ratio, seed=seed)
@@ -132,6 +138,7 @@ def evaluate(df: DataFrame, limits: dict[str, float] | None = None, score_space:
     rows = decided.withColumns({
         "true_mask": V.mask_of_names("true_labels"), "true_actions": filters.known_labels(F.col("true_labels"), TAXONOMY.action_ids),
         "truth": F.get(filters.known_labels(F.col("true_labels"), TAXONOMY.verdict_ids), F.lit(0))})
+    rows = materialise(rows, "decided")  # five reports, one run of the scorer
     labels = metrics.per_label(rows, "true_actions", "actions")
     return {"verdict_acc": metrics.verdict_accuracy(rows, "truth", "verdict"), "micro": metrics.micro(rows), "per_label": labels,
             "macro": metrics.macro_f1(labels), "confusion": metrics.confusion(rows, "truth", "verdict")}
@@ -147,7 +154,7 @@ def tune_thresholds(df: DataFrame, score_space: str = "logit") -> DataFrame:
 def external_report(df: DataFrame) -> dict[str, DataFrame]:
     """Per-source report and global curves from ``source, label, logits``; only
     rows with a clear label enter the curves."""
-    decided = D.decide(df).withColumn("p_malicious", F.get("verdict_probs", F.lit(2)))
+    decided = materialise(D.decide(df).withColumn("p_malicious", F.get("verdict_probs", F.lit(2))), "decided")
     clear = decided.filter(F.col("label").isin("malicious", "benign")).select((F.col("label") == "malicious").cast("int").alias("y"), "p_malicious")
     cuts = curves.boundaries(clear, "p_malicious")
     return {"sources": metrics.source_report(decided), "roc": curves.roc_auc(clear, "y", "p_malicious", cuts),

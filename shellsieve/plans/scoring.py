@@ -9,6 +9,7 @@ from shellsieve.functions import patterns as R
 from shellsieve.functions import text as X
 from shellsieve.functions import vectors as V
 from shellsieve.operators import dedup, fit, lookups, metrics, scoring, segments, sessions
+from shellsieve.plans import jobs
 from shellsieve.plans.catalogue import csv, event_commands, query, r6, score_vectors, table, truth_verdicts
 from shellsieve.session import materialise, scratch_path
 from shellsieve.sources import extract, scans, schemas
@@ -234,8 +235,7 @@ def ngram_weights(spark, folder):
 def ngram_linear_score(spark, folder):
     """Every conversation turn against the n-gram weight table."""
     turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    weights = materialise(ngram_weights(spark, folder), "weights")
-    out = scoring.ngram_linear_score(turns, weights, ["doc_id"], n_min=NGRAM_MIN, n_max=NGRAM_MAX, intercept=INTERCEPT, masked=False)
+    out = scoring.ngram_linear_score(turns, ngram_weights(spark, folder), ["doc_id"], n_min=NGRAM_MIN, n_max=NGRAM_MAX, intercept=INTERCEPT, masked=False)
     return out.select("doc_id", r6("score").alias("score"))
 
 
@@ -378,3 +378,25 @@ def stream_score(spark, folder):
     out = scratch_path(spark, "stream-out")
     stream.run_available(decided, out, scratch_path(spark, "stream-check")).awaitTermination()
     return spark.read.schema("event_id BIGINT, verdict STRING, actions ARRAY<STRING>").parquet(out).select("event_id", "verdict", csv("actions").alias("actions"))
+
+
+def _length_and_capitals():
+    """Stand-in model: what a text looks like when it arrives."""
+    def score(texts):
+        return [[len(t), sum("A" <= c <= "Z" for c in t), *[0.0] * (TAXONOMY.size - 2)] for t in texts]
+    return score
+
+
+_CHUNK = f"(?:[{X.PUNCT}]|[^{X.PUNCT} {X.UNICODE_WS}]+)[ {X.UNICODE_WS}]*"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '{_CHUNK}') AS c FROM documents),
+ w AS (SELECT *, unnest(CASE WHEN len(c) <= 120 THEN [0] ELSE range(0, CAST(ceil((len(c) - 120) / 90.0) AS BIGINT) * 90 + 1, 90) END) AS s FROM t),
+ p AS (SELECT doc_id, CASE WHEN len(c) <= 120 THEN text ELSE array_to_string(c[s + 1:s + 120], '') END AS piece FROM w)
+SELECT doc_id, count(*) AS n_segments, max(length(piece))::DOUBLE AS longest, max(length(regexp_replace(piece, '[^A-Z]', '', 'g')))::DOUBLE AS capitals
+FROM p GROUP BY doc_id""")
+def score_records_text(spark, folder):
+    """The text that reaches the scorer: whole up to the limit, windows of its own characters beyond."""
+    docs = scans.spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    out = jobs.score_records(docs, ["doc_id"], "text", _length_and_capitals, verdict_merge="max_logit")
+    return out.select("doc_id", "n_segments", F.col("logits")[0].alias("longest"), F.col("logits")[1].alias("capitals"))

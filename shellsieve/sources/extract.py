@@ -10,12 +10,11 @@ from shellsieve.functions import text as X
 
 # Fixed value: a fenced block of a shell dialect or without a language.
 FENCE = r"(?s)```(?:bash|sh|shell|console)?\s*\n(.*?)```"
-MARKUP = r"(?s)<(?:pre|code)[^>]*>(.*?)</(?:pre|code)>"
 
 
 def _block_lines(df: DataFrame, key: list[str], text: str, fence: str) -> DataFrame:
     blocks = df.select(*key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(fence), F.lit(1))).alias("block", "_body"))
-    lines = blocks.select(*key, "block", F.posexplode(X.split_lines(F.col("_body"))).alias("line", "_raw"))
+    lines = blocks.select(*key, "block", F.posexplode(X.all_lines(F.col("_body"))).alias("line", "_raw"))
     return lines.withColumn("text", X.strip(F.col("_raw"))).drop("_raw")
 
 
@@ -24,7 +23,7 @@ def fenced_commands(df: DataFrame, key: list[str], text: str = "text", fence: st
     then lines with a ``$`` prompt anywhere in the document."""
     inside = (_block_lines(df, key, text, fence)
               .filter((F.length("text") > 0) & ~F.col("text").startswith("#") & (F.char_length("text") < longest)))
-    lines = df.select(*key, F.posexplode(X.split_lines(F.col(text))).alias("line", "_raw"))
+    lines = df.select(*key, F.posexplode(X.all_lines(F.col(text))).alias("line", "_raw"))
     typed = F.regexp_extract("_raw", X.python_regex(r"^\s*\$\s+(.+)$", ignore_case=False), 1)
     prompted = (lines.withColumn("_typed", typed).filter((F.length("_typed") > 0) & (F.char_length("_typed") < longest))
                 .select(*key, F.lit(-1).alias("block"), "line", X.strip(F.col("_typed")).alias("text")))

@@ -27,12 +27,26 @@ def _fields(schema: str | T.StructType) -> T.StructType:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | T.StructType = schemas.LABELED, glob: str = "*.jsonl") -> DataFrame:
-    """Recursive scan; blank and unparsable lines are skipped.
+    """Recursive scan; lines that are no JSON object are skipped, a field of another type is null.
 
-    ``_source_file`` gives the file part of the order first-wins dedup needs.
+    ``_source_file`` gives the file part of the order first-wins dedup needs;
+    ``numbered_jsonl`` also tells the line.
     """
-    return (spark.read.schema(_fields(schema)).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", glob).json(path).withColumn("_source_file", F.col("_metadata.file_path")))
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+             .select("value", F.col("_metadata.file_path").alias("_source_file")))
+    return loose_rows(lines, schema).select(*_fields(schema).names, "_source_file")
+
+
+def loose_rows(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
+    """Lines (``value`` and more) that are JSON objects, with their fields; mistyped fields are null."""
+    kept = [c for c in lines.columns if c != "value"]
+    objects = lines.filter(X.strip(F.col("value")).startswith("{") & F.try_parse_json("value").isNotNull())
+    return objects.select(*kept, F.from_json("value", _fields(schema), {"mode": "PERMISSIVE"}).alias("_j")).select(*kept, "_j.*")
+
+
+def numbered_jsonl(spark: SparkSession, path: str, schema: str | T.StructType = schemas.LABELED, glob: str = "*.jsonl") -> DataFrame:
+    """``jsonl`` with ``_source_file`` and ``_source_line``: the total order of the rows."""
+    return loose_rows(numbered_lines(spark, path, glob), schema)
 
 
 def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -40,18 +54,21 @@ def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> Dat
 
     Files stay splittable: a task numbers the lines of its own blocks, and each
     block is offset by the line counts of the earlier blocks of the same file.
-    Those are counted by a first scan and written as one row per block; up to a
-    checked number of blocks (128 TB of default blocks) they are sent to every
-    node, so the lines themselves are not shuffled.
+    The files are scanned once: lines, counts and numbers come from one written
+    table, because another scan may be split at other places. A block without a
+    count fails the job.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
-             .select("value", F.col("_metadata.file_path").alias("_source_file"),
-                     F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid")))
+    scanned = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+               .select("value", F.col("_metadata.file_path").alias("_source_file"),
+                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid")))
+    lines = materialise(scanned, "lines")
     blocks = lines.groupBy("_source_file", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("_source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), "blocks")
-    return (lines.join(F.broadcast(offsets) if is_small(offsets) else offsets, ["_source_file", "_block"])
-            .select("_source_file", (F.col("_before") + F.col("_mid") - F.col("_first") + 1).alias("_source_line"), "value"))
+    lost = F.raise_error(F.concat(F.lit("no line count for "), F.col("_source_file"))).cast("bigint")
+    before = F.when(F.col("_before").isNull(), lost).otherwise(F.col("_before"))
+    return (lines.join(F.broadcast(offsets) if is_small(offsets) else offsets, ["_source_file", "_block"], "left")
+            .select("_source_file", (before + F.col("_mid") - F.col("_first") + 1).alias("_source_line"), "value"))
 
 
 def parsed_lines(lines: DataFrame, schema: str | T.StructType, required: str = "command") -> DataFrame:
@@ -114,7 +131,7 @@ def honeypot(spark: SparkSession, paths: dict[str, str], longest: int = 500) ->
     out = None
     for period, path in paths.items():
         text = X.strip(F.col("command"))
-        part = (spark.read.schema(schemas.HONEYPOT).option("mode", "DROPMALFORMED").json(path)
+        part = (loose_rows(spark.read.text(path), schemas.HONEYPOT)
                 .select(text.alias("text"), F.lit("honeypot").alias("source"), F.lit("attack_session").alias("label"),
                         F.lit(period).alias("period"), "frequency")
                 .filter((F.length("text") > 0) & (F.char_length("text") <= longest)))
