@@ -13,7 +13,8 @@
    with most company first, is compared with the members that are not yet in its
    component, which costs its size. Buckets whose members are all connected are
    done; what is left over when rounds no longer help is compared in full, so no
-   link is lost.
+   link is lost. There the parity bitmap of the whole set bounds the symmetric
+   difference from below, and only pairs within what a link allows come out.
 4. Pairs that pass the sketch are verified on the full sets.
 5. Components are the smallest reachable id, by alternating star contraction.
 """
@@ -29,6 +30,8 @@ from shellsieve.llm.common import WordIds, spaced_words
 from shellsieve.session import materialise
 
 SKETCH_BITS = 512
+#: Bits of the parity bitmap of a whole set.
+PARITY_BITS = 1024
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -112,12 +115,32 @@ def signatures(docs: DataFrame, *, key: str, text: str, size: int, bands: int, r
                     F.col("_s.bands").alias("_bands"), F.col("_s.sketch").alias("_sketch")))
 
 
-def flips(a: str, b: str):
-    """Population count of the XOR of two sketches kept as arrays of eight longs."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH_BITS // 64)),
+def flips(a: str, b: str, bits: int = SKETCH_BITS):
+    """Population count of the XOR of two bitmaps kept as arrays of longs."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, bits // 64)),
                F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Odd sketch of a whole set as longs: every hash flips one bit.
+
+    The XOR of two has no more bits set than the sets have elements that the other lacks.
+    """
+    bits = np.bincount((mix(hashes) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def parities(texts: DataFrame, size: int) -> DataFrame:
+    """(id, n, whole): the parity bitmap of each text's set."""
+    @F.pandas_udf("array<bigint>")
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = WordIds()
+        for series in batches:
+            yield pd.Series([parity(shingle_hashes(ids(spaced_words(t)), size)) for t in series], dtype="object")
+
+    return texts.select("id", "n", fold("text").alias("whole"))
+
+
 def as_longs(sketch: str):
     """A binary sketch as an array of longs, for bit operations inside generated code."""
     return F.array(*[F.conv(F.hex(F.substring(F.col(sketch), 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(SKETCH_BITS // 64)])
@@ -196,7 +219,7 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 def link_buckets(members: DataFrame, texts: DataFrame, *, samples: int, size: int, percent: int, rounds: int = 3) -> DataFrame:
     """All links needed for the components of ``members`` (_band, id, company), verified on full sets.
 
-    ``texts`` has (id, text, sk): the sketch as longs. A round compares, in every
+    ``texts`` has (id, text, n, sk): the size of the set and the sketch as longs. A round compares, in every
     bucket that still holds several components, one member with all members outside
     its component: in the first round the one whose buckets are largest, later one
     by hash. After the rounds the pairs of different components that are left in a
@@ -218,11 +241,15 @@ def link_buckets(members: DataFrame, texts: DataFrame, *, samples: int, size: in
                      .select("id", F.col("_one.id").alias("other"), "sk", F.col("_one.sk").alias("other_sk")))
             found = found.filter(flips("sk", "other_sk") <= most)
         else:
-            rest = now.join(alive.select("_band"), "_band").select("_band", "id", "comp", "sk")
-            found = (rest.alias("x").join(rest.select("_band", F.col("id").alias("other"), F.col("comp").alias("other_comp"),
-                                                      F.col("sk").alias("other_sk")).alias("y"),
-                                          (F.col("x._band") == F.col("y._band")) & (F.col("id") < F.col("other"))
-                                          & (F.col("comp") != F.col("other_comp")) & (flips("sk", "other_sk") <= most)))
+            left = materialise(now.join(alive.select("_band"), "_band").select("_band", "id", "comp", "sk"), "rest")
+            whole = materialise(parities(texts.join(left.select("id").distinct(), "id", "left_semi"), size), "parities")
+            rest = left.join(whole, "id")
+            other = rest.select("_band", *[F.col(c).alias(f"other_{c}") for c in ("id", "comp", "sk", "n", "whole")])
+            # a link allows (100 - percent) / (100 + percent) of both sizes as symmetric difference
+            near = (100 + percent) * flips("whole", "other_whole", PARITY_BITS) <= (100 - percent) * (F.col("n") + F.col("other_n"))
+            found = (rest.alias("x").join(other.alias("y"), (F.col("x._band") == F.col("y._band")) & (F.col("id") < F.col("other_id"))
+                                          & (F.col("comp") != F.col("other_comp")) & (flips("sk", "other_sk") <= most) & near)
+                     .withColumnRenamed("other_id", "other"))
         pairs = materialise(found.select(F.greatest("id", "other").alias("b"), F.least("id", "other").alias("a")).distinct(), "pairs")
         if pairs.isEmpty():
             continue

@@ -86,3 +86,27 @@ def test_long_chain(spark):
     ids = spark.createDataFrame([(i,) for i in [*range(201), 500, 501, 900]], "id bigint")
     got = {r["id"]: r["comp"] for r in M.components(ids, links).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500, 900: 900}
+
+
+def test_parity_never_exceeds_the_symmetric_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n * 9 // 10], rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)]))
+        x, y = (np.unpackbits(M.parity(s).view(np.uint8)) for s in (a, b))
+        assert len(x) == M.PARITY_BITS and (x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_full_comparison_alone_finds_every_component(spark):
+    rng = random.Random(9)
+    texts = family(rng, 80, 120, 14)
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+    signed = M.signatures(docs, key="doc_id", text="text", size=3, bands=24, rows=5)
+    members = M.shared_buckets(signed.select(M.F.col("_key").alias("id"), M.F.explode("_bands").alias("_band")))
+    own = docs.withColumnRenamed("doc_id", "id").join(
+        signed.select(M.F.col("_key").alias("id"), M.F.col("n_shingles").alias("n"), M.as_longs("_sketch").alias("sk")), "id")
+    comps = M.link_buckets(members, own, samples=120, size=3, percent=85, rounds=0)
+    got = {r["id"]: r["comp"] for r in comps.collect()}
+    want = {d: c for d, _, c, _ in brute(list(zip(ids, texts)), 3, 85)}
+    assert {d: got.get(d, d) for d in ids} == want
