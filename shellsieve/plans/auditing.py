@@ -111,15 +111,18 @@ def taxonomy_check(spark, folder):
     return audit.taxonomy_errors(entries)
 
 
-@query("""SELECT name AS file, n AS rows FROM (SELECT 'documents.parquet' AS name, (SELECT count(*) FROM documents) AS n UNION ALL SELECT 'labels.parquet', (SELECT count(*) FROM labels)
-UNION ALL SELECT 'events.parquet', (SELECT count(*) FROM events) UNION ALL SELECT 'pages.parquet', (SELECT count(*) FROM pages))""")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+          "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS rows, 1 AS has_bytes FROM {t}" for t in TABLES))
 def file_inventory(spark, folder):
-    """Rows (and bytes) per file, from the scan's own file metadata."""
+    """Rows of every table from the scan's own file metadata, over all files of a table, and whether each has bytes."""
     found = None
-    for name in ("documents", "labels", "events", "pages"):
-        part = scans.inventory(spark, f"{folder}/{name}.parquet", fmt="parquet")
+    for name in TABLES:
+        part = scans.inventory(spark, f"{folder}/{name}.parquet", fmt="parquet").withColumn("table", F.lit(f"{name}.parquet"))
         found = part if found is None else found.unionByName(part)
-    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "rows")
+    return found.groupBy(F.col("table").alias("file")).agg(F.sum("rows").alias("rows"), F.min((F.col("bytes") > 0).cast("int")).alias("has_bytes"))
 
 
 @query()

@@ -10,7 +10,7 @@ from shellsieve.functions import text as X
 from shellsieve.functions import vectors as V
 from shellsieve.operators import dedup, fit, lookups, metrics, scoring, segments, sessions
 from shellsieve.plans import jobs
-from shellsieve.plans.catalogue import csv, event_commands, query, r6, score_vectors, table, truth_verdicts
+from shellsieve.plans.catalogue import SNIPPETS, csv, event_commands, query, r6, score_vectors, table, truth_verdicts
 from shellsieve.session import materialise, scratch_path
 from shellsieve.sources import extract, scans, schemas
 from shellsieve.streaming import score as stream
@@ -58,19 +58,39 @@ def score_space_compare(spark, folder):
                        F.bit_count("action_mask").cast("bigint").alias("n_over_prob"))
 
 
-REDTEAM_SQL = """$DECIDED$, n AS (SELECT doc_id, lang, source, text, row_number() OVER (PARTITION BY trim(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY doc_id) AS rn FROM documents),
+# Documents without a score vector are scored by these rules.
+DOC_RULES = [(r"license|notice", "verdict.benign", 2.0), (r"[a-z0-9]@[a-z0-9]", "verdict.suspicious", 1.0), (r"[0-9]{4}", "verdict.malicious", 0.5),
+             (r"http", "action.download", 2.0), (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "action.network_scan", 1.0)]
+
+
+def sql_rule_vector(column: str, rules, base: float = -4.0) -> str:
+    """``rule_logits`` in SQL: one item per label, in taxonomy order."""
+    items = []
+    for label in TAXONOMY.all_ids:
+        hits = [f"CASE WHEN regexp_matches({column}, '(?i){p}') THEN {s} ELSE {base} END" for p, l, s in rules if l == label]
+        items.append(f"CAST(greatest({', '.join([str(base), *hits])}) AS DOUBLE)")
+    return f"[{', '.join(items)}]"
+
+
+REDTEAM_SQL = SNIPPETS["DECIDED"].replace(" FROM embeddings)", f""" FROM embeddings
+   UNION ALL SELECT doc_id, NULL, {sql_rule_vector('text', DOC_RULES)}, list_transform(range(28), lambda x: 0.0::DOUBLE)
+   FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id))""") + """,
+ n AS (SELECT doc_id, lang, source, text, row_number() OVER (PARTITION BY trim(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY doc_id) AS rn FROM documents),
  rt AS (SELECT n.doc_id, n.lang, n.source, n.text, v.* FROM n JOIN v ON v.vec_id = n.doc_id WHERE rn = 1)"""
 
 
 def redteam(spark, folder, keep_text=False):
-    """Whitespace-deduplicated documents with their score vectors, annotated.
+    """Whitespace-deduplicated documents, each with its score vector or that of the rules, annotated.
 
     Reports need the text only as the dedup key, so it is not carried along.
     """
     docs = scans.spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
-    unique = dedup.by_squeezed_text(docs, ["doc_id"], keep=None if keep_text else ["doc_id", "lang", "source"])
+    docs = docs.withColumn("rule_vector", scoring.rule_logits(F.col("text"), DOC_RULES))
+    unique = dedup.by_squeezed_text(docs, ["doc_id"], keep=None if keep_text else ["doc_id", "lang", "source", "rule_vector"])
     vectors = score_vectors(spark, folder).select(F.col("vec_id").alias("doc_id"), "logits", "true_actions")
-    return D.annotate(unique.join(vectors, "doc_id"))
+    scored = unique.join(vectors, "doc_id", "left").withColumns({
+        "logits": F.coalesce("logits", "rule_vector"), "true_actions": F.coalesce("true_actions", F.array().cast("array<string>"))})
+    return D.annotate(scored.drop("rule_vector"))
 
 
 @query("WITH " + REDTEAM_SQL + """ SELECT doc_id, sha256(text) AS command_sha256, verdict, verdict <> 'verdict.malicious' AS verdict_bypass,
@@ -208,14 +228,17 @@ def rule_table_score(spark, folder):
                         at("action.download").alias("logit_download"), at("action.execute_local").alias("logit_execute"), at("action.keylog").alias("logit_keylog"))
 
 
-NGRAM_MIN, NGRAM_MAX, INTERCEPT = 3, 4, -0.25
+MASK_SQL = r"""regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://[^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}''"`;|)]+', 'http://example.com', 'g'),
+   '\b(?:\d{1,3}\.){3}\d{1,3}\b', '1.1.1.1', 'g'), '[A-Za-z0-9+/]{40,}={0,2}', 'BASE64', 'g')"""
+
+NGRAM_MIN, NGRAM_MAX, INTERCEPT = 3, 5, -0.25
 
 NGRAM_SQL = f"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda x: length(x) > 0)) AS word FROM conv),
  pad AS (SELECT doc_id, ' ' || word || ' ' AS p, length(word) + 2 AS l FROM w),
  g AS (SELECT doc_id, substring(p, i, n) AS ngram FROM (SELECT *, unnest(range(1, l - n + 2)) AS i FROM (SELECT *, unnest(range({NGRAM_MIN}, least({NGRAM_MAX}, l) + 1)) AS n FROM pad))),
  bench AS (SELECT unnest(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda x: length(x) > 0)) AS word FROM benchmark),
  bpad AS (SELECT ' ' || word || ' ' AS p, length(word) + 2 AS l FROM bench),
- bg AS (SELECT substring(p, i, {NGRAM_MIN}) AS ngram FROM (SELECT *, unnest(range(1, l - {NGRAM_MIN} + 2)) AS i FROM bpad)),
+ bg AS (SELECT substring(p, i, n) AS ngram FROM (SELECT *, unnest(range(1, l - n + 2)) AS i FROM (SELECT *, unnest(range({NGRAM_MIN}, least({NGRAM_MAX}, l) + 1)) AS n FROM bpad))),
  weights AS (SELECT ngram, (length(ngram) + count(*) % 7 - 5) / 8.0::DOUBLE AS coef_idf, 1 + (count(*) % 5) / 4.0::DOUBLE AS idf FROM bg GROUP BY ngram),
  pg AS (SELECT doc_id, g.ngram, count(*) AS c, any_value(coef_idf) AS cw, any_value(idf) AS idf FROM g JOIN weights USING (ngram) GROUP BY 1, 2),
  s AS (SELECT doc_id, sum(c * cw) AS dot, sum((c * idf) * (c * idf)) AS sq FROM pg GROUP BY doc_id)
@@ -225,23 +248,22 @@ SELECT conv.doc_id, round(coalesce(dot / sqrt(sq), 0) + {INTERCEPT}, 6) AS score
 def ngram_weights(spark, folder):
     """A weight table that grows with its source: n-grams of the benchmark."""
     texts = table(spark, folder, "benchmark").select(F.lower("text").alias("text"))
-    grams = scoring.explode_ngrams(texts, [], "text", NGRAM_MIN, NGRAM_MIN)
+    grams = scoring.explode_ngrams(texts, [], "text", NGRAM_MIN, NGRAM_MAX)
     n = F.col("n")
     return (grams.groupBy("ngram").agg(F.count("*").alias("n"))
             .select("ngram", ((F.char_length("ngram") + n % 7 - 5) / F.lit(8.0)).alias("coef_idf"), (1 + (n % 5) / F.lit(4.0)).alias("idf")))
 
 
-@query(NGRAM_SQL.replace("WITH w", "WITH conv AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), w"))
+@query(NGRAM_SQL.replace("WITH w", f"WITH conv AS (SELECT conv_id * 1000 + turn AS doc_id, {MASK_SQL} AS text FROM conversations), w"))
 def ngram_linear_score(spark, folder):
     """Every conversation turn against the n-gram weight table."""
     turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    out = scoring.ngram_linear_score(turns, ngram_weights(spark, folder), ["doc_id"], n_min=NGRAM_MIN, n_max=NGRAM_MAX, intercept=INTERCEPT, masked=False)
+    out = scoring.ngram_linear_score(turns, ngram_weights(spark, folder), ["doc_id"], n_min=NGRAM_MIN, n_max=NGRAM_MAX, intercept=INTERCEPT)
     return out.select("doc_id", r6("score").alias("score"))
 
 
-@query(r"""WITH t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages),
- m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://[^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}''"`;|)]+', 'http://example.com', 'g'),
-   '\b(?:\d{1,3}\.){3}\d{1,3}\b', '1.1.1.1', 'g'), '[A-Za-z0-9+/]{40,}={0,2}', 'BASE64', 'g') AS masked FROM t)
+@query("""WITH t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages),
+ m AS (SELECT *, """ + MASK_SQL + """ AS masked FROM t)
 SELECT kind, id, md5(masked) AS masked_md5, length(masked)::BIGINT AS n_chars, masked <> text AS changed FROM m""")
 def mask_patterns(spark, folder):
     """URLs, addresses and base64 runs masked in whole documents and pages. The SQL
@@ -297,13 +319,27 @@ def chain_rules(spark, folder):
     return masks.select("user_id", F.explode(sessions.chain_hits("m")).alias("chain"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(text) >= 600 THEN 'verdict.malicious' WHEN length(text) >= 300 THEN 'verdict.suspicious' ELSE 'verdict.benign' END AS verdict FROM conversations""")
-def session_command_verdicts(spark, folder):
-    """Ordered verdicts of every session in long form."""
+TURN_VERDICT_SQL = "CASE WHEN length(text) >= 600 THEN 'verdict.malicious' WHEN length(text) >= 300 THEN 'verdict.suspicious' ELSE 'verdict.benign' END"
+
+
+def turn_verdicts(spark, folder):
     n = F.char_length("text")
-    turns = table(spark, folder, "conversations").withColumn(
+    return table(spark, folder, "conversations").withColumn(
         "verdict", F.when(n >= 600, "verdict.malicious").when(n >= 300, "verdict.suspicious").otherwise("verdict.benign"))
-    return sessions.command_verdicts(turns, ["conv_id"], "turn")
+
+
+@query(f"SELECT conv_id, turn, {TURN_VERDICT_SQL} AS verdict FROM conversations")
+def session_command_verdicts(spark, folder):
+    """Ordered verdicts of every session in long form."""
+    return sessions.command_verdicts(turn_verdicts(spark, folder), ["conv_id"], "turn")
+
+
+@query(f"""SELECT conv_id, turn // 10000 AS part, count(*) AS n, string_agg({TURN_VERDICT_SQL}, ',' ORDER BY turn) AS verdicts FROM conversations GROUP BY 1, 2""")
+def session_verdict_list(spark, folder):
+    """Ordered verdict lists of the sessions, in parts of 10,000 turns."""
+    lists = sessions.verdict_sequence(turn_verdicts(spark, folder), ["conv_id"], "turn")
+    return lists.select("conv_id", F.col("part").cast("bigint").alias("part"), F.size("per_command_verdicts").cast("bigint").alias("n"),
+                        csv("per_command_verdicts").alias("verdicts"))
 
 
 @query("""WITH b AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), chr(10)) AS ls FROM pages),
