@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellsieve.operators.ranking import boundaries, range_of
+from shellsieve.operators.ranking import ROWS_PER_RANGE, boundaries, in_ranges, range_of  # noqa: F401
 
 
 def score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -21,30 +21,37 @@ def score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
             .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
 
 
-def running_counts(counts: DataFrame, cuts: list[float], descending: bool = True) -> DataFrame:
+def ranged_counts(df: DataFrame, truth: str, score: str, cuts: list[float] | None = None, rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """Score counts with their ``range``: counted ranges of a written table, or those between ``cuts``."""
+    counts = score_counts(df, truth, score)
+    if cuts is None:
+        return in_ranges(counts, "score", rows=rows)
+    return counts.withColumn("range", range_of(F.col("score"), cuts))
+
+
+def running_counts(ranged: DataFrame, descending: bool = True) -> DataFrame:
     """Add ``tp``/``fp``: counts of this score and all that come before it."""
-    ranged = counts.withColumn("range", range_of(F.col("score"), cuts))
     order = F.col("range").desc() if descending else F.col("range").asc()
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # len(cuts) + 1 rows
+    # one row per range
     offsets = (ranged.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
                .withColumns({"p0": F.coalesce(F.sum("p").over(before), F.lit(0)),
                              "n0": F.coalesce(F.sum("n").over(before), F.lit(0))}).drop("p", "n"))
     inner = F.col("score").desc() if descending else F.col("score").asc()
     within = Window.partitionBy("range").orderBy(inner).rowsBetween(Window.unboundedPreceding, 0)
     return (ranged.withColumns({"ptp": F.sum("pos").over(within), "pfp": F.sum("neg").over(within)})
-            .join(F.broadcast(offsets), "range")
+            .join(offsets, "range")
             .withColumns({"tp": F.col("ptp") + F.col("p0"), "fp": F.col("pfp") + F.col("n0")})
             .drop("ptp", "pfp", "p0", "n0"))
 
 
 def roc_auc(df: DataFrame, truth: str, score: str, cuts: list[float] | None = None) -> DataFrame:
-    """Rank-sum ROC-AUC; NaN when only one class is present.
+    """Rank-sum ROC-AUC; NaN when only one class is present."""
+    return roc_of_counts(ranged_counts(df, truth, score, cuts))
+
 
-    A range contributes through three sums only, so no join back is needed.
-    """
-    cuts = boundaries(df, score) if cuts is None else cuts
-    ranged = score_counts(df, truth, score).withColumn("range", range_of(F.col("score"), cuts))
+def roc_of_counts(ranged: DataFrame) -> DataFrame:
+    """The same of ``ranged_counts``. A range contributes through three sums only, so no join back is needed."""
     below = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     parts = local.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"),
@@ -59,8 +66,12 @@ def roc_auc(df: DataFrame, truth: str, score: str, cuts: list[float] | None = No
 
 def pr_auc(df: DataFrame, truth: str, score: str, cuts: list[float] | None = None) -> DataFrame:
     """Sum of precision times recall step from the top score; NaN without positives."""
-    cuts = boundaries(df, score) if cuts is None else cuts
-    points = running_counts(score_counts(df, truth, score), cuts)
+    return pr_of_counts(ranged_counts(df, truth, score, cuts))
+
+
+def pr_of_counts(ranged: DataFrame) -> DataFrame:
+    """The same of ``ranged_counts``."""
+    points = running_counts(ranged)
     total = points.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"),
                        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"))
     return total.select("n_pos", "n_neg", F.when(F.col("n_pos") == 0, F.lit(float("nan"))).otherwise(F.col("a") / F.col("n_pos")).alias("pr_auc"))

@@ -16,16 +16,30 @@ def last_per_key(df: DataFrame, key: str, order: list[Column | str]) -> DataFram
             .select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in df.columns]))
 
 
+def digest(key: str) -> Column:
+    """Sixteen bytes of sha256 that stand for a text of any length in shuffles; null for null."""
+    return F.substring(F.unhex(X.sha256(F.col(key).cast("string"))), 1, 16)
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, order: list[Column | str], found: str = "found") -> DataFrame:
-    """Left join on a many-to-one table, its last duplicate winning; ``found``
-    marks the rows that had a match."""
-    right = last_per_key(table, key, order).withColumn(found, F.lit(True))
-    return df.join(right, key, "left").withColumn(found, F.coalesce(found, F.lit(False)))
+    """Left join on a many-to-one table by the digest of ``key``, its last duplicate
+    winning; ``found`` marks the rows that had a match."""
+    right = last_per_key(table.withColumn("_digest", digest(key)).drop(key), "_digest", order).withColumn(found, F.lit(True))
+    joined = df.withColumn("_digest", digest(key)).join(right, "_digest", "left").drop("_digest")
+    return joined.withColumn(found, F.coalesce(found, F.lit(False)))
+
+
+def cache_marked(wanted: DataFrame, cache: DataFrame, key: str, found: str = "_found") -> DataFrame:
+    """All wanted rows with the cached columns and whether they were ``found``; one join by digest."""
+    right = cache.withColumns({"_digest": digest(key), found: F.lit(True)}).drop(key)
+    joined = wanted.withColumn("_digest", digest(key)).join(right, "_digest", "left").drop("_digest")
+    return joined.withColumn(found, F.coalesce(found, F.lit(False)))
 
 
 def cache_split(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(hits with the cached columns, rows still to be labelled)."""
-    return wanted.join(cache, key, "inner"), wanted.join(cache.select(key).distinct(), key, "left_anti")
+    marked = cache_marked(wanted, cache, key)
+    return marked.filter("_found").drop("_found"), marked.filter("NOT _found").select(*wanted.columns)
 
 
 def truth_with_verdict(truth: DataFrame, annotated: DataFrame, command: str = "command") -> DataFrame:
@@ -39,7 +53,8 @@ def truth_with_verdict(truth: DataFrame, annotated: DataFrame, command: str = "c
 def arbiter_counts(ambiguous: DataFrame, arbiter: DataFrame, key: str = "text", truth: str = "gt",
                    verdict: str = "verdict", opinion: str = "arb_verdict") -> DataFrame:
     """How the arbiter decided per (truth, teacher) pair; no opinion is ``unknown``."""
-    joined = ambiguous.join(arbiter.select(key, opinion), key, "left")
+    opinions = arbiter.select(digest(key).alias("_digest"), opinion)
+    joined = ambiguous.withColumn("_digest", digest(key)).join(opinions, "_digest", "left")
     return (joined.groupBy(truth, bare(F.col(verdict)).alias("teacher"), F.coalesce(opinion, F.lit("unknown")).alias("arbiter"))
             .agg(F.count("*").alias("n")))
 

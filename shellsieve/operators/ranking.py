@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shellsieve.session import materialise
+
 # Up to this rank Spark limits each group on the map side by itself
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
+# Rows one task sorts when a table is ranked range by range.
+ROWS_PER_RANGE = 1_000_000
 
 
 def hash_order(key: Column, seed: int | str = 42) -> Column:
@@ -111,14 +115,30 @@ def range_of(value: Column, cuts: list[float]) -> Column:
     return bisect(0, len(cuts))
 
 
-def rank_in_group(df: DataFrame, group: list[str], order: str, out: str = "rank", cuts: list[float] | None = None) -> DataFrame:
+def in_ranges(df: DataFrame, column: str, out: str = "range", rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """``df``, written once, with the number of the range its ``column`` falls in.
+
+    Ranges rise with the column and equal values share one; there are as many as
+    the table has times ``rows`` rows, so the work of one of them does not grow.
+    """
+    written = materialise(df, "ranked")
+    n = -(-written.count() // rows)
+    if n <= 1:
+        return written.withColumn(out, F.lit(0))
+    return materialise(written.repartitionByRange(n, column).withColumn(out, F.spark_partition_id()), "ranges")
+
+
+def rank_in_group(df: DataFrame, group: list[str], order: str, out: str = "rank", cuts: list[float] | None = None,
+                  rows: int = ROWS_PER_RANGE) -> DataFrame:
     """``row_number`` by a unique number, for groups of any size.
 
     A group is ranked range by range; each range is then offset by the counts of
-    the ranges before it.
+    the ranges before it. ``cuts`` puts given bounds in place of counted ranges.
     """
-    cuts = boundaries(df, order) if cuts is None else cuts
-    ranged = df.withColumn("_range", range_of(F.col(order).cast("double"), cuts))
+    if cuts is None:
+        ranged = in_ranges(df, order, "_range", rows)
+    else:
+        ranged = df.withColumn("_range", range_of(F.col(order).cast("double"), cuts))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy(*group, "_range").agg(F.count("*").alias("_c"))
                .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c"))

@@ -340,11 +340,11 @@ def cache_last_wins(spark, folder):
 SELECT count(*) AS n_wanted, count(*) FILTER (WHERE text IN (SELECT text FROM dl)) AS n_hits, count(*) FILTER (WHERE text NOT IN (SELECT text FROM dl)) AS n_todo FROM u""")
 def cache_hit_split(spark, folder):
     """Turn texts already known as document lines, and those still to be labelled."""
-    wanted = table(spark, folder, "conversations").select("text").distinct()
-    cache = table(spark, folder, "documents").select(F.explode(X.split_lines(F.col("text"))).alias("text")).distinct().withColumn("cached", F.lit(1))
-    hits, todo = lookups.cache_split(wanted, cache, "text")
-    both = hits.select(F.lit(1).alias("hit")).unionByName(todo.select(F.lit(0).alias("hit")))
-    return both.agg(F.count("*").alias("n_wanted"), F.count_if(F.col("hit") == 1).alias("n_hits"), F.count_if(F.col("hit") == 0).alias("n_todo"))
+    one_each = lambda df: df.withColumn("_k", lookups.digest("text")).dropDuplicates(["_k"]).drop("_k")
+    wanted = one_each(table(spark, folder, "conversations").select("text"))
+    lines = table(spark, folder, "documents").select(F.explode(X.split_lines(F.col("text"))).alias("text"))
+    marked = lookups.cache_marked(wanted, one_each(lines), "text", found="cached")
+    return marked.agg(F.count("*").alias("n_wanted"), F.count_if("cached").alias("n_hits"), F.count_if(~F.col("cached")).alias("n_todo"))
 
 
 @query("""WITH f AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text)

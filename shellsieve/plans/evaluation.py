@@ -192,7 +192,7 @@ def pr_auc(spark, folder):
 def curve_points(spark, folder):
     """Cumulated true and false positives at every distinct score."""
     rows = scored_truth(spark, folder)
-    points = curves.running_counts(curves.score_counts(rows, "toxic", "n_chars"), curves.boundaries(rows, "n_chars"))
+    points = curves.running_counts(curves.ranged_counts(rows, "toxic", "n_chars"))
     return points.select("score", "pos", "neg", "tp", "fp")
 
 

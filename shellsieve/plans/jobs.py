@@ -156,9 +156,9 @@ def external_report(df: DataFrame) -> dict[str, DataFrame]:
     rows with a clear label enter the curves."""
     decided = materialise(D.decide(df).withColumn("p_malicious", F.get("verdict_probs", F.lit(2))), "decided")
     clear = decided.filter(F.col("label").isin("malicious", "benign")).select((F.col("label") == "malicious").cast("int").alias("y"), "p_malicious")
-    cuts = curves.boundaries(clear, "p_malicious")
-    return {"sources": metrics.source_report(decided), "roc": curves.roc_auc(clear, "y", "p_malicious", cuts),
-            "pr": curves.pr_auc(clear, "y", "p_malicious", cuts)}
+    counts = curves.ranged_counts(clear, "y", "p_malicious")
+    return {"sources": metrics.source_report(decided), "roc": curves.roc_of_counts(counts),
+            "pr": curves.pr_of_counts(counts)}
 
 
 def score_sessions(df: DataFrame, load: Callable[[], Callable], limits: dict[str, float] | None = None) -> DataFrame:

@@ -74,6 +74,17 @@ def test_curves_against_naive(spark, ties):
         assert curves.pr_auc(df, "y", "s", cuts).first().pr_auc == pytest.approx(naive_pr(y, s))
 
 
+def test_curves_over_counted_ranges(spark):
+    rng = random.Random(8)
+    y = [rng.random() < 0.3 for _ in range(300)]
+    s = [round(rng.gauss(1 if a else 0, 1), 2) for a in y]
+    df = spark.createDataFrame([(int(a), b) for a, b in zip(y, s)], "y int, s double").repartition(5)
+    ranged = curves.ranged_counts(df, "y", "s", rows=5)
+    assert ranged.select("range").distinct().count() > 20
+    assert curves.roc_of_counts(ranged).first().roc_auc == pytest.approx(naive_auc(y, s))
+    assert curves.pr_of_counts(ranged).first().pr_auc == pytest.approx(naive_pr(y, s))
+
+
 def test_one_class_is_nan(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.4)], "y int, s double")
     assert math.isnan(curves.roc_auc(df, "y", "s").first().roc_auc) and math.isnan(curves.pr_auc(df, "y", "s").first().pr_auc)

@@ -78,6 +78,17 @@ def test_rank_in_group_is_row_number(spark):
     assert len(got) == 2000
 
 
+def test_rank_in_many_counted_ranges(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 10007).alias("o"), F.when(F.col("id") % 3 > 0, "hot").alias("g")).repartition(6)
+    ranged = ranking.in_ranges(df, "o", rows=3)
+    assert ranged.select("range").distinct().count() > 900
+    got = {r.o: (r.g, r["rank"]) for r in ranking.rank_in_group(df, ["g"], "o", rows=20).collect()}
+    for g in ("hot", None):
+        members = sorted(o for o, (h, _) in got.items() if h == g)
+        assert [got[o][1] for o in members] == list(range(1, len(members) + 1))
+    assert len(got) == 3000
+
+
 def test_sample_is_a_stable_subset(spark):
     df = spark.range(1000).select("id", (F.col("id") % 4).alias("g"))
     small = {r.id for r in ranking.sample_per_group(df, ["g"], "id", 10).collect()}
