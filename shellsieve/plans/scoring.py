@@ -352,6 +352,26 @@ def extract_code(spark, folder):
     return lines.groupBy("page_id").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("text")).alias("chars"))
 
 
+@query(r"""WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+m AS (SELECT doc_id, i, CASE WHEN i % 2 = 1 THEN ls[i] ELSE '$ ' || ls[i] END AS l FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+x AS (SELECT doc_id, 'fenced' AS half, regexp_replace(l, '^\s+|\s+$', '', 'g') AS text FROM m WHERE i % 2 = 1),
+y AS (SELECT doc_id, 'prompt' AS half, regexp_extract(l, '^\s*\$\s+(.+)$', 1) AS text FROM m),
+z AS (SELECT * FROM x WHERE length(text) BETWEEN 1 AND 399 AND NOT starts_with(text, '#')
+ UNION ALL SELECT doc_id, half, regexp_replace(text, '^\s+|\s+$', '', 'g') FROM y WHERE length(text) BETWEEN 1 AND 399)
+SELECT doc_id, half, count(*) AS n_lines, sum(length(text))::BIGINT AS chars, max(text) AS last_text FROM z GROUP BY 1, 2""")
+def extract_markdown(spark, folder):
+    """Documents as Markdown: every other line in a fenced block with CR LF, the
+    rest behind a prompt; both halves of the extraction."""
+    docs = table(spark, folder, "documents").select("doc_id", X.split_lines(F.col("text")).alias("ls"))
+    fenced = F.array_join(F.filter("ls", lambda x, i: i % 2 == 0), "\r\n")
+    typed = F.array_join(F.transform(F.filter("ls", lambda x, i: i % 2 == 1), lambda x: F.concat(F.lit("$ "), x)), "\n")
+    pages = docs.select("doc_id", F.concat(F.lit("```bash\n"), fenced, F.lit("\n```\n"), typed).alias("text"))
+    lines = extract.fenced_commands(pages, ["doc_id"])
+    half = F.when(F.col("block") >= 0, "fenced").otherwise("prompt")
+    return lines.groupBy("doc_id", half.alias("half")).agg(F.count("*").alias("n_lines"), F.sum(F.char_length("text")).alias("chars"),
+                                                           F.max("text").alias("last_text"))
+
+
 @query("""WITH b AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), chr(10)) AS ls FROM pages),
 l AS (SELECT page_id, regexp_replace(ls[i], '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM b WHERE len(ls) > 0)),
 p AS (SELECT page_id, regexp_replace(regexp_replace(text, '^[\\w@.-]+[\\$#>]\\s*', ''), '^\\s+|\\s+$', '', 'g') AS text FROM l WHERE length(text) > 0 AND text NOT LIKE '#%')
