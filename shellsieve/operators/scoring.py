@@ -58,8 +58,17 @@ def explode_ngrams(df: DataFrame, key: list[str], text: str, n_min: int, n_max:
     nested loops of generated code. ``mark_records`` adds one ``NO_NGRAM`` row
     per record, so that records without words stay visible.
     """
+    return word_ngrams(explode_words(df, key, text, mark_records), key, n_min, n_max)
+
+
+def explode_words(df: DataFrame, key: list[str], text: str, mark_records: bool = False) -> DataFrame:
+    """(key, _w) rows; ``mark_records`` adds an empty word per record."""
     split = F.array_remove(F.split(X.squeeze(F.col(text)), " "), "")
-    words = df.select(*key, F.explode(F.array_append(split, F.lit("")) if mark_records else split).alias("_w"))
+    return df.select(*key, F.explode(F.array_append(split, F.lit("")) if mark_records else split).alias("_w"))
+
+
+def word_ngrams(words: DataFrame, key: list[str], n_min: int, n_max: int) -> DataFrame:
+    """The n-grams of (key, _w) rows; an empty word gives ``NO_NGRAM``."""
     padded = words.select(*key, F.concat(F.lit(" "), "_w", F.lit(" ")).alias("_p"), (F.char_length("_w") + 2).alias("_l"))
     sizes = F.expr(f"sequence({n_min}, greatest({n_min}, least({n_max}, _l)))")
     sized = padded.select(*key, "_p", "_l", F.explode(sizes).alias("_n"))
@@ -74,8 +83,8 @@ def ngram_linear_score(df: DataFrame, weights: DataFrame, key: list[str], text:
     ``weights``: ``ngram, coef_idf, idf``; of several rows of an n-gram the largest counts. A text without a
     known n-gram scores the intercept alone.
 
-    Texts are distributed by their key once; explode, weight lookup and both
-    aggregations then run without another shuffle, because n-grams take many
+    Texts are distributed by their key once; explode, weight lookup and all
+    aggregations (words of a record are counted before they are cut) then run without another shuffle, because n-grams take many
     times the room of the text they come from. That needs the weights on every
     node, so their number is checked; a larger table is joined after the
     n-grams of a record are counted.
@@ -84,15 +93,16 @@ def ngram_linear_score(df: DataFrame, weights: DataFrame, key: list[str], text:
     stated = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     parts = int(stated) if stated.isdigit() else df.sparkSession.sparkContext.defaultParallelism
     body = df.select(*key, F.lower(X.mask(F.col(text)) if masked else F.col(text)).alias("_text")).repartition(parts, *key)
-    grams = explode_ngrams(body, key, "_text", n_min, n_max, mark_records=True)
+    words = explode_words(body, key, "_text", mark_records=True).groupBy(*key, "_w").agg(F.count("*").alias("_times"))
+    grams = word_ngrams(words, [*key, "_times"], n_min, n_max)
     zero = df.sparkSession.range(1).select(F.lit(NO_NGRAM).alias("ngram"), F.lit(0.0).alias("coef_idf"), F.lit(0.0).alias("idf"))
     weights = weights.select("ngram", F.struct(F.col("coef_idf").cast("double").alias("coef_idf"), F.col("idf").cast("double").alias("idf")).alias("_w"))
     unique = materialise(weights.groupBy("ngram").agg(F.max("_w").alias("_w")).select("ngram", "_w.*"), "weights")
     table = unique.unionByName(zero)
     if is_small(unique):
-        known = grams.join(F.broadcast(table), "ngram").groupBy(*key, "ngram", "coef_idf", "idf").agg(F.count("*").alias("c"))
+        known = grams.join(F.broadcast(table), "ngram").groupBy(*key, "ngram", "coef_idf", "idf").agg(F.sum("_times").alias("c"))
     else:
-        known = grams.groupBy(*key, "ngram").agg(F.count("*").alias("c")).join(table, "ngram")
+        known = grams.groupBy(*key, "ngram").agg(F.sum("_times").alias("c")).join(table, "ngram")
     weighted = F.col("c") * F.col("idf")
     sums = known.groupBy(*key).agg(F.sum(F.col("c") * F.col("coef_idf")).alias("_dot"), F.sum(weighted * weighted).alias("_sq"))
     score = F.when(F.col("_sq") == 0.0, F.lit(intercept)).otherwise(F.col("_dot") / F.sqrt("_sq") + F.lit(intercept))
