@@ -162,15 +162,6 @@ def category_stats(df: DataFrame, category: str, verdict: str, p_malicious: Colu
         F.avg((rank >= 1).cast("int")).alias("nonbenign_recall"), F.avg(p_malicious).alias("mean_p_malicious"))
 
 
-def counts_by(df: DataFrame, dimension: str, column: str, verdict: str = "verdict") -> DataFrame:
-    """Rows and evasions per value of one column; a missing value is ``unknown``."""
-    v = F.col(verdict)
-    return (df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("value"))
-            .agg(F.count("*").alias("n"), F.count_if(v != MALICIOUS).alias("n_bypass"),
-                 F.count_if(v == BENIGN).alias("n_strict"), F.count_if(v == SUSPICIOUS).alias("n_partial"))
-            .select(F.lit(dimension).alias("dimension"), "value", "n", "n_bypass", "n_strict", "n_partial"))
-
-
 def evasion_summary(df: DataFrame, dimensions: dict[str, str], verdict: str = "verdict", actions: str | None = None) -> DataFrame:
     """Counts per value of several columns in one pass over the rows.
 
