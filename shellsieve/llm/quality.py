@@ -1,33 +1,44 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts characters from the ``order - 1`` before them. Counts of the
-trusted texts are gathered over all rows; context totals, continuation counts and
-lower orders come from joins and groupings sharded by gram, so no step holds the
-model in one place. Every gram that occurs anywhere in the corpus gets its
-probability. Documents then look up their grams: in a broadcast table if the model
-has at most ``MODEL_ROWS`` grams, by a shuffle join beyond. Both give the same sums.
+The model predicts words from the ``order - 1`` before them. Counts of the trusted
+texts are gathered over all rows; context totals, continuation counts and lower
+orders come from joins and groupings sharded by gram and context, so no step holds
+the model in one place. Every gram that occurs anywhere in the corpus gets its
+probability, and every document looks up its grams by a shuffle join.
+
+The same model over characters (``gram_counts``, ``Packed``, ``log_likelihood``)
+is the small form that the tests compare with the definition; no query uses it.
 
 A language accepts perplexities up to a quantile of its trusted documents that
 were held out of the counts.
 """
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shellsieve.llm.common import fold_of, free_name, text_of
+from shellsieve.llm.common import WordIds, fold_of, free_name, text_of
 from shellsieve.session import is_small, materialise
 
-ORDER = 4
+#: Words of a gram.
+ORDER = 3
+#: Scripts without blanks between words: kana, Han, Thai, Lao, Burmese, Khmer.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: A character of such a script, a word of any other, or a run of signs; the case of letters is kept.
+TOKEN = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+|[^\w\s{_ALONE}]+")
+START, END = 0, 1
+#: Words a task counts at once.
+WORD_CHUNK = 1 << 20
 BITS = 12
-#: Grams up to which the model is broadcast (16 bytes each).
+#: Grams up to which the character model is broadcast (16 bytes each).
 MODEL_ROWS = 4_000_000
 #: Languages up to which their thresholds are broadcast.
 LANGUAGES = 100_000
-#: Symbols a task counts at once.
+#: Characters a task counts at once.
 CHUNK = 1 << 22
 
 
@@ -50,11 +61,11 @@ def grams(texts: list[np.ndarray], order: int) -> np.ndarray:
     return code[flat[order - 1:] > 0]
 
 
-def portions(texts: Iterator, most: int = CHUNK) -> Iterator[list[np.ndarray]]:
+def portions(texts: Iterator, most: int = CHUNK, length: Callable = len) -> Iterator[list]:
     part, size = [], 0
     for t in texts:
         part.append(t)
-        size += len(t)
+        size += length(t)
         if size >= most:
             yield part
             part, size = [], 0
@@ -85,29 +96,137 @@ def suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << (BITS * order)) - 1))
 
 
-def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, logp) for every gram of ``counts`` (gram, c); c is 0 for grams that trusted text lacks."""
+class Packed:
+    """Grams of characters in one number."""
+
+    def keys(self, n: int) -> list[str]:
+        return ["gram"]
+
+    def lower(self, n: int) -> list[Column]:
+        return [suffix(F.col("gram"), n).alias("gram")]
+
+    def parts(self, level: DataFrame, n: int) -> tuple[DataFrame, list[str], list[str]]:
+        """``level`` with the columns of each gram's context and of its last ``n - 1`` symbols, and their names."""
+        return level.withColumn("_ctx", F.shiftright("gram", BITS)).withColumn("_low", suffix(F.col("gram"), n - 1)), ["_ctx"], ["_low"]
+
+
+class Worded:
+    """Grams of words, one 64-bit id in a column each: w1 ... w``order``, the last ``n`` of them for grams of n words."""
+
+    def __init__(self, order: int) -> None:
+        self.names = [f"w{k}" for k in range(1, order + 1)]
+
+    def keys(self, n: int) -> list[str]:
+        return self.names[-n:]
+
+    def lower(self, n: int) -> list[Column]:
+        return [F.col(w) for w in self.keys(n)]
+
+    def parts(self, level: DataFrame, n: int) -> tuple[DataFrame, list[str], list[str]]:
+        return level, self.keys(n)[:-1], self.keys(n)[1:]
+
+
+def smoothed_grams(counts: DataFrame, order: int, unit: Packed | Worded) -> DataFrame:
+    """(keys of the unit, p) for every gram of ``counts`` (keys, c); c is 0 for grams that trusted text lacks."""
     levels = {order: counts}
+    c = F.col("c")
     for n in range(order - 1, 0, -1):
-        above = levels[n + 1]
-        levels[n] = materialise(above.groupBy(suffix(F.col("gram"), n).alias("gram")).agg(F.count_if(F.col("c") > 0).alias("c")), f"level{n}")
+        levels[n] = materialise(levels[n + 1].groupBy(*unit.lower(n)).agg(F.count_if(c > 0).alias("c")), f"level{n}")
     symbols_seen = levels[1].count()
     lower = None
     for n in range(1, order + 1):
         d1, d2, d3 = discounts(levels[n])
-        c = F.col("c")
-        context = (levels[n].filter(c > 0).groupBy(F.shiftright("gram", BITS).alias("ctx"))
-                   .agg(F.sum("c").alias("total"), (F.count_if(c == 1) * F.lit(d1) + F.count_if(c == 2) * F.lit(d2)
-                                                    + F.count_if(c >= 3) * F.lit(d3)).alias("free")))
         own = F.greatest(c - F.when(c == 1, d1).when(c == 2, d2).when(c >= 3, d3).otherwise(0.0), F.lit(0.0))
-        rows = levels[n].withColumn("ctx", F.shiftright("gram", BITS)).join(context, "ctx", "left")
+        sums = [F.sum("c").alias("total"), (F.count_if(c == 1) * F.lit(d1) + F.count_if(c == 2) * F.lit(d2)
+                                            + F.count_if(c >= 3) * F.lit(d3)).alias("free")]
         if lower is None:
-            rows = rows.withColumn("p0", F.lit(1.0 / (symbols_seen + 1)))
+            r = levels[n].agg(*sums).first()
+            rows = levels[n].select("*", F.lit(r["total"] or None).cast("bigint").alias("total"), F.lit(r["free"]).cast("double").alias("free"),
+                                    F.lit(1.0 / (symbols_seen + 1)).alias("p0"))
         else:
-            rows = rows.withColumn("_low", suffix(F.col("gram"), n - 1)).join(lower.select(F.col("gram").alias("_low"), F.col("p").alias("p0")), "_low")
+            rows, context, low = unit.parts(levels[n], n)
+            rows = rows.join(rows.filter(c > 0).groupBy(*context).agg(*sums), context, "left")
+            rows = rows.join(lower.select(*[F.col(k).alias(x) for k, x in zip(unit.keys(n - 1), low)], F.col("p").alias("p0")), low)
         p = F.when(F.col("total").isNull(), F.col("p0")).otherwise((own + F.col("free") * F.col("p0")) / F.col("total"))
-        lower = materialise(rows.select("gram", p.alias("p")), f"p{n}")
-    return lower.select("gram", F.log("p").alias("logp"))
+        lower = rows.select(*unit.keys(n), p.alias("p"))
+        if n < order:
+            lower = materialise(lower, f"p{n}")
+    return lower
+
+
+def model(counts: DataFrame, order: int) -> DataFrame:
+    """(gram, logp) for grams of characters."""
+    return smoothed_grams(counts, order, Packed()).select("gram", F.log("p").alias("logp"))
+
+
+def word_ids(text: str | None, ids: WordIds) -> np.ndarray:
+    """64-bit ids of the words and signs of a text, then ``END``; nothing for a null or empty text."""
+    if not text:
+        return np.empty(0, np.int64)
+    return np.append(ids(w.encode("utf-8", "surrogatepass") for w in TOKEN.findall(text)).view(np.int64), END)
+
+
+def word_grams(texts: list[np.ndarray], order: int) -> np.ndarray:
+    """One row for each word of each text: the word and the ``order - 1`` before it; ``START`` stands before the first."""
+    gap = np.full(order - 1, START, np.int64)
+    return np.concatenate([np.empty((0, order), np.int64), *(np.lib.stride_tricks.sliding_window_view(np.concatenate([gap, t]), order)
+                                                             for t in texts if len(t))])
+
+
+def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of each different row, and for every row the number of its group; rows are told apart by 64-bit hashes."""
+    code = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        code = (code ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    return first, group
+
+
+def word_counts(docs: DataFrame, order: int) -> DataFrame:
+    """(w1 ..., n) of ``docs`` (text, trusted), summed within a portion of a task only; n counts trusted texts."""
+    names = Worded(order).names
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = WordIds()
+        texts = ((word_ids(t, ids), bool(k)) for batch in batches for t, k in zip(batch["text"], batch["trusted"]))
+        for part in portions(texts, WORD_CHUNK, lambda x: len(x[0])):
+            rows = word_grams([t for t, _ in part], order)
+            first, group = grouped(rows)
+            n = np.bincount(group, weights=np.repeat([float(k) for _, k in part], [len(t) for t, _ in part]), minlength=len(first))
+            yield pd.DataFrame(rows[first], columns=names).assign(n=n.astype(np.int64))
+
+    return docs.select("text", "trusted").mapInPandas(count, ", ".join(f"{w} bigint" for w in names) + ", n bigint")
+
+
+def word_likelihood(docs: DataFrame, probabilities: DataFrame, *, text: str, order: int, out: str) -> DataFrame:
+    """``docs`` with a struct (logp, n) in the column ``out``; ``probabilities`` (w1 ..., p) has every gram of the texts.
+
+    Grams meet by their 64-bit hash; equal texts are looked up once.
+    """
+    names = Worded(order).names
+    marked = docs.withColumn(f"{out}_key", F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))))
+
+    def own_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = WordIds()
+        for batch in batches:
+            for part in portions(((key, word_ids(t, ids)) for key, t in zip(batch["key"], batch["text"])), WORD_CHUNK, lambda x: len(x[1])):
+                rows = word_grams([t for _, t in part], order)
+                of = np.repeat(np.arange(len(part)), [len(t) for _, t in part])
+                first, group = grouped(np.column_stack([rows, of]))
+                keys = np.empty(len(part), object)
+                keys[:] = [key for key, _ in part]
+                yield pd.DataFrame(rows[first], columns=names).assign(key=keys[of[first]], k=np.bincount(group, minlength=len(first)))
+
+    asked = (marked.select(F.col(f"{out}_key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+             .mapInPandas(own_grams, ", ".join(f"{w} bigint" for w in names) + ", key binary, k bigint")
+             .select("key", F.xxhash64(*names).alias("gram"), F.col("k").cast("int").alias("k")))
+    sums = (asked.join(probabilities.select(F.xxhash64(*names).alias("gram"), F.log("p").alias("logp")), "gram").groupBy("key")
+            .agg(F.struct(F.sum(F.col("k") * F.col("logp")).alias("logp"), F.sum("k").alias("n")).alias(out)))
+    sums = materialise(sums, "likelihood")
+    none = F.struct(F.lit(0.0).alias("logp"), F.lit(0).cast("bigint").alias("n"))
+    return (marked.join(sums.withColumnRenamed("key", f"{out}_key"), f"{out}_key", "left")
+            .withColumn(out, F.coalesce(out, none)).drop(f"{out}_key"))
 
 
 class Lookup:
@@ -189,24 +308,24 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER,
-           quantile: float = 0.995, prior: int = 100, out: str = "quality", model_rows: int = MODEL_ROWS) -> DataFrame:
+           quantile: float = 0.995, prior: int = 20, out: str = "quality") -> DataFrame:
     """``docs`` with a struct (n_symbols, perplexity, threshold, accepted) that clashes with no column.
 
     Counts are of all trusted texts but one fold of five, thresholds of that fold:
     the ``quantile`` of its perplexities in the row's language (null is a language
     of its own), of all languages where a language has none, and no limit without
-    any trusted row. ``prior`` symbols at the mean rate of the held-out texts are
-    added to every text, since a few odd letters say little. Null and empty texts have null perplexity and are not
-    accepted. Repeated rows are judged alike.
+    any trusted row. ``prior`` words (about 100 characters) at the mean rate of the
+    held-out texts are added to every text, since a few odd words say little.
+    ``n_symbols`` counts words, runs of signs and the end of the text. Null and empty
+    texts have null perplexity and are not accepted. Repeated rows are judged alike.
     """
     name = free_name(docs, out)
     trust = materialise(trusted_ids(labels, key), "trusted")
-    training = (docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-                .join(trust.filter("_fold <> 0").select("_id"), "_id", "left_semi"))
-    counts = (gram_counts(training, "_text", order).unionByName(gram_counts(docs, text, order).select("gram", F.lit(0).cast("bigint").alias("n")))
-              .groupBy("gram").agg(F.sum("n").alias("c")))
-    probabilities = model(materialise(counts, "grams"), order)
-    scored = log_likelihood(docs, materialise(probabilities, "model"), text=text, order=order, out=name, model_rows=model_rows)
+    flagged = (docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
+               .join(trust.filter("_fold <> 0").select("_id", F.lit(True).alias("trusted")), "_id", "left"))
+    counts = word_counts(flagged.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), order)
+    counts = materialise(counts.groupBy(*Worded(order).names).agg(F.sum("n").alias("c")), "grams")
+    scored = word_likelihood(docs, smoothed_grams(counts, order, Worded(order)), text=text, order=order, out=name)
     logp, n = F.col(f"{name}.logp"), F.col(f"{name}.n")
     narrow = materialise(scored.select(F.col(key).alias("_id"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"), logp.alias("_logp"), n.alias("_n"))
                          .filter("_n > 0").join(trust.filter("_fold = 0").select("_id"), "_id"), "held_out")

@@ -264,3 +264,45 @@ def test_quality_odd_rows(spark, folder):
     assert Q.drop_poor(docs, labels).columns == docs.columns
     assert Q.judged(docs.limit(0), labels).count() == 0
     assert all(r["quality"]["accepted"] == bool(r["text"]) for r in Q.judged(docs, labels.limit(0)).collect())
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_word_model_against_its_definition(spark, order):
+    rng = random.Random(8)
+    train = [" ".join(rng.choice("a b c the of, 日本 x!") for _ in range(rng.randrange(0, 30))) for _ in range(25)] + ["the cat. The dog", ""]
+    other = ["the of new words", "日 本", "?", " "]
+    docs = spark.createDataFrame([(t, True) for t in train] + [(t, False) for t in other], "text string, trusted boolean")
+    names = Q.Worded(order).names
+    counts = Q.word_counts(docs, order).groupBy(*names).agg({"n": "sum"}).withColumnRenamed("sum(n)", "c")
+    probabilities = Q.smoothed_grams(counts, order, Q.Worded(order))
+    got = {tuple(r[w] for w in names): r["p"] for r in probabilities.collect()}
+    ids = Q.WordIds()
+    want = brute_model([Q.word_ids(t, ids).tolist() for t in train], order, list(got))
+    assert got == pytest.approx(want)
+    for r in Q.word_likelihood(docs, probabilities, text="text", order=order, out="s").collect():
+        s = (0,) * (order - 1) + tuple(Q.word_ids(r["text"], ids).tolist())
+        assert r["s"]["n"] == len(s) - order + 1
+        assert r["s"]["logp"] == pytest.approx(sum(math.log(want[s[i - order + 1:i + 1]]) for i in range(order - 1, len(s))), abs=1e-6)
+
+
+def test_quality_sees_word_order_and_tells_ideographs_apart(spark):
+    """Known words in random order, one word repeated, and Han characters whose code points agree modulo 256."""
+    rng = random.Random(9)
+    after = {i: [rng.randrange(200) for _ in range(3)] for i in range(200)}
+    name = [f"{rng.choice('bdgklm')}{i}{rng.choice('aeiou')}n" for i in range(200)]
+    han = [chr(0x4E00 + i) for i in range(200)]
+
+    def chain(words):
+        at = [rng.randrange(200)]
+        while len(at) < 80:
+            at.append(rng.choice(after[at[-1]]))
+        return [words[i] for i in at]
+
+    good = [("en", " ".join(chain(name))) for _ in range(400)] + [("zh", "".join(chain(han))) for _ in range(400)]
+    mixed = [chain(name) for _ in range(20)]
+    bad = [("en", " ".join(rng.sample(w, len(w)))) for w in mixed] + [("en", " ".join([w[0]] * 80)) for w in mixed]
+    bad += [("zh", "".join(chr(ord(c) + 256) for c in chain(han))) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(good + bad)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(good))], "doc_id bigint, quality int")
+    accepted = [r["quality"]["accepted"] for r in Q.judged(docs, labels).orderBy("doc_id").collect()]
+    assert np.mean(accepted[:800]) > 0.97 and not any(accepted[800:])
