@@ -6,6 +6,8 @@ weight ``p`` and a negative of weight ``1 - p``, which is the same cross entropy
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +18,9 @@ from shellsieve.functions import text as X
 from shellsieve.functions.decide import malicious_weight
 from shellsieve.session import materialise
 
+#: Labels fitted at the same time.
+FITS = 4
+
 
 def word_ngrams(c: Column, n: int) -> Column:
     """Character n-grams of the blank-padded words of a text, in one array.
@@ -50,11 +55,14 @@ def fit_scorers(df: DataFrame, labels, targets: str = "targets", max_iter: int =
     """label -> model. ``df`` has ``features`` and ``targets`` (label -> [0, 1]).
 
     Each fit is a series of distributed aggregations; features are written once
-    for all of them. The gradient is one vector of the hashed width.
+    for all of them. The gradient is one vector of the hashed width. ``FITS`` labels
+    are fitted side by side, since most jobs of a fit are short.
     """
     ready = materialise(df.select("features", targets), "features")
     learner = LogisticRegression(labelCol="y", weightCol="w", maxIter=max_iter, regParam=reg)
-    return {label: learner.fit(weighted_rows(ready, label, targets)) for label in labels}
+    with ThreadPool(FITS) as pool:
+        models = pool.map(lambda label: learner.fit(weighted_rows(ready, label, targets)), labels, chunksize=1)
+    return dict(zip(labels, models))
 
 
 def apply_scorers(df: DataFrame, models: dict[str, LogisticRegressionModel], prefix: str = "logit_") -> DataFrame:

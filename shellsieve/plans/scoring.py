@@ -276,18 +276,24 @@ def mask_patterns(spark, folder):
                          (F.col("masked") != F.col("text")).alias("changed"))
 
 
+def label_targets(spark, folder):
+    """Labelled documents -> (doc_id, targets of all labels). Actions are those of
+    the score vector; without one they are unknown, so the row is in no action's fit."""
+    vectors = score_vectors(spark, folder).select(F.col("vec_id").alias("doc_id"), "true_actions")
+    rows = truth_verdicts(spark, folder).join(vectors, "doc_id", "left")
+    is_true = [F.col("verdict") == v for v in TAXONOMY.verdict_ids] + [F.array_contains("true_actions", a) for a in TAXONOMY.action_ids]
+    targets = F.create_map(*[x for label, t in zip(TAXONOMY.all_ids, is_true) for x in (F.lit(label), t.cast("double"))])
+    return rows.select("doc_id", targets.alias("targets"))
+
+
 @query()
 def fitted_label_scorers(spark, folder):
-    """Linear scorers for two verdicts fitted on the labelled documents and
+    """Linear scorers for every label fitted on the labelled documents and
     applied to all documents (an iterative fit has no SQL form)."""
     docs = fit.features(scans.spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")).drop("text")
     docs = materialise(docs, "features")
-    wanted = ("verdict.suspicious", "verdict.malicious")
-    targets = F.create_map(*[x for v in wanted for x in (F.lit(v), (F.col("verdict") == v).cast("double"))])
-    labelled = docs.join(truth_verdicts(spark, folder), "doc_id").select("features", targets.alias("targets"))
-    models = fit.fit_scorers(labelled, wanted, max_iter=5)
-    out = fit.apply_scorers(docs, models)
-    return out.select("doc_id", F.round("logit_suspicious", 3).alias("logit_suspicious"), F.round("logit_malicious", 3).alias("logit_malicious"))
+    labelled = docs.join(label_targets(spark, folder), "doc_id").select("features", "targets")
+    return fit.apply_scorers(docs, fit.fit_scorers(labelled, TAXONOMY.all_ids)).drop("features")
 
 
 @query("""WITH $EVENTS$, s AS (SELECT user_id, day, count(*) AS n_commands, max(CASE verdict WHEN 'verdict.malicious' THEN 2 WHEN 'verdict.suspicious' THEN 1 ELSE 0 END) AS r,

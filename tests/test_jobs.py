@@ -130,3 +130,36 @@ def test_fitted_scorers(spark):
     assert got["fetch it"] > 0 > got["list it"] and len(got) == 3
     grams = spark.createDataFrame([("Ab cde",), ("",), ("a",)], "t string").select(fit.word_ngrams(F.col("t"), 3)).collect()
     assert [r[0] for r in grams] == [[" ab", "ab ", " cd", "cde", "de "], [], [" a "]]
+
+
+def test_scorers_of_every_label(spark, folder, monkeypatch):
+    """The query asks for every label with the operator's own settings; a converged
+    fit without regularisation on the one-hot language gives the weighted log-odds."""
+    import math
+
+    from pyspark.ml.functions import array_to_vector
+    from shellsieve.functions.decide import malicious_weight
+    from shellsieve.operators import fit
+    from shellsieve.plans import scoring as P
+    asked, fit_scorers = [], fit.fit_scorers
+    monkeypatch.setattr(fit, "fit_scorers", lambda df, labels, **settings: asked.append((tuple(labels), settings)) or {})
+    P.fitted_label_scorers(spark, folder)
+    assert asked == [(TAXONOMY.all_ids, {})]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    rows = docs.join(P.label_targets(spark, folder), "doc_id").cache()
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    one_hot = rows.withColumn("features", array_to_vector(F.array(*[(F.col("lang") == x).cast("double") for x in langs])))
+    counts = {}
+    for label in TAXONOMY.all_ids:
+        t = F.element_at("targets", label)
+        w = malicious_weight(F.lit(label), t)
+        for r in rows.groupBy("lang").agg(F.sum(t * w).alias("a"), F.sum((1 - t) * w).alias("b")).collect():
+            counts[label, r.lang] = (r.a, r.b)
+    sure = [x for x in TAXONOMY.all_ids if all(all(counts[x, lang]) for lang in langs)]
+    assert sure and any(x in TAXONOMY.action_ids for x in sure)
+    models = fit_scorers(one_hot, sure, max_iter=100, reg=0.0)
+    first = fit.apply_scorers(one_hot.dropDuplicates(["lang"]), models).collect()
+    for x in sure:
+        for r in first:
+            a, b = counts[x, r.lang]
+            assert r["logit_" + x.split(".")[-1]] == pytest.approx(math.log(a / b), abs=0.02)
