@@ -4,18 +4,32 @@ For every response a ``metadata`` and a ``conversion`` record are made. Both poi
 to the response by WARC-Refers-To, keep its target, date, source headers and
 payload digest, and carry block digests of their own. Ids are UUIDs made from the
 response's id and the kind of the derived record, so a rerun gives the same records.
-Everything is column expressions.
+Everything is column expressions, but for the plain text.
 """
 
+import html as markup
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
-#: Named character references that plain text decodes; "&amp;" comes last so nothing is decoded twice.
+#: The references and the unseen elements of the given pages, as the SQL twin can say them; ``visible`` does more.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
               ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 UNSEEN = r"(?is)<!--.*?-->|<(script|style|head|noscript|template)\b[^>]*>.*?</(script|style|head|noscript|template)\s*>"
 
+#: Elements that no reader sees, the title among them; they do not nest, so each ends at its own closing tag or with the text.
+HIDDEN = ("script", "style", "title", "noscript", "template")
+_COMMENT = r"<!--.*?(?:-->|\Z)"
+_OWN = "|".join(rf"<{e}(?=[\s/>])[^>]*>.*?(?:</{e}\s*>|\Z)" for e in HIDDEN)
+#: A head ends at its closing tag outside of the elements in it, or where the body starts.
+_HEAD = rf"<head(?=[\s/>])[^>]*>(?:[^<]++|{_COMMENT}|{_OWN}|(?!</head\s*>|<body[\s/>])<)*+(?:</head\s*>)?"
+_NO_TEXT = re.compile(rf"(?isa){_COMMENT}|{_HEAD}|{_OWN}")
+_TAG, _SPACE = re.compile(r"<[^>]*>"), re.compile(r"[ \t\n\r\f\x0B]+")
+
 
 def uuid_of(*parts: Column) -> Column:
     """``urn:uuid`` of the md5 of the parts, in the layout of a version-3 UUID."""
@@ -38,12 +52,20 @@ def responses(pages: DataFrame, *, key: str = "page_id", url: str = "url", body:
                         payload.alias("payload"), digest_of(payload).alias("payload_digest"))
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: unseen elements, comments and tags become blanks, references are decoded, white space is squeezed."""
-    t = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), r"<[^>]*>", " ")
-    for name, char in REFERENCES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"[ \t\n\r\f\x0B]+", " "))
+def visible(html: str | None) -> str | None:
+    """Visible text: unseen elements, comments and tags become blanks, all numeric and named
+    references are decoded once (no-break spaces to blanks), white space is squeezed.
+
+    The head and the title are unseen wherever they stand; ``derive`` tells the title in the metadata.
+    """
+    if html is None:
+        return None
+    return _SPACE.sub(" ", markup.unescape(_TAG.sub(" ", _NO_TEXT.sub(" ", html))).replace("\u00a0", " ")).strip(" ")
+
+
+@F.pandas_udf(StringType())
+def plain_text(html: pd.Series) -> pd.Series:
+    return html.map(visible)
 
 
 def derive(source: DataFrame) -> DataFrame:

@@ -202,3 +202,20 @@ def test_pipeline_odd_rows(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, folder)
     assert empty.count() == 0
+
+
+def test_plain_text_of_references_and_unseen_elements(spark):
+    cases = {"a&#8217;b &#x2014; &eacute;&mdash;&hellip; &amp;lt; &notin; &#x1F600; &nbsp;&nbsp; x": "a’b — é—… &lt; ∉ \U0001F600 x",
+             "<title>T</title><p>Hi": "Hi",
+             "<html><head><title>T</title></head><body>Hi": "Hi",
+             "<head><title>T</title><style>p{}</style><meta x><script>a</style>b</script>rest</head><p>Hi</p>": "Hi",
+             "<HEAD\n><script>'</head>'</script ><title>T</title></HEAD>Hi": "Hi",
+             "<head><title>T</title><body>Hi</body>": "Hi",
+             "a<script>x</style>y</script>b<style>q</script>r</style>c": "a b c",
+             "<header>Top</header>a<!-- <script> -->b<template>t</template>": "Top a b",
+             "a<script>never closed": "a", "a &bogus; &; & b": "a &bogus; &; & b", "": ""}
+    docs = spark.createDataFrame(list(cases.items()), "html string, want string")
+    for r in docs.select("html", "want", W.plain_text(docs["html"]).alias("got")).collect():
+        assert r["got"] == r["want"], r["html"]
+    long = spark.createDataFrame([("<head>" + "x<b>" * 100_000 + "</head>Hi",)], "html string")
+    assert long.select(W.plain_text(long["html"]).alias("t")).first()["t"] == "Hi"
