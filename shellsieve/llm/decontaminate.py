@@ -10,6 +10,10 @@ sampled steps, whose words form the hash key; repeats go on until a simulated
 pair with the most edits allowed is found with the target recall. Candidates are
 verified by the exact edit distance of the item to the document around the window.
 
+One walk finds the fewer pairs the more edits they have, so an item of more than
+``PIECE_WORDS`` words is searched by equal pieces: if it has at most ``k`` edits, one
+of its ``m`` pieces has at most ``k // m`` of them (pigeonhole) and is found.
+
 Windows that hold too few words of the items to be within the edits are skipped
 before the walk; that loses nothing.
 """
@@ -28,6 +32,8 @@ from shellsieve.llm.minhash_dedup import mix
 
 #: Items indexed at once; more items are searched in further passes over the documents.
 BLOCK_ITEMS = 5_000
+#: Longer items are searched by pieces of at most so many words.
+PIECE_WORDS = 64
 HIT = "item_id bigint, edits int, n_words int, first_word bigint, last_word bigint"
 PAD = np.uint64(0)
 UNKNOWN = np.uint64(1)
@@ -81,7 +87,7 @@ class Walk:
 
 @dataclass
 class Class:
-    """Items of similar length, searched with windows of one width."""
+    """Items or pieces of similar length, searched with windows of one width."""
     width: int
     stride: int
     need: int
@@ -91,10 +97,14 @@ class Class:
     tables: list[dict] = field(default_factory=list)
 
 
-def simulated_hit_rate(rng, walks_of, width: int, edits: int, pairs: int = 200) -> float:
-    """Share of random windows that keep their key after ``edits`` random word edits, over fresh walks."""
-    hits = 0
-    for i in range(pairs):
+def simulated_hit_rate(rng, walks_of, width: int, edits: int, pairs: int = 200, most: int = 20_000) -> float:
+    """Share of random windows that keep their key after ``edits`` random word edits, over fresh walks.
+
+    Rates too low to be told from ``pairs`` windows take more of them, up to ``most``.
+    """
+    hits = tried = 0
+    while tried < pairs or hits < 10 and tried < most:
+        tried += 1
         a = rng.integers(10, 1 << 40, width, dtype=np.uint64)
         b = list(a)
         for _ in range(edits):
@@ -109,7 +119,7 @@ def simulated_hit_rate(rng, walks_of, width: int, edits: int, pairs: int = 200)
         b = np.array((b + list(rng.integers(10, 1 << 40, width, dtype=np.uint64)))[:width], dtype=np.uint64)
         keys = walks_of(int(rng.integers(1 << 30))).keys(np.stack([a, b]))
         hits += keys[0] == keys[1]
-    return (hits + 1) / (pairs + 2)
+    return (hits + 1) / (tried + 2)
 
 
 class Index:
@@ -122,38 +132,42 @@ class Index:
         self.ids = {x: i + 2 for i, x in enumerate(vocabulary)}
         self.classes: list[Class] = []
         rng = np.random.default_rng(seed)
-        by_length = sorted(range(len(self.items)), key=lambda i: len(self.items[i][1]))
+        #: (item, first word in it, words, edits that one of the item's pieces does not exceed)
+        self.pieces = [(i, a, w[a:b], int(edit_share * len(w)) // m) for i, (_, w) in enumerate(self.items)
+                       for m in [-(-len(w) // PIECE_WORDS)] for a, b in [(len(w) * j // m, len(w) * (j + 1) // m) for j in range(m)]]
+        by_length = sorted(range(len(self.pieces)), key=lambda p: len(self.pieces[p][2]))
         group: list[int] = []
         for i in [*by_length, None]:
-            if group and (i is None or len(self.items[i][1]) > 1.15 * len(self.items[group[0]][1])):
+            if group and (i is None or len(self.pieces[i][2]) > 1.15 * len(self.pieces[group[0]][2])):
                 self.add(group, rng, target_recall, samples)
                 group = []
             if i is not None:
                 group.append(i)
 
     def add(self, group: list[int], rng, target_recall: float, samples: int) -> None:
-        least, most = len(self.items[group[0]][1]), len(self.items[group[-1]][1])
+        least, most = len(self.pieces[group[0]][2]), len(self.pieces[group[-1]][2])
         stride = max(1, min(8, least // 5))
         width = least - stride + 1
-        edits = int(self.edit_share * most)
+        edits = max(self.pieces[p][3] for p in group)
 
         def walk(seed: int) -> Walk:
             r = np.random.default_rng(seed)
             return Walk(int(r.integers(1 << 60)), sorted(r.choice(width, min(samples, width), replace=False).tolist()))
 
-        # edits fall over the whole item, a window sees its share of them
+        # edits fall over the whole piece, a window sees its share of them
         rate = simulated_hit_rate(rng, walk, width, math.ceil(edits * width / most))
-        repeats = max(1, min(64, math.ceil(math.log(1 - target_recall) / math.log(1 - rate))))
+        repeats = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - rate)))
         walks = [walk(int(rng.integers(1 << 30))) for _ in range(repeats)]
         own = np.zeros(len(self.ids) + 2, dtype=bool)
         found = Class(width, stride, max(1, width - edits), walks, own)
         windows, origin = [], []
-        for i in group:
-            ids = np.array([self.ids[x] for x in self.items[i][1]], dtype=np.uint64)
+        for p in group:
+            i, first, part, _ = self.pieces[p]
+            ids = np.array([self.ids[x] for x in part], dtype=np.uint64)
             own[ids.astype(np.int64)] = True
             for offset in range(len(ids) - width + 1):
                 windows.append(ids[offset:offset + width])
-                origin.append((i, offset))
+                origin.append((i, first + offset))
         windows = np.stack(windows)
         for walk_ in walks:
             table: dict[int, set] = {}

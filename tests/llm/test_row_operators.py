@@ -182,6 +182,25 @@ def test_recall_and_exactness():
             assert n == len(own[i]) and edits <= int(0.2 * n) and nearest(own[i], text[first:last + 1]) == edits
 
 
+def test_recall_of_long_items():
+    """Items of 100 to 800 words with the most edits allowed, and no more repeats than hits of one walk ask for."""
+    rng = random.Random(10)
+    vocabulary = [f"w{i}".encode() for i in range(3000)]
+    for least, most in ((100, 400), (600, 800)):
+        items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(least, most))]) for i in range(40)]
+        index = D.Index(items, edit_share=0.2, target_recall=0.95, samples=4)
+        texts = []
+        for _, w in items:
+            noise = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 200))]
+            at = rng.randrange(len(noise) + 1)
+            texts.append(noise[:at] + edited(rng, w, int(0.2 * len(w)), lambda: rng.choice(vocabulary)) + noise[at:])
+        found = index.search(texts)
+        assert sum(any(h[0] == i for h in hits) for (i, _), hits in zip(items, found)) >= 38
+        assert all(h[1] <= int(0.2 * h[2]) for hits in found for h in hits)
+        assert all(D.simulated_hit_rate(np.random.default_rng(1), lambda seed, c=c: D.Walk(seed, c.walks[0].steps), c.width, max(1, c.width - c.need)) > 0.05
+                   for c in index.classes)
+
+
 def test_decontamination_odd_rows(spark):
     docs = odd_docs(spark)
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today"), (1, "the quick brown fox jumps over the lazy dog today"),
