@@ -205,30 +205,38 @@ def best_exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | No
     return None if out is None else (out[0], tuple(sorted(out[1], reverse=True)))
 
 
-def local_search(kinds: Counter, capacity: int, rounds: int = 20_000, tries: int = 64) -> Counter:
-    """Exchange pieces between underfull sequences until no exchange raises squared fill or the rounds are used up.
+def pairs_of(under: list[tuple], tries: int) -> Iterator[tuple[tuple, tuple]]:
+    """All pairs (fuller, emptier or equal) of kinds in rising fill: first the ``tries`` emptiest with the ``tries`` fullest, then the rest."""
+    edge = len(under) - tries
+    for first in (True, False):
+        for i, b in enumerate(under):
+            for j in range(len(under) - 1, i - 1, -1):
+                if (i < tries and j >= edge) == first:
+                    yield under[j], b
+                elif first:
+                    break
+
 
-    The emptiest sequences are worked on first, each against the ``tries`` fullest
-    underfull kinds. ``rounds`` bounds exchanges between kinds; each acts on all
-    sequences of the two kinds at once, so the bound does not depend on the corpus.
-    Pieces are never lost: every exchange keeps the multiset of lengths.
+def local_search(kinds: Counter, capacity: int, tries: int = 64) -> Counter:
+    """Exchange pieces between underfull sequences until no exchange of any two raises squared fill.
+
+    The ``tries`` emptiest kinds are worked on first, each against as many of the
+    fullest underfull kinds, then all others. An exchange acts on all sequences of
+    the two kinds at once. Squared fill rises with each, so the search ends. Pieces
+    are never lost: every exchange keeps the multiset of lengths.
     """
     kinds = Counter({k: n for k, n in kinds.items() if n})
     done: set = set()
-    for _ in range(rounds):
+    while True:
         under = sorted((k for k in kinds if sum(k) < capacity), key=lambda k: (sum(k), k))
         found = None
-        for b in under[:tries]:
-            for a in reversed(under[-tries:]):
-                pair = (a, b)
-                if pair in done or a == b and kinds[a] < 2:
-                    continue
-                found = best_exchange(a, b, capacity)
-                if found:
-                    break
-                done.add(pair)
+        for a, b in pairs_of(under, tries):
+            if (a, b) in done or a == b and kinds[a] < 2:
+                continue
+            found = best_exchange(a, b, capacity)
             if found:
                 break
+            done.add((a, b))
         if not found:
             return kinds
         n = kinds[a] // 2 if a == b else min(kinds[a], kinds[b])
@@ -237,7 +245,6 @@ def local_search(kinds: Counter, capacity: int, rounds: int = 20_000, tries: int
                 kinds[k] += d
                 if not kinds[k]:
                     del kinds[k]
-    return kinds
 
 
 def places(kinds: Counter) -> dict[int, list[tuple[int, int, int, int]]]:

@@ -90,6 +90,17 @@ def test_local_search_empties_sequences():
         assert sum(best.values()) <= math.ceil(sum(k * v for k, v in counts.items()) / 100) + 2
 
 
+def test_local_search_tries_every_pair():
+    """No exchange of any two kinds is left, also where more kinds are underfull than are worked on first."""
+    rng = random.Random(12)
+    kinds = collections.Counter(tuple(sorted((rng.randrange(20, 330) for _ in range(3)), reverse=True)) for _ in range(60))
+    best = P.local_search(kinds, 1024, tries=2)
+    left = sorted(k for k in best if sum(k) < 1024)
+    assert all(P.best_exchange(a, b, 1024) is None for i, a in enumerate(left) for b in left[i:] if a != b or best[a] > 1)
+    under = [(i,) for i in range(1, 8)]
+    assert sorted(P.pairs_of(under, 2)) == sorted((a, b) for i, b in enumerate(under) for a in under[i:])
+
+
 def test_packing_odd_rows(spark):
     docs = odd_docs(spark)
     cuts = P.pieces(docs, tokenizer_file()).cache()
