@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellsieve.llm import (bm25_search, decontaminate, html_extract, license_scan, minhash_dedup, packing, quality, sharding,
+from shellsieve.llm import (bm25_search, byte_bpe, decontaminate, html_extract, license_scan, minhash_dedup, packing, quality, sharding,
                             toxicity, warc)
 from shellsieve.llm.common import fold_of, table
 from shellsieve.session import materialise
@@ -15,10 +15,13 @@ from shellsieve.session import materialise
 
 def tokenizer_file() -> str:
     """The public byte-level BPE; ``TOKENIZER_FILE`` names another place."""
-    if "TOKENIZER_FILE" in os.environ:
-        return os.environ["TOKENIZER_FILE"]
+    return vocabulary("byte_bpe_50k.json", "TOKENIZER_FILE")
+
+
+def vocabulary(name: str, variable: str) -> str:
+    """A file of the public tokenizers, or the one that the environment variable names."""
     import public_tokenizers
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return os.environ.get(variable) or str(public_tokenizers.path(name))
 
 
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,13 +81,22 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(docs, table(spark, folder, "labels"), out="quality").select("doc_id", "lang", "quality.*")
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken", "RANKS_FILE")
+    coded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep=["doc_id"],
+                            joined={"coded": byte_bpe.hex_little_endian, "decoded": lambda ids: byte_bpe.hex_pieces(ids, ranks)})
+    return coded.select("doc_id", (F.length("coded") / 8).cast("bigint").alias("n_tokens"),
+                        F.sha2(F.unhex("coded"), 256).alias("ids_sha256"), F.sha2(F.unhex("decoded"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_derivatives, op3_decontamination, op4_kd_sharding, op5_bm25_topk, op6_html_extract,
-                                   op7_minhash_dedup, op8_sequence_packing, op9_toxicity, op10_quality, pipeline)}
+                                   op7_minhash_dedup, op8_sequence_packing, op9_toxicity, op10_quality, op11_byte_bpe, pipeline)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WS = r"[ \t\n\r\f\x0B]+"
