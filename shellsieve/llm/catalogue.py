@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellsieve.llm import (bm25_search, byte_bpe, decontaminate, html_extract, license_scan, minhash_dedup, packing, quality, sharding,
-                            toxicity, warc)
+                            term_scan, toxicity, warc)
 from shellsieve.llm.common import fold_of, table
 from shellsieve.session import materialise
 
@@ -90,13 +90,18 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.unhex("coded"), 256).alias("ids_sha256"), F.sha2(F.unhex("decoded"), 256).alias("decoded_sha256"))
 
 
+def op13_term_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return term_scan.rank(docs, table(spark, folder, "benchmark").select("item_id", "text"), k=10)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_derivatives, op3_decontamination, op4_kd_sharding, op5_bm25_topk, op6_html_extract,
-                                   op7_minhash_dedup, op8_sequence_packing, op9_toxicity, op10_quality, op11_byte_bpe, pipeline)}
+                                   op7_minhash_dedup, op8_sequence_packing, op9_toxicity, op10_quality, op11_byte_bpe, op13_term_scan, pipeline)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WS = r"[ \t\n\r\f\x0B]+"
@@ -141,4 +146,18 @@ s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.tf * 2.2 / (d.tf
       WHERE q.doc_id % 20 = 0 AND idf > 0 GROUP BY ALL),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, doc_id, score FROM k WHERE rank <= 10""",
+    "op13_term_scan": rf"""
+WITH w AS (SELECT row_id, doc_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+           FROM (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents)),
+tf AS (SELECT row_id, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+dl AS (SELECT row_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY ALL),
+st AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM dl),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM st) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf GROUP BY term),
+it AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+       FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+s AS (SELECT item_id, row_id, doc_id,
+             CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM it JOIN tf USING (term) JOIN wt USING (term) JOIN dl USING (row_id), st GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
