@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellsieve.llm import (bm25_search, byte_bpe, decontaminate, html_extract, license_scan, minhash_dedup, packing, quality, sharding,
+from shellsieve.llm import (alignment, bm25_search, byte_bpe, decontaminate, html_extract, license_scan, minhash_dedup, packing, quality, sharding,
                             term_scan, toxicity, warc)
 from shellsieve.llm.common import fold_of, table
 from shellsieve.session import materialise
@@ -90,6 +90,11 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.unhex("coded"), 256).alias("ids_sha256"), F.sha2(F.unhex("decoded"), 256).alias("decoded_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_file(), vocabulary("piece_bpe_32k.model", "PIECES_FILE"))
+
+
 def op13_term_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return term_scan.rank(docs, table(spark, folder, "benchmark").select("item_id", "text"), k=10)
@@ -101,7 +106,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_derivatives, op3_decontamination, op4_kd_sharding, op5_bm25_topk, op6_html_extract,
-                                   op7_minhash_dedup, op8_sequence_packing, op9_toxicity, op10_quality, op11_byte_bpe, op13_term_scan, pipeline)}
+                                   op7_minhash_dedup, op8_sequence_packing, op9_toxicity, op10_quality, op11_byte_bpe, op12_token_alignment, op13_term_scan, pipeline)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WS = r"[ \t\n\r\f\x0B]+"

@@ -46,19 +46,25 @@ class Tokens:
     of a plain text are those of its words, which are remembered. A word's ids come
     from ``tiktoken`` over the vocabulary of the file (merge order and ids agree in
     it); texts with other characters go to ``tokenizers`` whole. The tests compare both.
+
+    With ``added`` the added tokens of the file (such as the end of a text) are single
+    ids where their strings stand in a text, as ``tokenizers`` does by itself; without,
+    their strings are plain text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = True) -> None:
         import os
         import re
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         import tiktoken
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not added
         symbols = byte_of_symbol()
         ranks = {bytes(symbols[c] for c in token): i for token, i in self.model.get_vocab(False).items()}
-        special = set(self.model.get_added_tokens_decoder())
+        extra = self.model.get_added_tokens_decoder()
+        special = set(extra)
+        self.added = re.compile("|".join(re.escape(t.content) for t in extra.values()) or "(?!)") if added else None
         self.one = tiktoken.Encoding("words", pat_str=r"[\s\S]+", special_tokens={},
                                      mergeable_ranks={t: i for t, i in ranks.items() if i not in special})._core_bpe.encode_single_piece
         self.plain, self.word, self.known = re.compile(_PLAIN), re.compile(_WORD), {}
@@ -68,7 +74,7 @@ class Tokens:
 
     def __call__(self, text: str | None) -> bytes:
         text = text_of(text)
-        if not self.plain.fullmatch(text):
+        if not self.plain.fullmatch(text) or self.added and self.added.search(text):
             return self.whole(text)
         known = self.known
         if len(known) > CACHE_ENTRIES:
@@ -86,9 +92,9 @@ class Tokens:
 
 
 @lru_cache(maxsize=4)
-def tokens_of(path: str) -> Tokens:
+def tokens_of(path: str, added: bool = True) -> Tokens:
     """One per worker process and file, so the tasks of a worker share what it remembers."""
-    return Tokens(path)
+    return Tokens(path, added)
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
