@@ -124,14 +124,45 @@ def ids_of(signs: Column) -> Column:
     return bind(signs, numbers)
 
 
+class Cutter:
+    """The matches of a pattern, with letters and numbers as the Unicode tables of ``tiktoken`` have them.
+
+    The ``regex`` library takes more code points that Python does not know for letters or
+    numbers; where a text holds one, a sign that is neither stands in for it while the
+    text is cut.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        import re
+        import unicodedata
+
+        import regex
+        import tiktoken
+        known = tiktoken.Encoding("signs", pat_str=r"[\p{L}\p{N}]", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        odd = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn" and not known.encode_ordinary(c)]
+        self.odd = re.compile(f"[{''.join(odd)}]" if odd else "(?!)")
+        self.pattern = regex.compile(pattern)
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or not self.odd.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start():m.end()] for m in self.pattern.finditer(self.odd.sub("\ufffe", text))]
+
+
+@lru_cache(maxsize=4)
+def cutter_of(pattern: str) -> Cutter:
+    """One per worker process."""
+    return Cutter(pattern)
+
+
 def in_batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int) -> DataFrame:
     """One row per batch: ``rows`` (the documents), ``codes`` (per document its words as places in ``words``), ``words`` (distinct)."""
     schema = StructType([StructField("rows", ArrayType(docs.schema)), StructField("codes", ArrayType(ArrayType(IntegerType()))),
                          StructField("words", ArrayType(StringType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-        find = regex.compile(pattern).findall
+        find = cutter_of(pattern)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             for start, stop in byte_slices(texts, batch_bytes):

@@ -43,7 +43,7 @@ def counted(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
         automaton = ahocorasick.Automaton()
-        for number, term in enumerate(shared.value):
+        for number, term in enumerate(shared.value or ["-"]):
             automaton.add_word(f" {term} ", number)
         automaton.make_automaton()
         for batch in batches:
@@ -51,7 +51,7 @@ def counted(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame
             for t in batch.column(1).to_pylist():
                 plain = text_of(t).encode("utf-8").translate(WORD_BYTES)
                 sizes.append(len(plain.split()))
-                found = np.fromiter((number for _, number in automaton.iter(f" {plain.decode()} ")), np.int64)
+                found = np.fromiter((number for _, number in automaton.iter(f" {plain.decode()} ")), np.int64) if shared.value else np.empty(0, np.int64)
                 terms_here, times = np.unique(found, return_counts=True)
                 hits.append(terms_here)
                 tf.append(times)
