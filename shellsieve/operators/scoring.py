@@ -46,29 +46,14 @@ def rule_logits(c: Column, rules: list[tuple[str, str, float]], base: float = -4
     return F.array(*vector)
 
 
-# Stands for "this record has been seen": no word contains two blanks.
-NO_NGRAM = "  "
-
-
-def explode_ngrams(df: DataFrame, key: list[str], text: str, n_min: int, n_max: int, mark_records: bool = False) -> DataFrame:
+def explode_ngrams(df: DataFrame, key: list[str], text: str, n_min: int, n_max: int) -> DataFrame:
     """(key, ngram) rows: character n-grams of blank-padded words.
 
     A word no longer than ``n`` gives itself once and ends its list. Words,
     sizes and offsets are exploded one after the other, which Spark turns into
-    nested loops of generated code. ``mark_records`` adds one ``NO_NGRAM`` row
-    per record, so that records without words stay visible.
+    nested loops of generated code.
     """
-    return word_ngrams(explode_words(df, key, text, mark_records), key, n_min, n_max)
-
-
-def explode_words(df: DataFrame, key: list[str], text: str, mark_records: bool = False) -> DataFrame:
-    """(key, _w) rows; ``mark_records`` adds an empty word per record."""
-    split = F.array_remove(F.split(X.squeeze(F.col(text)), " "), "")
-    return df.select(*key, F.explode(F.array_append(split, F.lit("")) if mark_records else split).alias("_w"))
-
-
-def word_ngrams(words: DataFrame, key: list[str], n_min: int, n_max: int) -> DataFrame:
-    """The n-grams of (key, _w) rows; an empty word gives ``NO_NGRAM``."""
+    words = df.select(*key, F.explode(F.array_remove(F.split(X.squeeze(F.col(text)), " "), "")).alias("_w"))
     padded = words.select(*key, F.concat(F.lit(" "), "_w", F.lit(" ")).alias("_p"), (F.char_length("_w") + 2).alias("_l"))
     sizes = F.expr(f"sequence({n_min}, greatest({n_min}, least({n_max}, _l)))")
     sized = padded.select(*key, "_p", "_l", F.explode(sizes).alias("_n"))
@@ -76,34 +61,130 @@ def word_ngrams(words: DataFrame, key: list[str], n_min: int, n_max: int) -> Dat
     return placed.select(*key, F.substring("_p", F.col("_i"), F.col("_n")).alias("ngram"))
 
 
+# Odd constants that spread the code points of an n-gram over 64 bits, one per half of its digest.
+SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def gram_hashes(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every window of ``n`` code points; together they stand for the n-gram."""
+    out = []
+    count = max(0, len(points) - n + 1)
+    for factor in SPREAD:
+        h = np.full(count, n, np.uint64)
+        for i in range(n):
+            h = (h ^ points[i:i + count]) * np.uint64(factor)
+            h ^= h >> np.uint64(29)
+        out.append(h.view(np.int64))
+    return out[0], out[1]
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def text_grams(texts: list[str | None], n_min: int, n_max: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, second hash) of every n-gram of blank-padded words in texts with one blank between words.
+
+    All texts are one array of code points. A window is an n-gram if blanks stand only
+    at its ends; a padded word shorter than ``n_min`` is one itself.
+    """
+    padded = [f" {t} " if t else "" for t in texts]
+    lengths = np.array([len(t) for t in padded], np.int64)
+    points, row = code_points("".join(padded)), np.repeat(np.arange(len(texts)), lengths)
+    blanks = np.cumsum(np.r_[0, points == 32])
+    found = [(np.empty(0, np.int64),) * 3]
+    for n in range(n_min, n_max + 1):
+        at = np.arange(max(0, len(points) - n + 1))
+        at = at[(blanks[at + n - 1] - blanks[at + 1] == 0) & (row[at] == row[at + n - 1])]
+        found.append((row[at], *(h[at] for h in gram_hashes(points, n))))
+    for n in range(3, n_min):
+        at = np.arange(max(0, len(points) - n + 1))
+        at = at[(points[at] == 32) & (points[at + n - 1] == 32) & (blanks[at + n - 1] - blanks[at + 1] == 0) & (row[at] == row[at + n - 1])]
+        found.append((row[at], *(h[at] for h in gram_hashes(points, n))))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def hashed_weights(weights: DataFrame) -> DataFrame:
+    """``h1, h2, coef_idf, idf`` per n-gram; of several rows of an n-gram the largest counts."""
+    @F.pandas_udf("h1 bigint, h2 bigint")
+    def hashes(grams: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(grams), 2), np.int64)
+        lengths = grams.str.len().to_numpy()
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            h1, h2 = gram_hashes(code_points("".join(grams.iloc[at])), int(n))
+            out[at, 0], out[at, 1] = h1[::n], h2[::n]
+        return pd.DataFrame(out, columns=["h1", "h2"])
+
+    pair = F.struct(F.col("coef_idf").cast("double").alias("coef_idf"), F.col("idf").cast("double").alias("idf"))
+    unique = weights.filter(F.char_length("ngram") > 0).groupBy("ngram").agg(F.max(pair).alias("_w"))
+    return unique.select(hashes("ngram").alias("_h"), "_w").select("_h.*", "_w.*")
+
+
 def ngram_linear_score(df: DataFrame, weights: DataFrame, key: list[str], text: str = "text", n_min: int = 3,
                        n_max: int = 5, intercept: float = 0.0, masked: bool = True) -> DataFrame:
     """``key, score``: TF-IDF (L2) dot product of the text's n-grams plus an intercept.
 
     ``weights``: ``ngram, coef_idf, idf``; of several rows of an n-gram the largest counts. A text without a
-    known n-gram scores the intercept alone.
+    known n-gram, an empty and a null text score the intercept alone. Every row is scored by itself.
 
-    Texts are distributed by their key once; explode, weight lookup and all
-    aggregations (words of a record are counted before they are cut) then run without another shuffle, because n-grams take many
-    times the room of the text they come from. That needs the weights on every
-    node, so their number is checked; a larger table is joined after the
-    n-grams of a record are counted.
+    An n-gram is two 64-bit hashes. Texts go through Python as Arrow batches; all windows
+    of a batch are hashed at once and looked up in the sorted hashes of the weights, so no
+    n-gram ever is a row and nothing is shuffled. That needs the weights in every worker,
+    so their number is checked; with more, each text's n-grams are counted in
+    place and the counts joined to the weights by hash.
     """
-    # a stated number, as a small text shuffle must not be coalesced before it is blown up
-    stated = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    parts = int(stated) if stated.isdigit() else df.sparkSession.sparkContext.defaultParallelism
-    body = df.select(*key, F.lower(X.mask(F.col(text)) if masked else F.col(text)).alias("_text")).repartition(parts, *key)
-    words = explode_words(body, key, "_text", mark_records=True).groupBy(*key, "_w").agg(F.count("*").alias("_times"))
-    grams = word_ngrams(words, [*key, "_times"], n_min, n_max)
-    zero = df.sparkSession.range(1).select(F.lit(NO_NGRAM).alias("ngram"), F.lit(0.0).alias("coef_idf"), F.lit(0.0).alias("idf"))
-    weights = weights.select("ngram", F.struct(F.col("coef_idf").cast("double").alias("coef_idf"), F.col("idf").cast("double").alias("idf")).alias("_w"))
-    unique = materialise(weights.groupBy("ngram").agg(F.max("_w").alias("_w")).select("ngram", "_w.*"), "weights")
-    table = unique.unionByName(zero)
-    if is_small(unique):
-        known = grams.join(F.broadcast(table), "ngram").groupBy(*key, "ngram", "coef_idf", "idf").agg(F.sum("_times").alias("c"))
-    else:
-        known = grams.groupBy(*key, "ngram").agg(F.sum("_times").alias("c")).join(table, "ngram")
+    table = materialise(hashed_weights(weights), "weights")
+    body = df.select(*key, X.squeeze(F.lower(X.mask(F.col(text)) if masked else F.col(text))).alias("_text"))
+    if is_small(table):
+        sorted_table = table.orderBy("h1").toArrow()
+        first = sorted_table["h1"].to_numpy()
+        if len(first) == len(np.unique(first)):
+            return _scored_in_place(body, key, [sorted_table[c].to_numpy() for c in ("h1", "h2", "coef_idf", "idf")], n_min, n_max, intercept)
+    return _scored_by_join(body, key, table, n_min, n_max, intercept)
+
+
+def _scored_in_place(body: DataFrame, key: list[str], table: list[np.ndarray], n_min: int, n_max: int, intercept: float) -> DataFrame:
+    bits = 1 << max(16, (len(table[0]) * 16).bit_length())
+    seen = np.zeros(bits, bool)  # by the low bits of the first hash: most windows are told apart by one look
+    seen[table[0] & (bits - 1)] = True
+    shared = body.sparkSession.sparkContext.broadcast((*table, np.packbits(seen)))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        first, second, coef, idf, packed = shared.value
+        known = np.unpackbits(packed).view(bool)
+        for texts in batches:
+            out = np.full(len(texts), intercept)
+            row, h1, h2 = text_grams(texts.tolist(), n_min, n_max)
+            some = np.flatnonzero(known[h1 & (len(known) - 1)])
+            at = np.minimum(np.searchsorted(first, h1[some]), max(0, len(first) - 1))
+            if len(first) and len(some):
+                hit = (first[at] == h1[some]) & (second[at] == h2[some])
+                pairs, count = np.unique(row[some][hit] * len(first) + at[hit], return_counts=True)
+                of, gram = pairs // len(first), pairs % len(first)
+                dot = np.bincount(of, count * coef[gram], len(texts))
+                norm = np.sqrt(np.bincount(of, (count * idf[gram]) ** 2, len(texts)))
+                out = np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0) + intercept
+            yield pd.Series(out)
+
+    return body.select(*key, score("_text").alias("score"))
+
+
+def _scored_by_join(body: DataFrame, key: list[str], table: DataFrame, n_min: int, n_max: int, intercept: float) -> DataFrame:
+    @F.pandas_udf("array<struct<h1: bigint, h2: bigint, c: bigint>>")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = []
+            for t in texts:
+                _, h1, h2 = text_grams([t], n_min, n_max)
+                pairs, c = np.unique(np.stack([h1, h2], 1), axis=0, return_counts=True)
+                found.append([{"h1": int(a), "h2": int(b), "c": int(n)} for (a, b), n in zip(pairs, c)])
+            yield pd.Series(found, dtype="object")
+
+    rows = materialise(body.select(*key, F.monotonically_increasing_id().alias("_row"), counts("_text").alias("_grams")), "grams")
+    known = rows.select("_row", F.explode("_grams").alias("_g")).select("_row", "_g.*").join(table, ["h1", "h2"])
     weighted = F.col("c") * F.col("idf")
-    sums = known.groupBy(*key).agg(F.sum(F.col("c") * F.col("coef_idf")).alias("_dot"), F.sum(weighted * weighted).alias("_sq"))
-    score = F.when(F.col("_sq") == 0.0, F.lit(intercept)).otherwise(F.col("_dot") / F.sqrt("_sq") + F.lit(intercept))
-    return sums.select(*key, score.alias("score"))
+    sums = known.groupBy("_row").agg(F.sum(F.col("c") * F.col("coef_idf")).alias("_dot"), F.sum(weighted * weighted).alias("_sq"))
+    score = F.when(F.coalesce("_sq", F.lit(0.0)) == 0.0, F.lit(intercept)).otherwise(F.col("_dot") / F.sqrt("_sq") + F.lit(intercept))
+    return rows.drop("_grams").join(sums, "_row", "left").select(*key, score.alias("score"))

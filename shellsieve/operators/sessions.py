@@ -27,8 +27,12 @@ def roll_up(df: DataFrame, session: list[str], verdict: str = "verdict", mask: s
     Any malicious command makes it malicious; else a chain hit makes it
     suspicious; else the highest verdict counts.
     """
-    folded = df.groupBy(*session).agg(F.count("*").alias("n_commands"), F.max(verdict_rank(F.col(verdict))).alias("max_rank"),
-                                      F.bit_or(F.col(mask)).alias("all_mask"))
+    return decide_sessions(df.groupBy(*session).agg(F.count("*").alias("n_commands"), F.max(verdict_rank(F.col(verdict))).alias("max_rank"),
+                                                    F.bit_or(F.col(mask)).alias("all_mask")), tax)
+
+
+def decide_sessions(folded: DataFrame, tax: Taxonomy = TAXONOMY) -> DataFrame:
+    """Chains, verdict and actions of folded sessions (``max_rank``, ``all_mask``)."""
     chained = folded.withColumn("hit_chains", chain_hits("all_mask", tax=tax))
     highest = F.element_at(F.array(*[F.lit(v) for v in tax.verdict_ids]), F.col("max_rank") + 1)
     rolled = (F.when(F.col("max_rank") == 2, F.lit(MALICIOUS))

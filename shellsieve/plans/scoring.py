@@ -14,7 +14,8 @@ from shellsieve.plans.catalogue import SNIPPETS, csv, event_commands, query, r6,
 from shellsieve.session import materialise, scratch_path
 from shellsieve.sources import extract, scans, schemas
 from shellsieve.streaming import score as stream
-from shellsieve.taxonomy import TAXONOMY
+from shellsieve.streaming import stateful
+from shellsieve.taxonomy import BENIGN, TAXONOMY
 
 
 @query("""WITH $DECIDED$ SELECT vec_id, verdict, round(p0, 6) AS p_benign, round(p1, 6) AS p_suspicious, round(p2, 6) AS p_malicious,
@@ -296,14 +297,17 @@ def fitted_label_scorers(spark, folder):
     return fit.apply_scorers(docs, fit.fit_scorers(labelled, TAXONOMY.all_ids)).drop("features")
 
 
-@query("""WITH $EVENTS$, s AS (SELECT user_id, day, count(*) AS n_commands, max(CASE verdict WHEN 'verdict.malicious' THEN 2 WHEN 'verdict.suspicious' THEN 1 ELSE 0 END) AS r,
+SESSION_SQL = """WITH $EVENTS$, s AS (SELECT user_id, day, count(*) AS n_commands, max(CASE verdict WHEN 'verdict.malicious' THEN 2 WHEN 'verdict.suspicious' THEN 1 ELSE 0 END) AS r,
  list_distinct(list(action)) AS acts FROM cmds GROUP BY user_id, day),
 c AS (SELECT *, array_to_string(list_filter([
   CASE WHEN (list_contains(acts, 'action.download') AND list_contains(acts, 'action.execute_local')) THEN 'download_execute' END,
   CASE WHEN list_contains(acts, 'action.system_probe') AND list_contains(acts, 'action.account_add') AND list_contains(acts, 'action.exfiltrate') THEN 'recon_priv_exfil' END,
   CASE WHEN list_contains(acts, 'action.schedule_persist') AND list_contains(acts, 'action.clear_logs') THEN 'persist_clearlog' END], lambda x: x IS NOT NULL), ',') AS hit_chains FROM s)
 SELECT user_id, day, n_commands, hit_chains, CASE WHEN r = 2 THEN 'verdict.malicious' WHEN hit_chains <> '' THEN 'verdict.suspicious' WHEN r = 1 THEN 'verdict.suspicious' ELSE 'verdict.benign' END AS verdict,
- array_to_string(list_filter($ACTIONS$, lambda a: list_contains(acts, a)), ',') AS all_actions FROM c""")
+ array_to_string(list_filter($ACTIONS$, lambda a: list_contains(acts, a)), ',') AS all_actions FROM c"""
+
+
+@query(SESSION_SQL)
 def session_rollup(spark, folder):
     """Sessions of one user and day."""
     c = event_commands(spark, folder).withColumn("action_mask", V.mask_of_name("action"))
@@ -446,6 +450,44 @@ def stream_score(spark, folder):
     return spark.read.schema("event_id BIGINT, verdict STRING, actions ARRAY<STRING>").parquet(out).select("event_id", "verdict", csv("actions").alias("actions"))
 
 
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(spark, folder):
+    """Events as a growing file stream with repeats and late rows; each event once.
+
+    Three runs from one checkpoint: the events, every third of them again, and old
+    copies under new ids, which come after the watermark and are left out.
+    """
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts")
+    late = events.filter(F.col("event_id") % 5 == 0).withColumns({"event_id": F.col("event_id") + 10**12, "ts": F.col("ts") - F.expr("INTERVAL 400 DAYS")})
+    parts = [events, events.filter(F.col("event_id") % 3 == 0), late]
+    text = F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type")
+    out = run_in_parts(spark, parts, lambda s: stateful.distinct_within(s, text, "ts", "60 days").drop("ts"))
+    return out.select("event_id", "user_id", "event_type")
+
+
+def run_in_parts(spark, parts, build):
+    """Append each part to a stream's folder and run ``build`` of the stream over it, each run going on from the one before."""
+    source, out, check = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-check"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        result = build(spark.readStream.schema(parts[0].schema).parquet(source))
+        stateful.run_appended(result, out, check).awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
+
+
+@query(SESSION_SQL)
+def stream_sessions(spark, folder):
+    """The sessions of ``session_rollup`` from a file stream in three runs: even events, odd events, and one far row that closes all days."""
+    c = event_commands(spark, folder).select("user_id", "ts", "verdict", V.mask_of_name("action").alias("action_mask"), "event_id")
+    far = c.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(
+        F.lit(None).cast("bigint").alias("user_id"), "ts", F.lit(BENIGN).alias("verdict"), F.lit(0).cast("bigint").alias("action_mask"),
+        F.lit(None).cast("bigint").alias("event_id"))
+    parts = [c.filter(F.col("event_id") % 2 == 0), c.filter(F.col("event_id") % 2 == 1), far]
+    out = run_in_parts(spark, parts, lambda s: stateful.fold_sessions(s, ["user_id"], "ts", "60 days", length="1 day"))
+    return out.select("user_id", F.to_date("start").alias("day"), "n_commands", csv("hit_chains").alias("hit_chains"), "verdict",
+                      csv("all_actions").alias("all_actions"))
+
+
 def _length_and_capitals():
     """Stand-in model: what a text looks like when it arrives."""
     def score(texts):
