@@ -82,15 +82,39 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def text_grams(texts: list[str | None], n_min: int, n_max: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, second hash) of every n-gram of blank-padded words in texts with one blank between words.
-
-    All texts are one array of code points. A window is an n-gram if blanks stand only
-    at its ends; a padded word shorter than ``n_min`` is one itself.
+# Characters whose windows are in memory at once, unless one word is longer.
+SLICE_CHARS = 300_000
+
+
+def word_slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The texts as lists of (row, whole words), each list of about ``limit`` characters; long texts are cut at blanks."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        start = 0
+        while text and start < len(text):
+            stop = len(text)
+            if stop - start > limit:
+                stop = text.rfind(" ", start, start + limit)
+                stop = stop if stop > start else text.find(" ", start + limit)
+                stop = stop if stop > start else len(text)
+            held.append((row, text[start:stop]))
+            size += stop - start
+            start = stop + 1
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def text_grams(words: list[tuple[int, str]], n_min: int, n_max: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, second hash) of every n-gram of blank-padded words, given (row, words with one blank between them).
+
+    All are one array of code points. A window is an n-gram if blanks stand only at its
+    ends; a padded word shorter than ``n_min`` is one itself.
     """
-    padded = [f" {t} " if t else "" for t in texts]
-    lengths = np.array([len(t) for t in padded], np.int64)
-    points, row = code_points("".join(padded)), np.repeat(np.arange(len(texts)), lengths)
+    padded = [f" {t} " for _, t in words]
+    points, row = code_points("".join(padded)), np.repeat([r for r, _ in words], [len(t) for t in padded])
     blanks = np.cumsum(np.r_[0, points == 32])
     found = [(np.empty(0, np.int64),) * 3]
     for n in range(n_min, n_max + 1):
@@ -155,18 +179,18 @@ def _scored_in_place(body: DataFrame, key: list[str], table: list[np.ndarray], n
         first, second, coef, idf, packed = shared.value
         known = np.unpackbits(packed).view(bool)
         for texts in batches:
-            out = np.full(len(texts), intercept)
-            row, h1, h2 = text_grams(texts.tolist(), n_min, n_max)
-            some = np.flatnonzero(known[h1 & (len(known) - 1)])
-            at = np.minimum(np.searchsorted(first, h1[some]), max(0, len(first) - 1))
-            if len(first) and len(some):
+            found = [np.empty(0, np.int64)]
+            for words in word_slices(texts.tolist()) if len(first) else ():
+                row, h1, h2 = text_grams(words, n_min, n_max)
+                some = np.flatnonzero(known[h1 & (len(known) - 1)])
+                at = np.minimum(np.searchsorted(first, h1[some]), len(first) - 1)
                 hit = (first[at] == h1[some]) & (second[at] == h2[some])
-                pairs, count = np.unique(row[some][hit] * len(first) + at[hit], return_counts=True)
-                of, gram = pairs // len(first), pairs % len(first)
-                dot = np.bincount(of, count * coef[gram], len(texts))
-                norm = np.sqrt(np.bincount(of, (count * idf[gram]) ** 2, len(texts)))
-                out = np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0) + intercept
-            yield pd.Series(out)
+                found.append(row[some][hit] * len(first) + at[hit])
+            pairs, count = np.unique(np.concatenate(found), return_counts=True)
+            of, gram = np.divmod(pairs, max(1, len(first)))
+            dot = np.bincount(of, count * coef[gram], len(texts))
+            norm = np.sqrt(np.bincount(of, (count * idf[gram]) ** 2, len(texts)))
+            yield pd.Series(np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0) + intercept)
 
     return body.select(*key, score("_text").alias("score"))
 
@@ -177,7 +201,8 @@ def _scored_by_join(body: DataFrame, key: list[str], table: DataFrame, n_min: in
         for texts in batches:
             found = []
             for t in texts:
-                _, h1, h2 = text_grams([t], n_min, n_max)
+                parts = [text_grams(words, n_min, n_max)[1:] for words in word_slices([t])]
+                h1, h2 = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 2
                 pairs, c = np.unique(np.stack([h1, h2], 1), axis=0, return_counts=True)
                 found.append([{"h1": int(a), "h2": int(b), "c": int(n)} for (a, b), n in zip(pairs, c)])
             yield pd.Series(found, dtype="object")

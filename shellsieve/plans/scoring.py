@@ -259,6 +259,7 @@ def ngram_weights(spark, folder):
 def ngram_linear_score(spark, folder):
     """Every conversation turn against the n-gram weight table."""
     turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    turns = scans.spread(turns, "doc_id")
     out = scoring.ngram_linear_score(turns, ngram_weights(spark, folder), ["doc_id"], n_min=NGRAM_MIN, n_max=NGRAM_MAX, intercept=INTERCEPT)
     return out.select("doc_id", r6("score").alias("score"))
 

@@ -92,6 +92,16 @@ def test_ngram_windows_are_those_of_padded_words(spark, monkeypatch, small, low,
         assert got[i] == pytest.approx(direct_ngram(t or "", weights, low, high, -0.5)), (t, low, high)
 
 
+def test_long_texts_are_cut_between_words_only():
+    texts = ["ab " * 50 + "x" * 40, None, "", "y" * 70 + " z", "q"]
+    for limit in (1, 7, 64, 10_000):
+        back = {}
+        for part in scoring.word_slices([t.strip() if t else t for t in texts], limit):
+            for row, words in part:
+                back.setdefault(row, []).extend(words.split(" "))
+        assert back == {i: t.split() for i, t in enumerate(texts) if t}
+
+
 def test_ngram_scorer_without_weights(spark):
     none = spark.createDataFrame([], "ngram string, coef_idf double, idf double")
     df = spark.createDataFrame([(1, "some text"), (2, None)], "i int, text string")
