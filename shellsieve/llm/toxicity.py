@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from shellsieve.llm.common import CACHE_ENTRIES, fold_of, free_name, words
 from shellsieve.session import materialise
 
+#: Most frequent terms among whose pairs effects are looked for that no term has by itself; rows and chi-square of such a pair.
+#: Half a million pairs are tested, so the bar is well above that of a single term.
+PAIR_TERMS, PAIR_ROWS, PAIR_CHI2 = 1_000, 30, 60.0
 #: At most about so many labelled rows are fitted (chosen by the hash of the id).
 SAMPLE_ROWS = 12_000
 BITS = 26
@@ -81,13 +84,38 @@ class Machine:
         return Buckets(self.bits, self.terms)
 
 
+def pair_terms(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, min_rows: int, min_chi2: float) -> np.ndarray:
+    """Those of ``terms`` (rising) that are in a pair whose rate of label 1 is not the sum of the two terms' own effects.
+
+    A pair counts from ``min_rows`` rows on; its chi-square is against the base rate
+    plus what either term adds to it alone.
+    """
+    if not len(terms) or y.min() == y.max():
+        return terms[:0]
+    both, hits = np.zeros((len(terms), len(terms)), np.float32), np.zeros((len(terms), len(terms)), np.float32)
+    for start in range(0, len(rows), 1000):
+        part = np.zeros((len(rows[start:start + 1000]), len(terms)), np.float32)
+        for i, r in enumerate(rows[start:start + 1000]):
+            at = np.searchsorted(terms, r)
+            at = at[at < len(terms)]
+            part[i, at[np.isin(terms[at], r)]] = 1
+        both += part.T @ part
+        hits += part.T @ (part * y[start:start + 1000, None].astype(np.float32))
+    own = np.diag(hits) / np.maximum(1, np.diag(both))
+    rate = np.clip(own[:, None] + own[None, :] - y.mean(), 0.02, 0.98)
+    chi2 = (hits - both * rate) ** 2 / np.maximum(1e-9, both * rate * (1 - rate))
+    np.fill_diagonal(chi2, 0)
+    return terms[((both >= min_rows) & (chi2 >= min_chi2)).any(axis=1)]
+
+
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, rank: int = 4, epochs: int = 30,
-             rate: float = 0.2, l1: float = 1e-5, l2: float = 1e-5, min_rows: int = 4, min_chi2: float = 12.0, batch: int = 256,
-             seed: int = 7) -> Machine:
+             rate: float = 0.2, l1: float = 1e-5, l2: float = 1e-5, min_rows: int = 4, min_chi2: float = 12.0,
+             most_frequent: int = PAIR_TERMS, pair_rows: int = PAIR_ROWS, pair_chi2: float = PAIR_CHI2, batch: int = 256, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss, with a soft threshold on the linear weights.
 
     Only terms in ``min_rows`` rows or more whose chi-square against the label is at
-    least ``min_chi2`` are learned; the thousands of others would be fitted to chance. Without rows of both labels the machine
+    least ``min_chi2`` are learned, and of the ``most_frequent`` terms those that
+    ``pair_terms`` finds; the thousands of others would be fitted to chance. Without rows of both labels the machine
     is the constant rate of label 1 (0.5 without rows).
     """
     rng = np.random.default_rng(seed)
@@ -103,7 +131,9 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, ra
             hits[np.searchsorted(seen, r)] += 1
     expected, total = n * y.mean(), len(y)
     chi2 = (hits - expected) ** 2 / (expected * (1 - y.mean()) * np.maximum(1e-9, 1 - n / total))
-    used = seen[(n >= min_rows) & (chi2 >= min_chi2)].astype(np.int64)
+    single = seen[(n >= min_rows) & (chi2 >= min_chi2)]
+    frequent = np.sort(seen[np.argsort(-n, kind="stable")[:most_frequent]])
+    used = np.union1d(single, pair_terms(rows, y, frequent, pair_rows, pair_chi2)).astype(np.int64)
     kept = []
     for r in rows:
         at = np.minimum(np.searchsorted(used, r), max(0, len(used) - 1))
@@ -145,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     Rows with null id or label teach nothing; an id labelled twice counts as toxic
     if one label says so. Only ids of the sample are broadcast. Terms are screened
-    in Spark, and only screened terms of the sample come to the driver.
+    in Spark, and only screened and the most frequent terms of the sample come to the driver.
     """
     known = (labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
              .groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_y")))
@@ -166,8 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     seen = rows.select("_y", F.explode("_terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("_y").alias("hits"))
     expected = F.col("n") * all_rows["rate"]
     spread = expected * (1 - all_rows["rate"]) * F.greatest(F.lit(1e-9), 1 - F.col("n") / max(1, all_rows["n"]))
+    seen = materialise(seen, "terms")
     wanted = seen.filter((F.col("n") >= min_rows) & ((F.col("hits") - expected) ** 2 >= min_chi2 * spread)).select("t").toPandas()["t"]
-    kept = np.sort(wanted.to_numpy(np.int32))
+    frequent = seen.orderBy(F.col("n").desc(), "t").limit(options.get("most_frequent", PAIR_TERMS)).select("t").toPandas()["t"]
+    kept = np.union1d(wanted.to_numpy(np.int32), frequent.to_numpy(np.int32))
 
     @F.pandas_udf("array<int>")
     def screened(series: pd.Series) -> pd.Series:

@@ -128,14 +128,23 @@ def test_pairs_that_weights_alone_miss():
         rows.append(np.concatenate([np.flatnonzero(x), rng.choice(np.arange(2, 40), 5, replace=False)]).astype(np.int64))
         labels.append(int(x[0] != x[1]))
     y = np.array(labels)
-    machine = T.fit_rows(rows[:2500], y[:2500], min_chi2=0, epochs=60)
-    at = [np.searchsorted(machine.terms, r) for r in rows]
+    machine = T.fit_rows(rows[:2500], y[:2500])
+    assert {0, 1} <= set(machine.terms)
+    at = [np.searchsorted(machine.terms, np.intersect1d(machine.terms, r)) for r in rows]
     assert np.mean([(machine.score(a) >= 0.5) == t for a, t in zip(at[2500:], y[2500:])]) > 0.95
-    linear = T.fit_rows(rows[:2500], y[:2500], min_chi2=0, rank=1, epochs=60)
+    linear = T.fit_rows(rows[:2500], y[:2500], rank=1)
     linear.factors[:] = 0
     assert np.mean([(linear.score(a) >= 0.5) == t for a, t in zip(at[2500:], y[2500:])]) < 0.85  # three of four cases at best
 
 
+def test_margin_is_the_sum_over_terms_and_pairs():
+    rng = np.random.default_rng(9)
+    machine = T.Machine(0.3, np.arange(12), rng.normal(size=12).astype(np.float32), rng.normal(size=(12, 4)).astype(np.float32), 18)
+    for at in (np.array([], np.int64), np.array([3]), np.array([0, 4, 7, 11])):
+        plain = 0.3 + sum(float(machine.linear[i]) for i in at) + sum(float(machine.factors[i] @ machine.factors[j]) for i, j in itertools.combinations(at, 2))
+        assert machine.margin(at) == pytest.approx(plain, rel=1e-5)
+
+
 def test_held_out_accuracy_and_odd_rows(spark, folder):
     folder = folder.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
