@@ -33,7 +33,7 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op2_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.derive(warc.responses(table(spark, folder, "pages")))
     return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "source_headers",
-                          "source_digest", "content_length", "block_digest")
+                          "source_digest", "content_length", "block_digest", "block")
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,9 +118,10 @@ def _sql_uuid(parts: str) -> str:
 
 
 def _sql_plain(html: str) -> str:
-    t = rf"regexp_replace(regexp_replace({html}, '(?is){warc.UNSEEN.removeprefix('(?is)')}', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-    for name, char in warc.REFERENCES:
+    t = rf"regexp_replace(regexp_replace({html}, '(?is){warc.UNSEEN.removeprefix('(?is)')}', ' ', 'g'), '<[^<>]*>', ' ', 'g')"
+    for name, char in warc.REFERENCES[:-1]:
         t = f"replace({t}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    t = f"regexp_replace({t}, '&amp;?', '&', 'g')"  # cut titles end in references without their last sign
     return f"trim(regexp_replace({t}, '{_WS}', ' ', 'g'), ' ')"
 
 
@@ -139,7 +140,7 @@ d AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_
              || 'outlinks: ' || CAST(links AS VARCHAR) || {_NL} || 'title: ' || title AS block FROM t
       UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', body FROM t)
 SELECT page_id, record_type, {_sql_uuid("record_type || '|' || refers_to")} AS record_id, refers_to, target_uri, content_type,
-       source_headers, source_digest, CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM d""",
+       source_headers, source_digest, CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM d""",
     "op5_bm25_topk": rf"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),

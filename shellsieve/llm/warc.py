@@ -13,7 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 CRLF = "\r\n"
 #: The references and the unseen elements of the given pages, as the SQL twin can say them; ``visible`` does more.
@@ -24,11 +24,12 @@ UNSEEN = r"(?is)<!--.*?-->|<(script|style|head|noscript|template)\b[^>]*>.*?</(s
 #: Elements that no reader sees, the title among them; they do not nest, so each ends at its own closing tag or with the text.
 HIDDEN = ("script", "style", "title", "noscript", "template")
 _COMMENT = r"<!--.*?(?:-->|\Z)"
-_OWN = "|".join(rf"<{e}(?=[\s/>])[^>]*>.*?(?:</{e}\s*>|\Z)" for e in HIDDEN)
+_OWN = "|".join(rf"<{e}(?=[\s/>])[^<>]*+>.*?(?:</{e}\s*>|\Z)" for e in HIDDEN)
 #: A head ends at its closing tag outside of the elements in it, or where the body starts.
-_HEAD = rf"<head(?=[\s/>])[^>]*>(?:[^<]++|{_COMMENT}|{_OWN}|(?!</head\s*>|<body[\s/>])<)*+(?:</head\s*>)?"
+_HEAD = rf"<head(?=[\s/>])[^<>]*+>(?:[^<]++|{_COMMENT}|{_OWN}|(?!</head\s*>|<body[\s/>])<)*+(?:</head\s*>)?"
 _NO_TEXT = re.compile(rf"(?isa){_COMMENT}|{_HEAD}|{_OWN}")
-_TAG, _SPACE = re.compile(r"<[^>]*>"), re.compile(r"[ \t\n\r\f\x0B]+")
+#: A tag has no other opening bracket in it, so a run of them is looked at once.
+_TAG, _SPACE = re.compile(r"<[^<>]*+>"), re.compile(r"[ \t\n\r\f\x0B]+")
 
 
 def uuid_of(*parts: Column) -> Column:
@@ -52,6 +53,10 @@ def responses(pages: DataFrame, *, key: str = "page_id", url: str = "url", body:
                         payload.alias("payload"), digest_of(payload).alias("payload_digest"))
 
 
+_LINK = re.compile(r"(?ia)<a\s[^<>]*?href\s*=")
+_TITLE = re.compile(r"(?isa)<title(?=[\s/>])[^<>]*+>(.*?)(?:</title|\Z)")
+
+
 def visible(html: str | None) -> str | None:
     """Visible text: unseen elements, comments and tags become blanks, all numeric and named
     references are decoded once (no-break spaces to blanks), white space is squeezed.
@@ -63,9 +68,20 @@ def visible(html: str | None) -> str | None:
     return _SPACE.sub(" ", markup.unescape(_TAG.sub(" ", _NO_TEXT.sub(" ", html))).replace("\u00a0", " ")).strip(" ")
 
 
-@F.pandas_udf(StringType())
-def plain_text(html: pd.Series) -> pd.Series:
-    return html.map(visible)
+def links(html: str) -> int:
+    """Anchors with a target that stand where a reader may see them: not in comments, scripts and the like."""
+    return len(_LINK.findall(_NO_TEXT.sub(" ", html)))
+
+
+def title(html: str) -> str:
+    """What the first title element holds, white space squeezed; empty without one."""
+    found = _TITLE.search(html)
+    return _SPACE.sub(" ", found[1]).strip(" ") if found else ""
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("links", LongType()), StructField("title", StringType())]))
+def read_page(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"text": html.map(visible), "links": html.map(links).astype("int64"), "title": html.map(title)})
 
 
 def derive(source: DataFrame) -> DataFrame:
@@ -73,17 +89,17 @@ def derive(source: DataFrame) -> DataFrame:
 
     ``source`` has the columns of ``responses`` (more are ignored). A response
     without target keeps a null target; an empty payload gives an empty
-    conversion. Repeated responses give repeated records with the same ids.
+    conversion, and payloads of any length are converted whole, in time with their
+    length. Repeated responses give repeated records with the same ids.
     """
     names = ["page_id", "record_id", "target_uri", "warc_date", "http_headers", "payload", "payload_digest"]
-    one = source.select(*names).withColumn("_text", plain_text(F.col("payload")))
-    links = F.size(F.regexp_extract_all("payload", F.lit(r"(?i)<a\s[^>]*href\s*="), F.lit(0)))
-    title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)
+    one = source.select(*names).withColumn("_page", read_page(F.coalesce("payload", F.lit(""))))
+    text = F.col("_page.text")
     fields = F.concat(F.lit("source-content-length: "), F.octet_length("payload").cast("string"), F.lit(f"{CRLF}text-content-length: "),
-                      F.octet_length("_text").cast("string"), F.lit(f"{CRLF}outlinks: "), links.cast("string"), F.lit(f"{CRLF}title: "),
-                      F.trim(F.regexp_replace(title, r"[ \t\n\r\f\x0B]+", " ")))
+                      F.octet_length(text).cast("string"), F.lit(f"{CRLF}outlinks: "), F.col("_page.links").cast("string"),
+                      F.lit(f"{CRLF}title: "), F.col("_page.title"))
     kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-                    F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_text").alias("block")))
+                    F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), text.alias("block")))
     rows = one.select("page_id", "target_uri", "warc_date", "http_headers", "payload_digest", F.col("record_id").alias("refers_to"),
                       F.explode(kinds).alias("_k")).select("*", "_k.*").drop("_k")
     return rows.select("page_id", "record_type", uuid_of(F.col("record_type"), F.col("refers_to")).alias("record_id"), "refers_to",

@@ -147,6 +147,14 @@ def test_main_text():
             "<p>Short.</p><div class='ad'>Buy now, a great offer!</div><p>Last &#8212; one.</p></article><aside>Read this other story too.</aside>"
             "<form>Name <input></form><div id=comments><p>I think so, said a reader.</p></div><footer>&copy; me</footer>")
     assert H.main_text(page) == "Head&line First bold text, with words. Short. Last — one."
+    assert H.main_text("<p><span data-x=don't>We don't mind this at all, said the long text of it.</span> It's \"here\".</p>") == (
+        "We don't mind this at all, said the long text of it. It's \"here\".")
+    assert H.main_text("<div class='entry-content share'><p>A whole paragraph of the article, kept as it is.</p></div>").startswith("A whole")
+    assert H.main_text("<article><p>Since <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, we are done here.</p></article>") == "Since x=1 holds, we are done here."
+    assert H.main_text("<div>short note</div>") == "short note"
+    for wrapper in ("kommentare", "user-feedback", "comments", "related-content"):
+        assert H.main_text(f"<article><p>The text of the article, which is long enough to stand.</p></article><div class={wrapper}><p>I, a reader, do not think so at all.</p></div>"
+                           ) == "The text of the article, which is long enough to stand."
     assert H.main_text(None) == H.main_text("") == H.main_text("<p></p>") == ""
 
 
@@ -157,6 +165,29 @@ def test_html_odd_rows(spark):
     assert {r["_text"] for r in rows if not (r["text"] or "").strip()} == {""}
 
 
+def test_hostile_pages_take_time_with_their_length():
+    import time
+    for page in ("<div>" * 20_000 + "x", "<div>x" * 20_000, "<p>x</b></i>" * 20_000, "<" * 300_000, "<a " * 100_000, "<a b='" * 50_000, "<ul><li>" * 10_000 + "y",
+                 "<span>" * 20_000 + "z" + "</div>" * 20_000, "<a =\"" * 50_000):
+        start = time.time()
+        H.main_text(page)
+        assert time.time() - start < 5
+
+
+def test_hostile_payloads_take_time_with_their_length():
+    import time
+
+    from shellsieve.llm import warc
+    for page in ("<" * 1_000_000, "<a " * 300_000, "<head " * 100_000, "<script " * 100_000, "<!--" * 200_000, "<title>" * 100_000, "<head>" + "<script " * 100_000,
+                 "<a href" * 100_000, "<title " * 100_000):
+        for read in (warc.visible, warc.links, warc.title):
+            start = time.time()
+            read(page)
+            assert time.time() - start < 3
+    page = "<head><title>A <b\nc</title></head><!-- <a href=x> --><script>'<a href=y>'</script><a class=q href = z>t</a><a name=n>u</a> 1 < 2"
+    assert (warc.links(page), warc.title(page), warc.visible(page)) == (1, "A <b c", "t u 1 < 2")
+
+
 # --- toxicity
 
 def test_pairs_that_weights_alone_miss():
