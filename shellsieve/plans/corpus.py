@@ -11,7 +11,7 @@ from shellsieve.operators import dedup, filters, generate, lookups, metrics, ran
 from shellsieve.plans.catalogue import (csv, document_lines, event_commands, query, r6, score_vectors, table,
                                         truth_verdicts)
 from shellsieve.session import materialise, scratch_path
-from shellsieve.sources import scans, sinks
+from shellsieve.sources import scans, schemas, sinks
 from shellsieve.taxonomy import TAXONOMY
 
 
@@ -363,3 +363,102 @@ def corpus_build(spark, folder):
     rows = filters.valid_rows(scans.numbered_jsonl(spark, path, glob="*.txt"))
     kept = filters.to_split_rows(dedup.by_exact_text(rows, ["_source_file", "_source_line"]))
     return kept.select(F.col("model").cast("bigint").alias("doc_id"), F.get("true_labels", F.lit(0)).alias("label"))
+
+
+# --- file forms: written, read back, compared with the table they came from
+
+@query("""SELECT CASE WHEN doc_id % 7 = 0 THEN 'invalid JSON' WHEN doc_id % 11 = 0 THEN 'missing command' ELSE 'accepted' END AS state, count(*) AS n,
+ sum(length(text))::BIGINT AS chars FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 GROUP BY 1""")
+def strict_scan_rejects(spark, folder):
+    """The strict scan over lines of which some are cut off and some have no command: how many it would stop at."""
+    path, docs = scratch_path(spark, "strict"), table(spark, folder, "documents").filter(F.length(X.strip(F.col("text"))) > 0)
+    line = F.to_json(F.struct(F.when((F.col("doc_id") % 11 != 0) | (F.col("doc_id") % 7 == 0), F.col("text")).alias("command"),
+                              F.when((F.col("doc_id") % 11 == 0) & (F.col("doc_id") % 7 != 0), F.col("text")).alias("intent"),
+                              F.char_length("text").cast("string").alias("id")))
+    cut = F.when(F.col("doc_id") % 7 == 0, F.concat(F.char_length("text").cast("string"), F.lit("|"), F.expr("left(_line, length(_line) - 1)"))).otherwise(F.col("_line"))
+    docs.withColumn("_line", line).select(cut.alias("value")).write.text(path)
+    rows = scans.parsed_lines(scans.numbered_lines(spark, path, "*.txt"), schemas.REDTEAM)
+    size = F.coalesce(F.col("id"), F.regexp_extract("value", "^([0-9]+)", 1)).cast("bigint")
+    return rows.groupBy(F.coalesce("_reject", F.lit("accepted")).alias("state")).agg(F.count("*").alias("n"), F.sum(size).alias("chars"))
+
+
+@query("SELECT y, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT text, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS y FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY y")
+def risk_bench_scan(spark, folder):
+    """A risk benchmark in Parquet: labels become 0 and 1, a missing one 0."""
+    path = scratch_path(spark, "risk")
+    labels = table(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 1, "risky").otherwise("safe").alias("label"))
+    table(spark, folder, "documents").join(labels, "doc_id", "left").select(F.col("text").alias("command"), "label").write.parquet(path)
+    return scans.risk_bench(spark, path).groupBy("y").agg(F.count("*").alias("n"), F.sum(F.char_length("command")).cast("bigint").alias("chars"))
+
+
+@query("""WITH $LINES$ SELECT md5(text) AS line_md5, 'web' AS source, 'benign' AS label, count(*) AS n FROM lines
+WHERE length(text) <= 500 AND text NOT LIKE '#%' GROUP BY 1""")
+def line_corpus_scan(spark, folder):
+    """Plain lines: stripped, without blanks, comments and over-long ones."""
+    path = scratch_path(spark, "plain-lines")
+    docs = table(spark, folder, "documents")
+    docs.select(F.explode(X.split_lines(F.col("text"))).alias("value")).write.text(path)
+    rows = scans.line_corpus(spark, path, "web", "benign")
+    return rows.groupBy(F.md5(F.col("text").cast("binary")).alias("line_md5"), "source", "label").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN doc_id % 2 = 0 THEN 'early' ELSE 'late' END AS period, count(*) AS n, sum(n_chars)::BIGINT AS frequency,
+ sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM documents
+WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) BETWEEN 1 AND 500 GROUP BY 1""")
+def honeypot_scan(spark, folder):
+    """Honeypot commands of two periods, those of at most 500 characters."""
+    paths = {p: scratch_path(spark, f"honeypot-{p}") for p in ("early", "late")}
+    docs = table(spark, folder, "documents").select(F.col("text").alias("command"), F.col("n_chars").alias("frequency"), "doc_id")
+    for i, path in enumerate(paths.values()):
+        sinks.write_jsonl(docs.filter(F.col("doc_id") % 2 == i).drop("doc_id"), path)
+    return scans.honeypot(spark, paths).groupBy("period").agg(F.count("*").alias("n"), F.sum("frequency").alias("frequency"),
+                                                              F.sum(F.char_length("text")).cast("bigint").alias("chars"))
+
+
+@query("""SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n, sum(length(text))::BIGINT AS chars, 31::BIGINT AS labels
+FROM documents GROUP BY 1""")
+def split_folders(spark, folder):
+    """Splits as folders of JSON lines beside the label descriptions, read back."""
+    path, part = scratch_path(spark, "splits"), F.col("doc_id") % 10
+    rows = table(spark, folder, "documents").select("text", F.array().cast("array<string>").alias("true_labels"), F.lit(None).cast("array<double>").alias("soft_v2"),
+                                                    F.when(part == 0, "test").when(part == 1, "val").otherwise("train").alias("split"))
+    sinks.write_splits(rows, path)
+    labels = spark.read.schema("label STRING").json(f"{path}/labels_desc").count()
+    back = spark.read.schema(f"{schemas.SPLIT}, split STRING").json(f"{path}/rows")
+    return back.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).cast("bigint").alias("chars"), F.lit(labels).cast("bigint").alias("labels"))
+
+
+@query("SELECT lang, count(*) AS n, min(length(text))::BIGINT AS shortest, max(length(text))::BIGINT AS longest FROM documents GROUP BY lang")
+def summary_object(spark, folder):
+    """Per-language counts as one nested JSON object, read back into rows."""
+    path, size = scratch_path(spark, "summary"), F.char_length("text")
+    per = table(spark, folder, "documents").groupBy("lang").agg(F.struct(F.count("*").alias("n"), F.min(size).alias("shortest"), F.max(size).alias("longest")).alias("v"))
+    sinks.write_summary(per.agg(F.map_from_entries(F.collect_list(F.struct("lang", "v"))).alias("languages")), path)  # one entry per language
+    back = spark.read.schema("languages MAP<STRING, STRUCT<n: BIGINT, shortest: BIGINT, longest: BIGINT>>").json(path)
+    return back.select(F.explode("languages").alias("lang", "v")).select("lang", "v.*")
+
+
+@query("SELECT lang, doc_id, length(text)::BIGINT AS n_chars FROM documents WHERE lang IN ('en', 'fr')")
+def prediction_folders(spark, folder):
+    """Predictions laid out by source, of which two are read back."""
+    path = scratch_path(spark, "predictions")
+    sinks.write_predictions(table(spark, folder, "documents").select("doc_id", F.char_length("text").alias("n_chars"), "lang"), path, source="lang")
+    back = spark.read.schema("doc_id BIGINT, n_chars BIGINT, lang STRING").json(path)
+    return back.filter(F.col("lang").isin("en", "fr")).select("lang", "doc_id", "n_chars")
+
+
+@query("""WITH o AS (SELECT md5(text) AS key, max(doc_id) AS v FROM documents GROUP BY 1), n AS (SELECT md5(text) AS key, max(doc_id) AS v FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT o.key AS text_md5, CASE WHEN n.v IS NULL THEN o.v ELSE n.v + 1000000 END AS value FROM o LEFT JOIN n USING (key)""")
+def cache_rewrite(spark, folder):
+    """A label cache rewritten: a new label replaces an old one of the same text, the rest stays."""
+    path = scratch_path(spark, "cache")
+    docs = table(spark, folder, "documents").groupBy("text").agg(F.max("doc_id").alias("value"))
+    new = table(spark, folder, "documents").filter(F.col("doc_id") % 3 == 0).groupBy("text").agg((F.max("doc_id") + 1000000).alias("value"))
+    sinks.write_cache(docs, new, path)
+    return spark.read.schema("text STRING, value BIGINT").json(path).select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "value")
+
+
+@query("WITH " + """$TRUTH$ SELECT doc_id, verdict FROM truth WHERE verdict <> 'verdict.benign'""")
+def non_benign_rows(spark, folder):
+    """Labelled documents that are not benign."""
+    return filters.non_benign(truth_verdicts(spark, folder)).select("doc_id", "verdict")

@@ -86,17 +86,38 @@ def redteam_run(spark: SparkSession, raw: str, out: str, load: Callable[[], Call
         "model_dir": F.lit(model), "raw_dir": F.lit(raw),
         "thresholds_used": F.create_map(*[x for a in TAXONOMY.action_ids for x in (F.lit(a), F.lit(float(used.get(a, 0.5))))])})
     sinks.write_summary(summary, f"{out}/summary")
+    run_files(spark, raw, "raw").write.json(f"{out}/manifest")
     return spark.read.schema(summary.schema).json(f"{out}/summary")
 
 
+MANIFEST = "part STRING, file STRING, bytes BIGINT, sha256 STRING"
+
+
+def run_files(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """Name within the folder, size and digest of every file of one part of a run."""
+    name = F.regexp_replace("file", "^[a-z0-9]*:/*", "/")
+    root = path.partition(":")[2] if ":" in path.split("/")[0] else path
+    return scans.checksums(spark, path).select(F.lit(part).alias("part"), F.replace(name, F.lit(f"/{root.strip('/')}/"), F.lit("")).alias("file"), "bytes", "sha256")
+
+
+def compare_files(spark: SparkSession, raw: str, out: str) -> DataFrame:
+    """Every raw file with its state against the manifest that the run left: same, changed, missing or new."""
+    then = spark.read.schema(MANIFEST).json(f"{out}/manifest").select("file", F.col("sha256").alias("recorded"))
+    now = run_files(spark, raw, "raw").select("file", "bytes", "sha256")
+    state = (F.when(F.col("recorded").isNull(), "new").when(F.col("sha256").isNull(), "missing")
+             .when(F.col("recorded") == F.col("sha256"), "same").otherwise("changed"))
+    return now.join(then, "file", "full").withColumn("state", state)
+
+
 def verify_run(spark: SparkSession, raw: str, out: str, model: str, at_least: int = 1000) -> DataFrame:
-    """One row: row errors, key coverage, split counts and gates of a run."""
+    """One row: row errors, key coverage, split counts and gates of a run, and how many raw files are no longer those it read."""
     annotated = spark.read.parquet(f"{out}/annotated")
     errors = audit.row_errors(F.col("verdict"), "verdict_probs", F.col("verdict_bypass"), "action_probs", "map_values(raw_logits)", F.col("model_dir"), model)
     bad = annotated.agg(F.coalesce(F.sum(F.size(errors)), F.lit(0)).alias("row_errors"))
     report = audit.gates(annotated, scans.redteam_candidates(spark, raw), "_command_sha256", at_least=at_least)
-    both = report.withColumn("row_errors", bad.scalar())
-    ok = (F.col("row_errors") == 0) & F.col("all_detected") & F.col("split_sum_ok")
+    files = compare_files(spark, raw, out).agg(F.count("*").alias("n"), F.count_if(F.col("state") != "same").alias("altered")).first()
+    both = report.withColumns({"row_errors": bad.scalar(), "n_files": F.lit(files["n"]), "altered_files": F.lit(files["altered"])})
+    ok = (F.col("row_errors") == 0) & (F.col("altered_files") == 0) & F.col("all_detected") & F.col("split_sum_ok")
     return both.withColumn("status", F.when(ok, "verified").otherwise("failed"))
 
 

@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,9 +172,49 @@ def inventory(spark: SparkSession, path: str, glob: str | None = None, fmt: str
             .agg(F.count("*").alias("rows")))
 
 
+#: Stores whose files a task can read as a stream; the files of others come whole from Spark's reader.
+STREAMED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
+CHUNK_BYTES = 8 << 20
+
+
+def open_stream(uri: str):
+    """A binary stream of a file in one of the ``STREAMED`` stores."""
+    from urllib.parse import unquote, urlparse
+    parts = urlparse(uri)
+    if parts.scheme in ("", "file"):
+        return open(unquote(parts.path), "rb")
+    from pyarrow import fs
+    store, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return store.open_input_stream(path)
+
+
+def stream_sha256(uri: str, chunk: int = CHUNK_BYTES) -> str:
+    """sha256 of a file of any length, ``chunk`` bytes at a time."""
+    digest = hashlib.sha256()
+    with open_stream(uri) as stream:
+        while block := stream.read(chunk):
+            digest.update(block)
+    return digest.hexdigest()
+
+
 def checksums(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """sha256 and size per file (files up to 2 GB)."""
+    """sha256 and size per file.
+
+    Spark lists the files with their sizes and deals them out by size; each is read
+    in chunks inside its task, so its length does not matter. Empty files are not listed. Only in a store that
+    nothing but Spark's reader reaches are files read whole (2 GB at most, else the job fails).
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files = reader.load(path)
+    listed = files.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    first = listed.first()
+    if first is not None and first["file"].partition(":")[0] not in STREAMED:
+        return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    @F.pandas_udf("string")
+    def hashed(uris: pd.Series) -> pd.Series:
+        return uris.map(stream_sha256)
+
+    return listed.withColumn("sha256", hashed("file"))

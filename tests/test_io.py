@@ -167,3 +167,17 @@ def test_categories(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(filters.rule_category(F.col("t"))).collect()] == ["definite_payload", "definite_payload", "shell_escape", "dual_use", "dual_use"]
     assert X.python_regex("a") == "(?idU)a"
+
+
+def test_checksum_of_a_file_beyond_two_gigabytes(spark, tmp_path):
+    import hashlib
+    size = 3 * 1024 ** 3 + 5
+    with open(tmp_path / "large name.bin", "wb") as f:
+        f.truncate(size)  # sparse: takes no room
+    (tmp_path / "empty").touch()
+    digest, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        digest.update(block)
+    digest.update(bytes(size & (1 << 20) - 1))
+    got = {r.file.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in scans.checksums(spark, str(tmp_path)).collect()}
+    assert list(got.values()) == [(size, digest.hexdigest())]  # Spark lists no empty files

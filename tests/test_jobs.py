@@ -65,7 +65,13 @@ def test_redteam_run_and_verification(spark, tmp_path):
     assert counts[("category", "unknown")] == 2 and counts[("strategy", "long")] == 1 and counts[("action", "action.download")] == 1
     v = jobs.verify_run(spark, str(raw), out, "m1", at_least=3).first()
     assert (v.status, v.row_errors, v.unique_candidates, v.missing, v.candidates_gate, v.bypass_gate) == ("verified", 0, 4, 0, True, False)
+    assert (v.n_files, v.altered_files) == (1, 0)
     assert jobs.verify_run(spark, str(raw), out, "m2").first().row_errors == 4
+    (raw / "x.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")  # the same rows in other bytes
+    changed = jobs.verify_run(spark, str(raw), out, "m1", at_least=3).first()
+    assert (changed.status, changed.altered_files) == ("failed", 1)
+    assert {(r.file, r.state) for r in jobs.compare_files(spark, str(raw), out).collect()} == {("x.jsonl", "changed")}
+    (raw / "x.jsonl").write_text("\n".join(map(json.dumps, lines)))
     (raw / "y.jsonl").write_text('{"command": "new one"}\n')
     assert jobs.verify_run(spark, str(raw), out, "m1").first().status == "failed"
     jobs.redteam_run(spark, str(raw), str(tmp_path / "runs" / "r2" / "results"), load, "m1")
