@@ -133,21 +133,20 @@ class Cutter:
     """
 
     def __init__(self, pattern: str) -> None:
-        import re
         import unicodedata
 
         import regex
         import tiktoken
         known = tiktoken.Encoding("signs", pat_str=r"[\p{L}\p{N}]", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
         every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        odd = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn" and not known.encode_ordinary(c)]
-        self.odd = re.compile(f"[{''.join(odd)}]" if odd else "(?!)")
+        self.odd = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn" and not known.encode_ordinary(c))
+        self.instead = dict.fromkeys(map(ord, self.odd), "\ufffe")
         self.pattern = regex.compile(pattern)
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii() or not self.odd.search(text):
+        if text.isascii() or self.odd.isdisjoint(text):
             return self.pattern.findall(text)
-        return [text[m.start():m.end()] for m in self.pattern.finditer(self.odd.sub("\ufffe", text))]
+        return [text[m.start():m.end()] for m in self.pattern.finditer(text.translate(self.instead))]
 
 
 @lru_cache(maxsize=4)
