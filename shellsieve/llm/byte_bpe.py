@@ -26,7 +26,7 @@ from shellsieve.llm.common import byte_slices
 #: Parts of a literal map. Spark reads the entries of a map one after another, so each part holds a few of them.
 PARTS = 65_536
 #: UTF-8 bytes of text in one batch row; a longer document is a batch of its own.
-BATCH_BYTES = 32_000_000
+BATCH_BYTES = 16_000_000
 #: Signs of no id: in front of a piece, before the first and after the last piece of a word, in place of a missing rank.
 EDGE, BORDER, NO_RANK = chr(1), chr(0x10FFFE), chr(0x10FFFF)
 
