@@ -226,7 +226,7 @@ def test_plain_text_of_references_and_unseen_elements(spark):
              "<header>Top</header>a<!-- <script> -->b<template>t</template>": "Top a b",
              "a<script>never closed": "a", "a &bogus; &; & b": "a &bogus; &; & b", "": ""}
     docs = spark.createDataFrame(list(cases.items()), "html string, want string")
-    for r in docs.select("html", "want", W.plain_text(docs["html"]).alias("got")).collect():
+    for r in docs.select("html", "want", W.read_page(docs["html"])["text"].alias("got")).collect():
         assert r["got"] == r["want"], r["html"]
     long = spark.createDataFrame([("<head>" + "x<b>" * 100_000 + "</head>Hi",)], "html string")
-    assert long.select(W.plain_text(long["html"]).alias("t")).first()["t"] == "Hi"
+    assert long.select(W.read_page(long["html"])["text"].alias("t")).first()["t"] == "Hi"
