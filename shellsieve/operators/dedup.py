@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.functions import text as X
+from shellsieve.operators import bloom
+from shellsieve.session import BROADCAST_ROWS, materialise
 
 
 def first_wins(df: DataFrame, key: Column | str, order: list[Column | str], keep: list[str] | None = None) -> DataFrame:
@@ -31,13 +33,13 @@ def first_wins(df: DataFrame, key: Column | str, order: list[Column | str], keep
 
 
 def by_exact_text(df: DataFrame, order: list[Column | str], text: str = "text") -> DataFrame:
-    return first_wins(df, text, order)
+    return by_text_hash(df, order, text)
 
 
 def by_stripped_text(df: DataFrame, order: list[Column | str], text: str = "text") -> DataFrame:
     """Rows that are blank after stripping are dropped; the text is kept stripped."""
     cleaned = df.withColumn(text, X.strip(F.col(text))).filter(F.length(text) > 0)
-    return first_wins(cleaned, text, order)
+    return by_text_hash(cleaned, order, text)
 
 
 def by_squeezed_text(df: DataFrame, order: list[Column | str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -63,29 +65,55 @@ def key_set(*frames: DataFrame, key: str = "key") -> DataFrame:
     return union.distinct()
 
 
+def text_digest(key: Column) -> Column:
+    """Sixteen bytes that stand for a key of any length in shuffles; null for null."""
+    return F.substring(F.unhex(X.sha256(key.cast("string"))), 1, 16)
+
+
+def sifted(candidates: DataFrame, frozen: DataFrame, key: Column, frozen_key: Column | None = None,
+           exact_rows: int = BROADCAST_ROWS, blocks: int | None = None) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(candidates surely not in ``frozen`` or None, the others, digests of ``frozen``).
+
+    Both sides meet by digest (``_probe``, ``_leak``). Up to ``exact_rows`` frozen digests are broadcast as they
+    are. Above that a Bloom filter sized from their count (or of ``blocks``) tells most clean candidates
+    without a shuffle, and only those it cannot clear go to the exact join. ``candidates`` is read
+    once for each of the two parts, so it must give the same rows again. A null key is never in ``frozen``.
+    """
+    leak = text_digest(frozen_key if frozen_key is not None else key)
+    keys = materialise(frozen.select(leak.alias("_leak")).filter("_leak IS NOT NULL").distinct(), "frozen")
+    marked = candidates.withColumn("_probe", text_digest(key))
+    n = keys.count()
+    if n <= exact_rows:
+        return None, marked, F.broadcast(keys)
+    blocks = blocks or bloom.blocks_for(n)
+    if blocks is None:
+        return None, marked, keys
+    table = materialise(bloom.bloom_table(keys, "_leak", blocks), "bloom")
+    tested = bloom.probed(marked, table, "_probe", blocks, "_maybe")
+    return tested.filter("NOT _maybe").drop("_maybe"), tested.filter("_maybe").drop("_maybe"), keys
+
+
 def without_leakage(candidates: DataFrame, frozen: DataFrame, key: Column, frozen_key: Column | None = None,
-                    within_batch: list[Column | str] | None = None) -> DataFrame:
-    """Candidates whose key does not occur in ``frozen``.
+                    within_batch: list[Column | str] | None = None, **sizes: int) -> DataFrame:
+    """Candidates whose key does not occur in ``frozen`` (see ``sifted`` for ``sizes``).
 
-    The frozen side is reduced to distinct keys first. ``within_batch`` gives an
-    order and then also keeps only the first candidate of every key.
+    ``within_batch`` gives an order and then also keeps only the first candidate of every key.
     """
-    keys = frozen.select((frozen_key if frozen_key is not None else key).alias("_leak")).distinct()
-    kept = (candidates.withColumn("_probe", key)
-            .join(keys, F.col("_probe") == F.col("_leak"), "left_anti"))
+    clean, others, keys = sifted(candidates, frozen, key, frozen_key, **sizes)
+    kept = others.join(keys, F.col("_probe") == F.col("_leak"), "left_anti")
+    if clean is not None:
+        kept = clean.unionByName(kept)
     if within_batch is not None:
         kept = first_wins(kept, "_probe", within_batch)
     return kept.drop("_probe")
 
 
-def leakage_flags(candidates: DataFrame, frozen: DataFrame, key: Column, frozen_key: Column | None = None) -> DataFrame:
+def leakage_flags(candidates: DataFrame, frozen: DataFrame, key: Column, frozen_key: Column | None = None, **sizes: int) -> DataFrame:
     """Same test, but marks the rows (``leaked``) so that drops can be counted."""
-    keys = (frozen.select((frozen_key if frozen_key is not None else key).alias("_leak")).distinct()
-            .withColumn("_hit", F.lit(True)))
-    return (candidates.withColumn("_probe", key)
-            .join(keys, F.col("_probe") == F.col("_leak"), "left")
-            .withColumn("leaked", F.col("_hit").isNotNull())
-            .drop("_probe", "_leak", "_hit"))
+    clean, others, keys = sifted(candidates, frozen, key, frozen_key, **sizes)
+    flagged = (others.join(keys, F.col("_probe") == F.col("_leak"), "left")
+               .withColumn("leaked", F.col("_leak").isNotNull()).drop("_probe", "_leak"))
+    return flagged if clean is None else clean.drop("_probe").withColumn("leaked", F.lit(False)).unionByName(flagged)
 
 
 def union_splits(**parts: DataFrame) -> DataFrame:

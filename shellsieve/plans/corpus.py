@@ -69,6 +69,17 @@ def leakage_anti_join(spark, folder):
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
+@query("""SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE length(text) > 0 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g')
+  NOT IN (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM conversations WHERE text IS NOT NULL
+          UNION SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM documents WHERE lang = 'de' AND text IS NOT NULL)""")
+def leakage_bloom_anti_join(spark, folder):
+    """Documents whose text is neither a conversation turn nor that of a German document; clean ones pass by the Bloom filter, without a shuffle."""
+    docs = table(spark, folder, "documents")
+    frozen = dedup.key_set(table(spark, folder, "conversations").select("text"), docs.filter("lang = 'de'").select("text"))
+    kept = dedup.without_leakage(docs.filter(F.length("text") > 0).select("doc_id", "text"), frozen, X.strip(F.col("text")), X.strip(F.col("key")), exact_rows=0)
+    return kept.select("doc_id", X.sha256(F.col("text")).alias("text_sha256"))
+
+
 @query("""WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations),
 f AS (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents UNION SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM benchmark),
 k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.t = c.t))
@@ -462,3 +473,14 @@ def cache_rewrite(spark, folder):
 def non_benign_rows(spark, folder):
     """Labelled documents that are not benign."""
     return filters.non_benign(truth_verdicts(spark, folder)).select("doc_id", "verdict")
+
+
+@query("SELECT sha256(text) AS text_sha256, lang, source, count(*) AS n FROM documents GROUP BY ALL")
+def json_array_scan(spark, folder):
+    """Documents written as JSON array files and read back in pieces by many tasks."""
+    path = scratch_path(spark, "arrays")
+    docs = table(spark, folder, "documents")
+    sinks.write_json_arrays(docs.select("text", F.array("lang").alias("true_labels"), "source"), path)
+    rows = scans.json_array(spark, path)
+    return (rows.groupBy(X.sha256(F.col("text")).alias("text_sha256"), F.get("true_labels", F.lit(0)).alias("lang"), "source")
+            .agg(F.count("*").alias("n")))

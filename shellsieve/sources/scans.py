@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from shellsieve.functions import text as X
 from shellsieve.session import is_small, materialise
-from shellsieve.sources import schemas
+from shellsieve.sources import arrays, schemas
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -107,9 +107,8 @@ def redteam_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: str | T.StructType = schemas.SPLIT) -> DataFrame:
-    """A split stored as one JSON array. Such a file cannot be split over tasks;
-    new data is written as JSON lines or Parquet."""
-    return spark.read.schema(_fields(schema)).option("multiLine", "true").json(path)
+    """A split stored as one JSON array of objects, read by many tasks (``arrays``); anything else fails the job."""
+    return arrays.json_array(spark, path, _fields(schema))
 
 
 def risk_bench(spark: SparkSession, path: str, positive: str = "risky") -> DataFrame:

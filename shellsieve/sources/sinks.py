@@ -3,6 +3,9 @@ being read is ever overwritten."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,17 @@ def write_cache(old: DataFrame, new: DataFrame, path: str, key: str = "text") ->
     from shellsieve.operators.lookups import last_per_key
     both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)))
     last_per_key(both, key, ["_gen"]).drop("_gen").write.json(path)
+
+
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """One JSON array file of objects per task; a task without rows writes an empty array. Null fields are left out."""
+    def bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        empty = True
+        for batch in batches:
+            if len(batch):
+                signs = ["," if i or not empty else "[" for i in range(len(batch))]
+                yield pd.DataFrame({"value": signs + batch["value"]})
+                empty = False
+        yield pd.DataFrame({"value": ["[]" if empty else "]"]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(bracketed, "value string").write.text(path)
