@@ -12,7 +12,7 @@ from shellsieve.operators import dedup, fit, lookups, metrics, scoring, segments
 from shellsieve.plans import jobs
 from shellsieve.plans.catalogue import SNIPPETS, csv, event_commands, query, r6, score_vectors, table, truth_verdicts
 from shellsieve.session import materialise, scratch_path
-from shellsieve.sources import extract, scans, schemas
+from shellsieve.sources import extract, scans, schemas, yaml_pages
 from shellsieve.streaming import score as stream
 from shellsieve.streaming import stateful
 from shellsieve.taxonomy import BENIGN, TAXONOMY
@@ -407,6 +407,26 @@ def flatten_nested_json(spark, folder):
     return out.select("event_id", "kind", F.col("item").cast("bigint").alias("item"), "text")
 
 
+@query("""WITH $EVENTS$ SELECT event_id, '_reject' AS kind, 0::BIGINT AS item, 'tab as indent' AS text FROM cmds WHERE k % 10 = 9
+UNION ALL SELECT event_id, event_type, 0, event_type || ' ' || k FROM cmds WHERE k % 2 = 0
+UNION ALL SELECT event_id, event_type, 0, event_type || '''' FROM cmds WHERE k % 2 = 1 AND k % 10 <> 9
+UNION ALL SELECT event_id, event_type, 1, 'k: ' || k FROM cmds WHERE k % 2 = 1 AND k % 10 <> 9""")
+def yaml_pages_flatten(spark, folder):
+    """The same documents written as one YAML stream, read back and flattened; pages that cannot be read are rows of their own."""
+    path = scratch_path(spark, "yaml")
+    c = event_commands(spark, folder)
+    head = F.concat(F.lit("id: "), F.col("event_id").cast("string"), F.lit("\n"), F.when(F.col("k") % 10 == 9, F.lit("\t")).otherwise(F.lit("")),
+                    F.lit("functions: # by kind\n  "), F.col("event_type"), F.lit(":\n    - "))
+    single = F.concat(F.lit("code: |\n        "), F.col("event_type"), F.lit(" "), F.col("k").cast("string"))
+    listed = F.concat(F.lit("code:\n      - ' "), F.col("event_type"), F.lit("'' '\n      - \"k: "), F.col("k").cast("string"), F.lit("\""))
+    c.select(F.concat(head, F.when(F.col("k") % 2 == 0, single).otherwise(listed)).alias("value")).write.option("lineSep", "\n---\n").text(path)
+    pages = yaml_pages.yaml_documents(spark, path).withColumn("_y", yaml_pages.yaml_json(F.col("text")))
+    pages = pages.select(F.regexp_extract("text", r"^id: (\d+)", 1).cast("bigint").alias("event_id"), "_y.*")
+    good = extract.nested_commands(pages.filter("reject IS NULL").withColumn("functions", F.get_json_object("value", "$.functions")), ["event_id"], "functions")
+    rejects = pages.filter("reject IS NOT NULL").select("event_id", F.lit("_reject").alias("kind"), F.lit(0).cast("bigint").alias("item"), F.col("reject").alias("text"))
+    return good.select("event_id", "kind", F.col("item").cast("bigint").alias("item"), "text").unionByName(rejects)
+
+
 @query("""WITH $EVENTS$ SELECT event_id, CASE WHEN k % 3 = 0 THEN k / 100.0::DOUBLE ELSE 0 END AS p_malicious, CASE WHEN k % 2 = 0 THEN value ELSE 0 END AS noul_keylog,
  31::BIGINT AS n FROM cmds""")
 def teacher_decode(spark, folder):
