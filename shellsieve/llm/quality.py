@@ -204,8 +204,8 @@ def word_likelihood(docs: DataFrame, probabilities: DataFrame, *, text: str, ord
 
     Grams meet by their 64-bit hash; equal texts are looked up once.
     """
-    names = Worded(order).names
-    marked = docs.withColumn(f"{out}_key", F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))))
+    names, own = Worded(order).names, free_name(docs, f"{out}_key")
+    marked = docs.withColumn(own, F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))))
 
     def own_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
@@ -218,15 +218,15 @@ def word_likelihood(docs: DataFrame, probabilities: DataFrame, *, text: str, ord
                 keys[:] = [key for key, _ in part]
                 yield pd.DataFrame(rows[first], columns=names).assign(key=keys[of[first]], k=np.bincount(group, minlength=len(first)))
 
-    asked = (marked.select(F.col(f"{out}_key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    asked = (marked.select(F.col(own).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
              .mapInPandas(own_grams, ", ".join(f"{w} bigint" for w in names) + ", key binary, k bigint")
              .select("key", F.xxhash64(*names).alias("gram"), F.col("k").cast("int").alias("k")))
     sums = (asked.join(probabilities.select(F.xxhash64(*names).alias("gram"), F.log("p").alias("logp")), "gram").groupBy("key")
             .agg(F.struct(F.sum(F.col("k") * F.col("logp")).alias("logp"), F.sum("k").alias("n")).alias(out)))
     sums = materialise(sums, "likelihood")
     none = F.struct(F.lit(0.0).alias("logp"), F.lit(0).cast("bigint").alias("n"))
-    return (marked.join(sums.withColumnRenamed("key", f"{out}_key"), f"{out}_key", "left")
-            .withColumn(out, F.coalesce(out, none)).drop(f"{out}_key"))
+    return (marked.join(sums.withColumnRenamed("key", own), own, "left")
+            .withColumn(out, F.coalesce(out, none)).drop(own))
 
 
 class Lookup:
