@@ -9,18 +9,18 @@ from shellsieve.functions import text as X
 from shellsieve.operators.filters import bare
 
 
-def last_per_key(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
-    """One row per key: the last one in ``order`` wins (a reloaded cache)."""
-    carried = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("_row"))
-            .select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in df.columns]))
-
-
 def digest(key: str) -> Column:
     """Sixteen bytes of sha256 that stand for a text of any length in shuffles; null for null."""
     return F.substring(F.unhex(X.sha256(F.col(key).cast("string"))), 1, 16)
 
 
+def last_per_key(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
+    """One row per key: the last one in ``order`` wins (a reloaded cache). Texts are grouped by their digest; null is a key."""
+    by = digest(key) if df.schema[key].dataType.typeName() == "string" else F.col(key)
+    return (df.groupBy(by.alias("_by")).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+            .select(*[F.col(f"_row.{c}") for c in df.columns]))
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, order: list[Column | str], found: str = "found") -> DataFrame:
     """Left join on a many-to-one table by the digest of ``key``, its last duplicate
     winning; ``found`` marks the rows that had a match."""
