@@ -22,14 +22,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shellsieve.llm.common import CACHE_ENTRIES, byte_slices, text_of
+from shellsieve.llm.common import byte_slices, row_slices
 from shellsieve.llm.packing import byte_of_symbol, tokens_of
 from shellsieve.session import materialise
 
-#: UTF-8 bytes of text aligned at once; a longer text is aligned by itself.
-SLICE_BYTES = 2_000_000
+#: UTF-8 bytes of text aligned at once; a longer text is aligned by itself. A slice takes about 70 bytes of memory a byte.
+SLICE_BYTES = 500_000
+#: Words that each side remembers before it forgets them all (about 300 bytes each), so a worker stays small on text of ever new words.
+KNOWN_WORDS = 250_000
 #: Bits of a key that hold the byte at which a token ends.
 END_BITS = 40
+#: Pairs looked up at once, unless one text has more.
+SLICE_PAIRS = 500_000
 #: Pairs whose counts a task holds before it sends them on.
 HELD_PAIRS = 1_000_000
 #: Most frequent pairs that are looked up in place, 16 bytes each, at most.
@@ -62,7 +66,7 @@ class Pieces:
         if not self.apart or "▁" in text:
             return self.whole(text)
         known = self.known
-        if len(known) > CACHE_ENTRIES:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         out = []
         for run in self.run.findall(f" {text}"):
@@ -84,7 +88,7 @@ class Sides:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         symbols = byte_of_symbol()
-        self.a, self.b = tokens_of(path_a, False), Pieces(path_b)
+        self.a, self.b = tokens_of(path_a, False, KNOWN_WORDS), Pieces(path_b)
         names = {i: t for t, i in self.a.model.get_vocab(True).items()}
         in_a = [bytes(symbols.get(c, 0) for c in names.get(i, "")) for i in range(max(names) + 1)]
         self.bytes = [pa.array(x, pa.binary()) for x in (in_a, self.b.token_bytes())]
@@ -232,7 +236,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, key: str = "doc_id", tex
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, most = shared.value
-        for batch in batches:
+        for batch in (whole.slice(start, stop - start) for whole in batches
+                      for start, stop in row_slices(whole.column("pairs").value_lengths(), SLICE_PAIRS)):
             linked = batch.column("pairs")
             pair, times = linked.flatten().to_numpy(), batch.column("times").flatten().to_numpy()
             row = np.repeat(np.arange(len(batch)), linked.value_lengths().to_numpy())

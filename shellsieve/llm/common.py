@@ -67,7 +67,12 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 def byte_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have at most ``limit`` UTF-8 bytes together; a longer text is a range of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    return row_slices(pc.binary_length(texts), limit)
+
+
+def row_slices(sizes: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose ``sizes`` (null: 0) add up to at most ``limit``; a larger row is a range of its own."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0

@@ -49,10 +49,10 @@ class Tokens:
 
     With ``added`` the added tokens of the file (such as the end of a text) are single
     ids where their strings stand in a text, as ``tokenizers`` does by itself; without,
-    their strings are plain text.
+    their strings are plain text. More than ``entries`` remembered words are forgotten.
     """
 
-    def __init__(self, path: str, added: bool = True) -> None:
+    def __init__(self, path: str, added: bool = True, entries: int = CACHE_ENTRIES) -> None:
         import os
         import re
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -67,7 +67,7 @@ class Tokens:
         self.added = re.compile("|".join(re.escape(t.content) for t in extra.values()) or "(?!)") if added else None
         self.one = tiktoken.Encoding("words", pat_str=r"[\s\S]+", special_tokens={},
                                      mergeable_ranks={t: i for t, i in ranks.items() if i not in special})._core_bpe.encode_single_piece
-        self.plain, self.word, self.known = re.compile(_PLAIN), re.compile(_WORD), {}
+        self.plain, self.word, self.known, self.entries = re.compile(_PLAIN), re.compile(_WORD), {}, entries
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -77,7 +77,7 @@ class Tokens:
         if not self.plain.fullmatch(text) or self.added and self.added.search(text):
             return self.whole(text)
         known = self.known
-        if len(known) > CACHE_ENTRIES:
+        if len(known) > self.entries:
             known.clear()
         found = self.word.findall(text)
         try:
@@ -92,9 +92,9 @@ class Tokens:
 
 
 @lru_cache(maxsize=4)
-def tokens_of(path: str, added: bool = True) -> Tokens:
+def tokens_of(path: str, added: bool = True, entries: int = CACHE_ENTRIES) -> Tokens:
     """One per worker process and file, so the tasks of a worker share what it remembers."""
-    return Tokens(path, added)
+    return Tokens(path, added, entries)
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shellsieve.llm import alignment, byte_bpe, packing, term_scan
-from shellsieve.llm.common import table
+from shellsieve.llm.common import row_slices, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -149,6 +150,17 @@ def test_alignment_of_odd_and_long_texts(spark):
     assert alignment.align(docs.limit(0), BYTES, PIECES).count() == 0
 
 
+def test_alignment_forgets_words_and_takes_rows_in_slices():
+    sides = alignment.Sides(str(BYTES), str(PIECES))
+    texts = [" ".join(f"q{i}" for i in range(start, start + 10_000)) for start in range(0, 400_000, 10_000)]
+    first = sides.lists(texts[:1])
+    for t in texts[1:]:
+        sides.lists([t])
+    assert max(len(sides.a.known), len(sides.b.known)) < 300_000
+    assert sides.lists(texts[:1]) == first
+    assert list(row_slices(pa.array([3, 3, None, 9, 1, 1]), 6)) == [(0, 3), (3, 4), (4, 6)]
+
+
 # --- ranked search
 
 TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
