@@ -1,34 +1,36 @@
 """Byte-level BPE encoding and decoding by ranked merges over distinct words.
 
 Texts are cut into the words of a pattern, a batch of documents at a time, and each
-batch becomes one row: its documents as lists of word numbers beside its distinct
-words. Spark folds the merges over each distinct word once: a word starts as its
-bytes, every step joins the leftmost pair of the lowest rank, and the fold ends when no
-pair has a rank. Ranks are one literal in the plan. Nothing is shuffled, so one
-document, word or source with a third of all rows costs no more than its share.
+batch becomes one row: its documents as lists of word numbers beside the ids of its
+distinct words. A word starts as its bytes; all distinct words of a batch are merged
+side by side in arrays, every step joining the leftmost pair of the lowest rank of each.
+What is derived from the ids is worked out by Spark once per distinct word and joined
+per document. Nothing is shuffled, so one document, word or source with a third of all
+rows costs no more than its share.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from shellsieve.llm.common import byte_slices
 
-#: Parts of a literal map. Spark reads the entries of a map one after another, so each part holds a few of them.
-PARTS = 65_536
 #: UTF-8 bytes of text in one batch row; a longer document is a batch of its own.
-BATCH_BYTES = 16_000_000
-#: Signs of no id: in front of a piece, before the first and after the last piece of a word, in place of a missing rank.
-EDGE, BORDER, NO_RANK = chr(1), chr(0x10FFFE), chr(0x10FFFF)
+BATCH_BYTES = 8_000_000
+#: Words merged side by side, and the bytes up to which a word is.
+ROWS, LONG = 8_192, 64
+#: In place of a rank where a pair has none.
+NO_RANK = 2**40
 
 
 @lru_cache(maxsize=4)
@@ -38,90 +40,114 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def sign(rank: int) -> str:
-    """The one character that stands for an id in a folded word; the first two and surrogates are passed over."""
-    return chr(rank + 2 if rank + 2 < 0xD800 else rank + 0x802)
-
-
-def part_of(key: str) -> int:
-    return zlib.crc32(key.encode("utf-8")) % PARTS
-
-
-def part(key: Column) -> Column:
-    return (F.crc32(key.cast("binary")) % F.lit(PARTS)).cast("int")
-
-
-def word_signs(ranks: dict[bytes, int]) -> Column:
-    """The sign of every byte string that has a rank, by its bytes as Latin-1 text: a literal array of ``PARTS`` maps."""
-    parts: list[dict[str, str]] = [{} for _ in range(PARTS)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        parts[part_of(key)][key] = sign(rank)
-    return F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
-
-
-def pair_signs(ranks: dict[bytes, int]) -> Column:
-    """The rank map of the merges: by two pieces, each a sign behind an edge, the sign (so the rank) of the piece they make.
-
-    A literal array of ``PARTS`` strings. A part is a run of keys of four signs with
-    their value, behind four signs that ``rank_of`` comes upon when a key is missing.
-    """
-    parts = [EDGE * 3 + NO_RANK] * PARTS
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                key = EDGE + sign(left) + EDGE + sign(right)
-                parts[part_of(key)] += key + sign(rank)
-    return F.from_json(F.lit(json.dumps(parts)), "array<string>")
-
-
 def bind(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once: the end of a fold over nothing, which copies no arrays."""
     return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
-def rank_of(pairs: Column, key: Column) -> Column:
-    return bind(F.get(pairs, part(key)), lambda entries: F.substring(entries, F.instr(entries, key) + 4, F.lit(1)))
-
-
-def merged(state: Column, pairs: Column) -> Column:
-    """``state`` (pieces p, ranks r of neighbours) after joining the leftmost pair of the lowest rank; without ranks once none is left."""
-    p, r = state["p"], state["r"]
-
-    def join(low: Column, at: Column) -> Column:
-        def with_ranks(q: Column) -> Column:
-            around = F.concat(rank_of(pairs, F.substring(q, 2 * at - 3, F.lit(4))), rank_of(pairs, F.substring(q, 2 * at - 1, F.lit(4))))
-            return F.struct(q.alias("p"), F.overlay(r, around, at - 1, 3).alias("r"))
-        return bind(F.overlay(p, low, 2 * at, 3), with_ranks)
-
-    def step(low: Column) -> Column:
-        return F.when(low == NO_RANK, F.struct(p.alias("p"), F.lit("").alias("r"))).otherwise(bind(F.instr(r, low), lambda at: join(low, at)))
+class Merges:
+    """Ranked merges of many words at once: every step joins, in each word, the leftmost pair of the lowest rank.
 
-    return F.when(r == "", state).otherwise(bind(F.array_min(F.split(r, "")), step))
-
-
-def folded(word: Column, tokens: Column, pairs: Column, alphabet: str) -> Column:
-    """One sign per token of a word (string): its own where the whole word has a rank, else what the merges leave. No signs for no word."""
-    def fold(symbol: Column) -> Column:
-        n = F.length(symbol)
-        pieces = F.regexp_replace(F.concat(F.lit(BORDER), F.translate(symbol, "".join(map(chr, range(256))), alphabet), F.lit(BORDER)),
-                                  "(?s)(.)", f"{EDGE}$1")
-        start = bind(pieces, lambda p: F.struct(p.alias("p"), F.array_join(
-            F.transform(F.sequence(F.lit(1), n + 1), lambda i: rank_of(pairs, F.substring(p, 2 * i - 1, F.lit(4)))), "").alias("r")))
-        merges = F.aggregate(F.sequence(F.lit(1), n), start, lambda state, _: merged(state, pairs),
-                             lambda state: F.translate(state["p"], EDGE + BORDER, ""))
-        return F.when(n < 1, "").otherwise(F.coalesce(F.get(tokens, part(symbol))[symbol], merges))
+    Words are rows of a table of ids, filled up with -1. Longer ones than ``LONG`` are
+    merged by themselves with a heap of their pairs, in n log n steps.
+    """
 
-    return bind(F.decode(word.cast("binary"), "ISO-8859-1"), fold)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.pairs = ranks, {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.keys = np.array(sorted(self.pairs) or [-2], np.int64)
+        self.values = np.array([self.pairs.get(k, NO_RANK) for k in self.keys.tolist()], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], NO_RANK)
+
+    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has."""
+        size = np.array([len(w) for w in words])
+        width = max(2, size.max())
+        ids = np.full((len(words), width), -1, np.int64)
+        ids[np.arange(width) < size[:, None]] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        ranks, rows, place = self.rank(ids[:, :-1], ids[:, 1:]), np.arange(len(words)), np.arange(width)
+        while len(rows):
+            held = ranks[rows]
+            at = held.argmin(1)
+            low = held[np.arange(len(rows)), at]
+            more = low < NO_RANK
+            rows, at, low, held = rows[more], at[more], low[more], held[more]
+            if not len(rows):
+                break
+            # what stands behind the pair moves up by one
+            source = np.minimum(place + (place > at[:, None]), width - 1)
+            moved = np.take_along_axis(ids[rows], source, 1)
+            moved[:, -1] = -1
+            moved[np.arange(len(rows)), at] = low
+            held = np.take_along_axis(held, np.minimum(source[:, :-1], width - 2), 1)
+            held[:, -1] = NO_RANK
+            held[np.arange(len(rows)), at] = self.rank(low, moved[np.arange(len(rows)), at + 1])
+            behind = np.flatnonzero(at > 0)
+            held[behind, at[behind] - 1] = self.rank(moved[behind, at[behind] - 1], low[behind])
+            ids[rows], ranks[rows] = moved, held
+        return ids[ids >= 0], np.count_nonzero(ids >= 0, axis=1)
+
+    def alone(self, word: bytes) -> list[int]:
+        ids = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def add(i: int, j: int) -> None:
+            rank = self.pairs.get(ids[i] << 32 | ids[j])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
+
+        for i in range(n - 1):
+            add(i, i + 1)
+        while heap:
+            low, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j == n or ids[j] != right:
+                continue  # one of the two was merged before
+            ids[i], ids[j], after[i] = low, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                add(i, after[i])
+            if before[i] >= 0:
+                add(before[i], i)
+        return [x for x in ids if x >= 0]
+
+    def __call__(self, words: list[bytes]) -> pa.ListArray:
+        """The ids of each word: its own where the whole word has a rank, else what the merges leave."""
+        whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        size = np.array([len(w) for w in words], np.int64)
+        known, rest = np.flatnonzero(whole >= 0), np.flatnonzero(whole < 0)
+        rest = rest[np.argsort(size[rest], kind="stable")]
+        short = int(np.searchsorted(size[rest], LONG, side="right"))
+        flat, counts = [whole[known]], [np.ones(len(known), np.int64)]
+        for start in range(0, short, ROWS):
+            ids, n = self.together([words[i] for i in rest[start:min(short, start + ROWS)]])
+            flat.append(ids)
+            counts.append(n)
+        for i in rest[short:]:
+            ids = np.array(self.alone(words[i]), np.int64)
+            flat.append(ids)
+            counts.append(np.array([len(ids)]))
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([known, rest])] = np.arange(len(words))
+        ends = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).astype(np.int32))).take(pa.array(place))
 
 
-def ids_of(signs: Column) -> Column:
-    """The ids that the signs of folded words stand for."""
-    def numbers(held: Column) -> Column:
-        each = F.transform(F.split(held, ""), lambda c: bind(F.ascii(c), lambda n: F.when(n < 0xD800, n - 2).otherwise(n - 0x802)))
-        return F.when(held == "", F.array().cast("array<int>")).otherwise(each)
-    return bind(signs, numbers)
+@lru_cache(maxsize=4)
+def merges_of(path: str) -> Merges:
+    """One per worker process."""
+    return Merges(read_ranks(path))
 
 
 class Cutter:
@@ -155,13 +181,13 @@ def cutter_of(pattern: str) -> Cutter:
     return Cutter(pattern)
 
 
-def in_batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int) -> DataFrame:
-    """One row per batch: ``rows`` (the documents), ``codes`` (per document its words as places in ``words``), ``words`` (distinct)."""
+def in_batches(docs: DataFrame, text: str, pattern: str, ranks_path: str, batch_bytes: int) -> DataFrame:
+    """One row per batch: ``rows`` (the documents), ``codes`` (per document its words as places in ``words``), ``words`` (ids of the distinct ones)."""
     schema = StructType([StructField("rows", ArrayType(docs.schema)), StructField("codes", ArrayType(ArrayType(IntegerType()))),
-                         StructField("words", ArrayType(StringType()))])
+                         StructField("words", ArrayType(ArrayType(IntegerType())))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = cutter_of(pattern)
+        find, merges = cutter_of(pattern), merges_of(ranks_path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             for start, stop in byte_slices(texts, batch_bytes):
@@ -171,8 +197,9 @@ def in_batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int) -> Da
                     ends.append(len(found))
                 coded = pa.array(found, pa.string()).dictionary_encode()
                 codes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.indices)
+                words = merges(coded.dictionary.cast(pa.binary()).to_pylist())
                 rows = pa.StructArray.from_arrays([c.slice(start, stop - start) for c in batch.columns], fields=list(batch.schema))
-                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, codes, coded.dictionary)]
+                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, codes, words)]
                 yield pa.RecordBatch.from_arrays(one, ["rows", "codes", "words"])
 
     return docs.mapInArrow(cut, schema)
@@ -186,19 +213,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     ``joined`` there is, in place of ``out``, one string per entry: what its function
     makes of each word's ids, one word after another; it runs once per distinct word.
     Null and empty texts have no ids. Equal words and repeated rows give equal ids, each
-    row is kept; an empty table gives no rows. A text of any length is one list; the
-    merges of one word take time with the square of its bytes, as each step copies its
-    pieces. Other columns may have any names but the new ones, which are replaced.
+    row is kept; an empty table gives no rows. A text of any length is one list, and a
+    word of n bytes takes n log n steps. Other columns may have any names but the new ones, which are replaced.
     """
-    ranks = read_ranks(ranks_path)
     made = joined or {out: lambda ids: ids}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in made}]
-    batches = in_batches(docs.select(text, *[c for c in keep if c != text]), text, pattern, batch_bytes)
-    alphabet = "".join(sign(ranks[bytes([b])]) for b in range(256))
+    batches = in_batches(docs.select(text, *[c for c in keep if c != text]), text, pattern, ranks_path, batch_bytes)
 
-    def per_word(tokens: Column, pairs: Column) -> Column:
-        values = lambda ids: F.struct(*[f(ids).alias(n) for n, f in made.items()])
-        return F.transform("words", lambda w: bind(ids_of(folded(w, tokens, pairs, alphabet)), values))
+    def per_word(ids: Column) -> Column:
+        return F.struct(*[f(ids).alias(n) for n, f in made.items()])
 
     def per_row(known: Column) -> Column:
         def value(codes: Column, name: str) -> Column:
@@ -206,8 +229,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
             return F.array_join(of_words, "") if joined else F.flatten(of_words)
         return F.transform("codes", lambda codes: F.struct(*[value(codes, n).alias(n) for n in made]))
 
-    known = bind(word_signs(ranks), lambda tokens: bind(pair_signs(ranks), lambda pairs: per_word(tokens, pairs)))
-    each = batches.select(F.explode(F.arrays_zip(F.col("rows"), bind(known, per_row).alias("made"))).alias("one"))
+    each = batches.select(F.explode(F.arrays_zip(F.col("rows"), bind(F.transform("words", per_word), per_row).alias("made"))).alias("one"))
     return each.select(*[F.col("one.rows")[c].alias(c) for c in keep], *[F.col("one.made")[n].alias(n) for n in made])
 
 
@@ -230,6 +252,8 @@ def decode(ids: Column, ranks_path: str) -> Column:
 def hex_little_endian(ids: Column) -> Column:
     """The ids as little-endian unsigned 32-bit integers in hexadecimal, one after another."""
     def turned(x: Column) -> Column:
-        return bind(F.hex(x + F.lit(2**32)), lambda h: F.concat(*[F.substring(h, at, 2) for at in (8, 6, 4, 2)]))
+        x = x.cast("bigint").bitwiseAND(F.lit(2**32 - 1))
+        bytes_ = [F.shiftleft(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)), 24 - 8 * k) for k in range(4)]
+        return F.substring(F.hex(sum(bytes_, F.lit(2**32))), 2, 8)
 
     return F.array_join(F.transform(ids, turned), "")

@@ -51,6 +51,13 @@ def test_ids_are_those_of_the_library_and_decode_to_the_text(spark):
         assert bytes(r["back"]) == r["text"].encode("utf-8")
 
 
+def test_merges_of_many_and_of_long_words():
+    rng, own = random.Random(5), tiktoken_encoding()._core_bpe
+    words = [bytes(rng.choice(b"etaoin shr") for _ in range(rng.randrange(1, 100))) for _ in range(20_000)]
+    words += [b"", b" the", b"x" * 5_000, rng.randbytes(64), rng.randbytes(65), bytes(rng.choice(b"abc") for _ in range(200_000))]
+    assert byte_bpe.merges_of(str(RANKS))(words).to_pylist() == [own.encode_single_piece(w) if w else [] for w in words]
+
+
 def test_words_end_where_the_library_ends_them(spark):
     own, step = tiktoken_encoding(), 4_000
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 97 == 0)]
