@@ -24,6 +24,9 @@ MASKS = (
 
 # Fixed value: ASCII punctuation that splits tokens.
 PUNCT = r"!-/:-@\[-`{-~"
+# The same signs and blanks for long scans: Java looks signs below 256 up in one bit set, but tries each range and each other sign in turn.
+_SIGNS = "".join(f"\\x{c:02x}" for c in range(0x21, 0x7F) if not chr(c).isalnum())
+_BLANKS = "".join(f"\\x{{{ord(c):x}}}" for c in " " + UNICODE_WS if not "\u2000" <= c <= "\u200a") + r"\x{2000}-\x{200a}"
 
 
 def strip(c: Column) -> Column:
@@ -70,7 +73,8 @@ def basic_tokens(c: Column) -> Column:
 
 def token_chunks(c: Column) -> Column:
     """The original text cut at the starts of its basic tokens: each part is a token with the blanks after it."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?:[{PUNCT}]|[^{PUNCT} {UNICODE_WS}]+)[ {UNICODE_WS}]*"), F.lit(0))
+    word = f"(?:[0-9A-Za-z]++|[^{_SIGNS}{_BLANKS}])++"
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?:[{_SIGNS}]|{word})[{_BLANKS}]*+"), F.lit(0))
 
 
 def split_lines(c: Column) -> Column:

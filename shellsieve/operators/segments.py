@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +23,19 @@ def window_starts(n: Column, window: int = WINDOW, step: int = STEP, limit: int
 
 
 def windows(df: DataFrame, tokens: str = "tokens", window: int = WINDOW, step: int = STEP,
-            limit: int = BATCH_LIMIT) -> DataFrame:
-    """One row per window: ``seg`` (0-based), ``start``, ``seg_tokens``.
+            limit: int = BATCH_LIMIT, part: Callable[[Column], Column] = lambda own: own) -> DataFrame:
+    """One row per window: ``seg`` (0-based), ``start``, ``seg_tokens`` (what ``part`` makes of the window's tokens).
 
-    A text of at most ``limit`` tokens stays whole.
+    A text of at most ``limit`` tokens stays whole. The windows are cut before the rows
+    are made, so no row carries more than its own tokens.
     """
     n = F.size(tokens)
-    kept = [c for c in df.columns if c != tokens]
-    placed = df.select(*kept, F.col(tokens), F.posexplode(window_starts(n, window, step, limit)).alias("seg", "start"))
-    piece = F.when(n <= limit, F.col(tokens)).otherwise(F.slice(tokens, F.col("start") + 1, window))
-    return placed.select(*kept, "seg", "start", piece.alias("seg_tokens"))
+
+    def one(start: Column, seg: Column) -> Column:
+        own = F.when(n <= limit, F.col(tokens)).otherwise(F.slice(tokens, start + 1, window))
+        return F.struct(seg.alias("seg"), start.alias("start"), part(own).alias("seg_tokens"))
+
+    return df.select(*[c for c in df.columns if c != tokens], F.inline(F.transform(window_starts(n, window, step, limit), one)))
 
 
 def truncate(tokens: Column, budget: int) -> Column:

@@ -51,8 +51,9 @@ def score_records(df: DataFrame, key: list[str], text: str, load: Callable[[], C
     """
     parts = df.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_whole"), chunks(F.col(text)).alias("tokens"))
     fits = F.size("tokens") <= limit
-    placed = segments.windows(parts.withColumn("_whole", F.when(fits, F.col("_whole"))), limit=limit)
-    pieces = placed.withColumn("_piece", F.coalesce("_whole", F.array_join("seg_tokens", ""))).drop("seg_tokens", "start", "_whole")
+    placed = segments.windows(parts.withColumn("_whole", F.when(fits, F.col("_whole"))), limit=limit,
+                              part=lambda own: F.array_join(own, ""))
+    pieces = placed.withColumn("_piece", F.coalesce("_whole", "seg_tokens")).drop("seg_tokens", "start", "_whole")
     scored = scoring.batch_score(pieces, load, text="_piece")
     return segments.merge_scores(scored, key, verdict_merge=verdict_merge)
 

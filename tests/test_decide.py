@@ -1,9 +1,11 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from shellsieve.functions import decide as D
+from shellsieve.functions import text as X
 from shellsieve.functions import vectors as V
 from shellsieve.operators import filters, segments
 from shellsieve.taxonomy import TAXONOMY
@@ -94,6 +96,20 @@ def test_window_edges(spark):
         assert got == {n: direct(n, limit) for n in sizes}
 
 
+def test_windows_keep_what_is_made_of_their_own_tokens(spark):
+    chunk = re.compile(f"(?:[{X.PUNCT}]|[^{X.PUNCT} {X.UNICODE_WS}]+)[ {X.UNICODE_WS}]*")
+    every = "".join(f"{chr(c)}a{chr(c)}{chr(c)}" for c in range(1, 0x3100) if c != 0x200B)
+    texts = ["", " ", every, "\xe9" * 300_000, "a\xe9" * 200_000 + " !", "word, \u3000" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", X.token_chunks(F.col("text")).alias("tokens"))
+    got = {i: [] for i in range(len(texts))}
+    for r in segments.windows(df, part=lambda own: F.array_join(own, "")).orderBy("n", "seg").collect():
+        got[r.n].append(r.seg_tokens)
+    for i, text in enumerate(texts):
+        own = chunk.findall(text)
+        starts = [0] if len(own) <= 120 else range(0, -(-(len(own) - 120) // 90) * 90 + 1, 90)
+        assert got[i] == ["".join(own[s:s + 120]) for s in starts]
+
+
 def test_merge_takes_first_most_malicious_segment(spark):
     a = [5.0, 0.0, 1.0] + [0.0] * 28
     b = [0.0, 0.0, 3.0] + [-1.0] * 28
