@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -117,6 +118,14 @@ def test_packing_odd_rows(spark):
 
 # --- search
 
+def test_query_blocks_are_read_from_arrow():
+    block = pa.table({"query_id": [7, 8, 9], "terms": pa.array([[3, -1], [5], [-1, 3]], pa.list_(pa.int64())), "weights": [[0.5, 2.0], [1.0], [2.0, 0.5]]})
+    asked = S.Asked(block)
+    assert len(asked) == 2 and [sorted(asked.ids(i).tolist()) for i in range(2)] == [[7, 9], [8]]
+    assert [asked.idf[asked.terms(i)].tolist() for i in range(2)] == [[0.5, 2.0], [1.0]]
+    assert S.BLOCK_TERMS <= 1_000_000
+
+
 @pytest.mark.parametrize("shard_words", [40, 100_000])
 def test_search_against_full_scores(spark, monkeypatch, shard_words):
     rng = random.Random(4)
