@@ -161,6 +161,36 @@ def test_skipping_skips():
     assert doc[np.argmax(score)] == 700 and scored < shard.blocks
 
 
+def test_blocks_of_other_languages_are_skipped_and_batches_are_exact(monkeypatch):
+    """Texts of two languages in turn; before, every block held both and was scored for every query."""
+    monkeypatch.setattr(S, "MATRIX", 40_000)  # some frequent terms stay out of the matrix
+    rng = np.random.default_rng(6)
+    texts = [(rng.integers(0, 50, 20) + 50 * (i % 2)).astype(np.uint64) for i in range(2000)] + [np.empty(0, np.uint64)]
+    texts = [np.append(t, np.uint64(100 + i // 3)) if len(t) else t for i, t in enumerate(texts)]
+    vocabulary, idf = np.arange(800, dtype=np.uint64), np.append(rng.random(100) + 0.1, np.full(700, 5.0))
+    shard = S.Shard(np.arange(2001) * 7, texts, vocabulary, idf, 21.0)
+    assert 0 < len(shard.matrix) < 100
+    queries = [np.unique(texts[i]).astype(np.int64) for i in range(0, 2000, 50)] + [np.empty(0, np.int64)]
+    start = np.concatenate([[0], np.cumsum([len(q) for q in queries])])
+    query, key, score, scored = shard.best_of(np.concatenate(queries), start, 10, np.zeros(len(queries)))
+    top = S.best_rows(query, key, score, 10)
+    for i, q in enumerate(queries):
+        total = [sum(idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(t) / 21.0)) for w, n in zip(*np.unique(t, return_counts=True)) if w in q) for t in texts]
+        want = sorted((-round(x, 6), d * 7) for d, x in enumerate(total) if x > 0)[:10]
+        assert [(-round(score[j], 6), key[j]) for j in top if query[j] == i] == want
+    assert scored.max() <= 0.7 * shard.blocks and scored[-1] == 0
+
+
+def test_terms_are_counted_once_for_all_query_blocks(spark):
+    docs = spark.createDataFrame([(1, "B a b"), (2, None), (None, "a"), (4, "")], "doc_id bigint, text string")
+    counted = S.term_counts(docs, key="doc_id", text="text")
+    rows = {r["key"]: r for r in counted.collect()}
+    assert [(rows[k]["words"], sorted(rows[k]["counts"])) for k in (1, 2, None, 4)] == [(3, [1, 2]), (0, []), (1, [1]), (0, [])]
+    table, n, mean = S.document_frequencies(counted)
+    assert (n, mean, sorted(r["df"] for r in table.collect())) == (4, 1.0, [1, 2])
+    assert "text" not in counted.columns
+
+
 # --- WARC
 
 def test_records_link_and_serialise(spark, tmp_path):
