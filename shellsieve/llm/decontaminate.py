@@ -19,7 +19,7 @@ before the walk; that loses nothing.
 """
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -249,7 +249,7 @@ def merged(places: set[int], n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def portions(texts: list[list[bytes]], most: int = 2_000_000) -> Iterator[list[list[bytes]]]:
+def portions(texts: Iterable[list[bytes]], most: int = 500_000) -> Iterator[list[list[bytes]]]:
     """Texts in runs of about ``most`` words, searched together."""
     part, size = [], 0
     for t in texts:
@@ -272,7 +272,7 @@ def hits_of(spark, index: Index):
         known = shared.value
         for series in batches:
             found = []
-            for part in portions([words(t) for t in series]):
+            for part in portions(words(t) for t in series):
                 found += [[dict(zip(names, h)) for h in hits] for hits in known.search(part)]
             yield pd.Series(found, dtype="object")
 

@@ -13,7 +13,6 @@ A language accepts perplexities up to a quantile of its trusted documents that
 were held out of the counts.
 """
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,16 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shellsieve.llm.backoff import END, START, TOKEN, trusted_likelihood
 from shellsieve.llm.common import WordIds, fold_of, free_name, text_of
 from shellsieve.session import is_small, materialise
 
 #: Words of a gram.
 ORDER = 3
-#: Scripts without blanks between words: kana, Han, Thai, Lao, Burmese, Khmer.
-_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-#: A character of such a script, a word of any other, or a run of signs; the case of letters is kept.
-TOKEN = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+|[^\w\s{_ALONE}]+")
-START, END = 0, 1
 #: Words a task counts at once.
 WORD_CHUNK = 1 << 20
 BITS = 12
@@ -321,11 +316,16 @@ def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """
     name = free_name(docs, out)
     trust = materialise(trusted_ids(labels, key), "trusted")
-    flagged = (docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
-               .join(trust.filter("_fold <> 0").select("_id", F.lit(True).alias("trusted")), "_id", "left"))
-    counts = word_counts(flagged.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), order)
-    counts = materialise(counts.groupBy(*Worded(order).names).agg(F.sum("n").alias("c")), "grams")
-    scored = word_likelihood(docs, smoothed_grams(counts, order, Worded(order)), text=text, order=order, out=name)
+    good, scored = trust.filter("_fold <> 0"), None
+    if order == 3:
+        marks = [free_name(docs, f"{out}_key{k}") for k in (1, 2)]
+        scored = trusted_likelihood(docs, good.select("_id"), key=key, text=text, names=marks, out=name)
+    if scored is None:
+        flagged = (docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
+                   .join(good.select("_id", F.lit(True).alias("trusted")), "_id", "left"))
+        counts = word_counts(flagged.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), order)
+        counts = materialise(counts.groupBy(*Worded(order).names).agg(F.sum("n").alias("c")), "grams")
+        scored = word_likelihood(docs, smoothed_grams(counts, order, Worded(order)), text=text, order=order, out=name)
     logp, n = F.col(f"{name}.logp"), F.col(f"{name}.n")
     narrow = materialise(scored.select(F.col(key).alias("_id"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"), logp.alias("_logp"), n.alias("_n"))
                          .filter("_n > 0").join(trust.filter("_fold = 0").select("_id"), "_id"), "held_out")

@@ -61,6 +61,53 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are written on the way to a result and removed when they are dropped, or at the end unless kept.
+
+    Shuffle files of a written table go as soon as it is written. On Sparks before
+    4.1 the setting is unknown and they stay until the driver collects its garbage.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop(*[table for table, _ in self.paths])
+
+    def write(self, df: DataFrame, name: str = "table", batch_rows: int = 64) -> DataFrame:
+        """``df`` as a table; ``batch_rows`` rows, which may hold long arrays, or about 4 MB go to Python at once."""
+        conf, path = self.spark.conf, scratch_path(self.spark, name)
+        own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows),
+               "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
+        before = {key: conf.get(key, None) for key in own}
+        try:
+            for key, value in own.items():
+                conf.set(key, value)
+            df.write.parquet(path)
+        finally:
+            for key, value in before.items():
+                conf.unset(key) if value is None else conf.set(key, value)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((table, path))
+        return table
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.paths = [x for x in self.paths if x[0] is not table]
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        sc = self.spark.sparkContext
+        for table, path in self.paths:
+            if any(table is x for x in tables):
+                place = sc._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = [x for x in self.paths if not any(x[0] is y for y in tables)]
+
+
 # Rows up to which a narrow table is copied to every executor.
 BROADCAST_ROWS = 1_000_000
 
