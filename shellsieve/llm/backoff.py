@@ -486,7 +486,7 @@ def answered(blobs: DataFrame, level: Discounts) -> DataFrame:
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
                     hit = np.flatnonzero(keys[at] == asked)
-                    found = np.bincount(text[hit], values[at[hit]], docs)
+                    found = np.bincount(text[hit], values[at[hit]], docs).astype(np.float64, copy=False)  # whole numbers where nothing was hit
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(found)], ["k1", "k2", "value"])
 
     return blobs.mapInArrow(answer, "k1 bigint, k2 bigint, value double")

@@ -60,6 +60,13 @@ def test_no_trusted_text_and_no_text(spark):
     assert K.likelihood(texts.limit(0), lambda: docs.limit(0)).count() == 0
 
 
+def test_texts_without_any_known_gram(spark):
+    docs = spark.createDataFrame([(t,) for t in texts_of(1, 400)], "text string")
+    texts = spark.createDataFrame([(1, 1, "%% §§")], "k1 bigint, k2 bigint, text string")
+    r, = K.likelihood(texts, lambda: docs, rounds=3, shards=40).collect()
+    assert r["n"] == 3 and r["logp"] < -3
+
+
 def test_copies_whose_counts_have_no_ones_take_the_joins(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts_of(5, 40) * 4)], "doc_id bigint, text string, lang string")
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
