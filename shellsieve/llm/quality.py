@@ -1,10 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts words from the ``order - 1`` before them. Counts of the trusted
-texts are gathered over all rows; context totals, continuation counts and lower
-orders come from joins and groupings sharded by gram and context, so no step holds
-the model in one place. Every gram that occurs anywhere in the corpus gets its
-probability, and every document looks up its grams by a shuffle join.
+The model predicts words from the ``order - 1`` before them. For order 3 ``backoff`` counts
+the trusted texts and scores all texts in rounds. For other orders, and where a discount is 0
+although counts of its class occur, counts of all texts' grams are gathered, lower orders come from
+joins and groupings sharded by gram and context, and every document looks up its grams by a shuffle join.
 
 The same model over characters (``gram_counts``, ``Packed``, ``log_likelihood``)
 is the small form that the tests compare with the definition; no query uses it.
